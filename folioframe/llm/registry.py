@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, host_rules, license_scan
 
-QUERIES = {"op10_exact_dedup": exact_dedup.query}
-ORACLES = {"op10_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {"op2_license_scan": license_scan.query, "op5_host_rules": host_rules.query, "op10_exact_dedup": exact_dedup.query}
+ORACLES = {"op5_host_rules": host_rules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
