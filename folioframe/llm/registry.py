@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, host_rules, license_scan
+from . import exact_dedup, host_rules, language_id, license_scan, mixing
 
-QUERIES = {"op2_license_scan": license_scan.query, "op5_host_rules": host_rules.query, "op10_exact_dedup": exact_dedup.query}
+QUERIES = {
+    "op2_license_scan": license_scan.query,
+    "op5_host_rules": host_rules.query,
+    "op6_mixing": mixing.query,
+    "op8_language_id": language_id.query,
+    "op10_exact_dedup": exact_dedup.query,
+}
 ORACLES = {"op5_host_rules": host_rules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
