@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, host_rules, language_id, license_scan, mixing
+from . import exact_dedup, host_rules, language_id, license_scan, mixing, packing
 
 QUERIES = {
     "op2_license_scan": license_scan.query,
+    "op3_packing": packing.query,
     "op5_host_rules": host_rules.query,
     "op6_mixing": mixing.query,
     "op8_language_id": language_id.query,
