@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, host_rules, language_id, license_scan, mixing, packing
+from . import exact_dedup, host_rules, language_id, license_scan, mixing, packing, substring_dedup
 
 QUERIES = {
     "op2_license_scan": license_scan.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_host_rules": host_rules.query,
     "op6_mixing": mixing.query,
     "op8_language_id": language_id.query,
+    "op9_substring_dedup": substring_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLES = {"op5_host_rules": host_rules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
