@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, host_rules, language_id, license_scan, mixing, packing, substring_dedup
+from . import exact_dedup, host_rules, language_id, license_scan, mixing, near_dedup, packing, substring_dedup
 
 QUERIES = {
     "op2_license_scan": license_scan.query,
     "op3_packing": packing.query,
     "op5_host_rules": host_rules.query,
     "op6_mixing": mixing.query,
+    "op7_near_dedup": near_dedup.query,
     "op8_language_id": language_id.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
