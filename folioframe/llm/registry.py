@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, host_rules, language_id, license_scan, mixing, near_dedup, packing, substring_dedup
+from . import exact_dedup, host_rules, language_id, license_scan, lm_scoring, mixing, near_dedup, packing, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.query,
     "op2_license_scan": license_scan.query,
     "op3_packing": packing.query,
+    "op4_token_counts": token_counts.query,
     "op5_host_rules": host_rules.query,
     "op6_mixing": mixing.query,
     "op7_near_dedup": near_dedup.query,
