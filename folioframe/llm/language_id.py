@@ -196,6 +196,23 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
     return rows.mapInArrow(predict, schema)
 
 
+def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose language can be told, with all their columns: rejected are null texts, texts without a
+    letter and texts whose vector points away from every prototype (score 0)."""
+    model = fit(docs, id_col, text_col, lang_col)
+    matrix = np.stack(list(model.values())).astype(np.float32).T if model else np.zeros((DIM, 0), np.float32)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = profiles(DIM, SEED)
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1024):
+                b = whole.slice(s, 1024)
+                vectors, has = p.encode(b.column(text_col).to_pylist())
+                yield b.filter(pa.array(has & ((vectors @ matrix).max(axis=1, initial=0) > 0)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, fit(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
