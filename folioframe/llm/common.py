@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import shutil
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,10 +57,19 @@ def discard(*tables: DataFrame) -> None:
 
 def release() -> None:
     """Runs both garbage collectors, so that Spark's cleaner removes shuffle files of finished queries."""
-    gc.collect()
     spark = SparkSession.getActiveSession()
-    if spark is not None:
-        spark._jvm.System.gc()
+    for _ in range(2):  # first what Python holds of the JVM, then what the JVM holds of the disk
+        gc.collect()
+        if spark is not None:
+            spark._jvm.System.gc()
+        time.sleep(0.25)
+
+
+def plain_memory() -> None:
+    """In a Python worker: Arrow memory from malloc, which gives it back, as a worker lives on after its task."""
+    import pyarrow as pa
+
+    pa.set_memory_pool(pa.system_memory_pool())
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -3,7 +3,7 @@
 Seeds: of the 16-word grams in each window of 35 words, the one with the smallest hash is an anchor (winnowing),
 so equal windows have equal anchors at equal places. Anchors that stand once in the corpus lead nowhere. From
 each place of the others the match is extended both ways, to the windows that have it as their anchor; a window
-found once among them is no repeat, any other one is. Hash equality of a window is of 128 bits. Windows are
+found once among them is no repeat, any other one is. Hash equality of a window is of 96 bits. Windows are
 counted with a combine on the map side, so a passage in a third of all documents is a few rows for each task,
 and no pairs are formed. Neighbouring repeated windows merge to maximal repeats, whose words are removed.
 """
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, materialize, release
+from .common import column, discard, materialize, plain_memory, release
 from .language_id import mix64
 from .tokens import blocks
 
@@ -107,6 +107,7 @@ class Grams:
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    plain_memory()
     for batch in batches:
         done = 0
         for b in blocks(batch.column("text")):
@@ -131,14 +132,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             g = Grams(b.column("text"), window, gram)
             at = g.windows(g.places(b.column("anchors")))
             row, (h1, h2) = g.rows(at), g.window_hashes(at)
-            yield pa.RecordBatch.from_pydict({"h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "row_id": b.column("row_id").take(pa.array(row)), "place": pa.array((at - g.starts[row]).astype(np.int32))})
+            yield pa.RecordBatch.from_pydict({"h1": pa.array(h1.view(np.int64)), "h2": pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), "row_id": b.column("row_id").take(pa.array(row)), "place": pa.array((at - g.starts[row]).astype(np.int32))})
 
     seeds = materialize(keyed.select("row_id", "text").mapInArrow(seed, "row_id long, place int, anchor long"), "seeds")
     again = materialize(seeds.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     release()
     found = materialize(seeds.join(again, "anchor").groupBy("row_id").agg(F.sort_array(F.collect_list("place")).alias("anchors")), "places")
     discard(seeds, again)
-    matched = keyed.join(found, "row_id").select("row_id", "text", "anchors").mapInArrow(extend, "h1 long, h2 long, row_id long, place int")
+    matched = keyed.join(found, "row_id").select("row_id", "text", "anchors").mapInArrow(extend, "h1 long, h2 int, row_id long, place int")
     # Where the count is 1, the least row and place are those of the only one.
     single = matched.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"), F.min("place").alias("place")).where("n = 1")
     once = materialize(single.select("row_id", "place"), "once")
