@@ -1,6 +1,656 @@
-"""Named queries over the driver tables, each with the DuckDB SQL that gives the same rows."""
+"""Named queries over the driver tables, each with the DuckDB SQL that gives the same rows.
+
+The tables stand in for the parts of word-processing documents: documents split at line feeds are block lists, pages
+are markup parts, conversations are comment threads and list items, lineitem rows are table rows, events are edits.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import markup, numbers
+from ..operators import blocks, comments, compare, history, layout, quality, runs, sections, styles, tables
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+#: Highlight colours by name (fixed values).
+PALETTE = {
+    "black": "#000000", "blue": "#0000FF", "cyan": "#00FFFF", "darkBlue": "#00008B", "darkCyan": "#008B8B", "darkGray": "#A9A9A9", "darkGreen": "#006400", "darkMagenta": "#8B008B", "darkRed": "#8B0000", "darkYellow": "#808000", "green": "#00FF00",
+    "lightGray": "#D3D3D3", "magenta": "#FF00FF", "red": "#FF0000", "white": "#FFFFFF", "yellow": "#FFFF00",
+}
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- sources and blocks
+
+LINES = "SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS node_index, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+
+
+@query(LINES)
+def blocks_from_text(spark, d):
+    return blocks.text_blocks(table(spark, d, "documents"))
+
+
+@query(rf"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY node_index) - 1 AS INTEGER) AS node_index, text FROM ({LINES}) WHERE regexp_matches(text, '\S')")
+def nonempty_blocks_ranked(spark, d):
+    return blocks.nonempty_blocks(blocks.text_blocks(table(spark, d, "documents")))
+
+
+HEIGHTS = f"SELECT doc_id, node_index, CASE WHEN node_index = 0 THEN 41.0 ELSE 22.0 END AS height, CASE WHEN node_index = 0 THEN 20.0 ELSE 8.0 END AS gap FROM ({LINES})"
+
+
+def heights(docs: DataFrame) -> DataFrame:
+    level = F.when(F.col("node_index") == 0, 1)
+    size = layout.run_height(F.lit(None).cast("double"))
+    return blocks.text_blocks(docs).select("doc_id", "node_index", layout.line_height(size, level).cast("double").alias("height"), layout.block_gap(level).cast("double").alias("gap"))
+
+
+@query(HEIGHTS)
+def block_heights(spark, d):
+    return heights(table(spark, d, "documents"))
+
+
+PAGED = f"""
+WITH RECURSIVE b AS ({HEIGHTS}),
+p AS (
+  SELECT doc_id, node_index, 1 AS page, 72.0::DOUBLE AS y, (72.0 + height + gap)::DOUBLE AS below FROM b WHERE node_index = 0
+  UNION ALL
+  SELECT b.doc_id, b.node_index, CASE WHEN below + height > 984 THEN page + 1 ELSE page END, CASE WHEN below + height > 984 THEN 72.0 ELSE below END,
+         CASE WHEN below + height > 984 THEN 72.0 ELSE below END + height + gap
+  FROM p JOIN b ON b.doc_id = p.doc_id AND b.node_index = p.node_index + 1)
+"""
+
+
+@query(PAGED + "SELECT lang, sum(pages)::BIGINT AS pages, count(*) AS docs FROM (SELECT doc_id, max(page) AS pages FROM p GROUP BY doc_id) JOIN documents USING (doc_id) GROUP BY lang")
+def paginate_simple(spark, d):
+    docs = table(spark, d, "documents")
+    pages = layout.page_counts(heights(docs))
+    return pages.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("pages").alias("pages"), F.count("*").alias("docs"))
+
+
+@query(PAGED + "SELECT doc_id, node_index, page, y FROM p")
+def paginate_blocks(spark, d):
+    return layout.paginate(heights(table(spark, d, "documents")))
+
+
+BREAKS = f"SELECT doc_id, node_index FROM ({LINES}) WHERE node_index > 0 AND length(text) % 7 = 0"
+
+
+@query(f"""
+WITH n AS (SELECT doc_id, count(*) AS n FROM ({LINES}) GROUP BY doc_id),
+s AS (SELECT doc_id, 0 AS start, n FROM n UNION SELECT doc_id, node_index, n FROM ({BREAKS}) JOIN n USING (doc_id) WHERE node_index < n)
+SELECT doc_id, row_number() OVER w - 1 AS page, start, coalesce(lead(start) OVER w, n) AS "end" FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY start)
+""")
+def page_ranges(spark, d):
+    lines = blocks.text_blocks(table(spark, d, "documents"))
+    return layout.page_ranges(lines.where("node_index > 0 AND length(text) % 7 = 0").select("doc_id", "node_index"), lines.groupBy("doc_id").agg(F.count("*").alias("n")))
+
+
+@query(f"""
+SELECT doc_id, node_index FROM (
+  SELECT doc_id, node_index, length(text) % 5 = 0 OR coalesce(lag(text LIKE '%|%') OVER w, false) AS hit, row_number() OVER w AS nth
+  FROM ({LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY node_index)) WHERE hit AND nth > 1
+""")
+def hard_breaks(spark, d):
+    lines = blocks.text_blocks(table(spark, d, "documents"))
+    return layout.hard_breaks(lines.select("doc_id", "node_index", (F.length("text") % 5 == 0).alias("break_before"), F.contains("text", F.lit("|")).alias("break_inside")))
+
+
+@query("""
+SELECT table_id, count(*) FILTER (WHERE upto <= 62 OR nth = 1) AS rows_fit, max(upto) FILTER (WHERE upto <= 62 OR nth = 1) AS used FROM (
+  SELECT l_orderkey AS table_id, row_number() OVER w AS nth, sum(greatest(1, l_quantity)) OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) GROUP BY table_id
+""")
+def fit_rows_in_page(spark, d):
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), place.alias("row"), F.col("l_quantity").alias("height"))
+    return layout.fit_rows(rows, 60)
+
+
+@query("SELECT doc_id, greatest(42, least(120, floor(n_chars * 0.18 + 0.5)))::DOUBLE AS hint_limit FROM documents")
+def rendered_break_hint(spark, d):
+    return table(spark, d, "documents").select("doc_id", layout.break_hint_limit(F.col("n_chars")).cast("double").alias("hint_limit"))
+
+
+# ---- markup
+
+
+@query(r"SELECT page_id, CAST(generate_subscripts(b, 1) - 1 AS INTEGER) AS ord, unnest(b) AS block FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li(?:\s[^>]*)?/>|<li(?:\s[^>]*)?>.*?</li>') AS b FROM pages)")
+def html_tag_blocks(spark, d):
+    return table(spark, d, "pages").select("page_id", F.posexplode(markup.tag_blocks(F.col("html"), "li")).alias("ord", "block"))
+
+
+@query(r"""
+SELECT page_id, ord, CASE WHEN starts_with(target, 'http') OR starts_with(target, '#') THEN target WHEN contains(target, '#') THEN target ELSE target || '#' || page_id END AS href
+FROM (SELECT page_id, CAST(generate_subscripts(t, 1) - 1 AS INTEGER) AS ord, unnest(t) AS target FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]+)"', 1) AS t FROM pages))
+""")
+def html_links(spark, d):
+    links = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]+)"'), F.lit(1))).alias("ord", "target"))
+    plain = F.startswith("target", F.lit("http")) | F.startswith("target", F.lit("#"))
+    return links.select("page_id", "ord", F.when(plain, F.col("target")).otherwise(markup.hyperlink(F.col("target"), F.col("page_id").cast("string"))).alias("href"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?i)<title(?:\s[^>]*)?>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages")
+def html_title_text(spark, d):
+    return table(spark, d, "pages").select("page_id", markup.squeeze(F.regexp_extract("html", r"(?i)<title(?:\s[^>]*)?>([^<]*)</title>", 1)).alias("title"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&') AS decoded FROM pages")
+def entity_decode(spark, d):
+    return table(spark, d, "pages").select("page_id", markup.decode_entities(F.col("html")).alias("decoded"))
+
+
+@query("SELECT doc_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM documents")
+def escape_xml(spark, d):
+    return table(spark, d, "documents").select("doc_id", markup.escape_text(F.col("text")).alias("escaped"))
+
+
+@query(r"SELECT p_partkey, TRY_CAST(regexp_extract('Heading ' || (p_size % 9) || ' ' || p_name, '(?i)heading\s*([1-6])', 1) AS INTEGER) AS level FROM part")
+def heading_level(spark, d):
+    name = F.concat(F.lit("Heading "), (F.col("p_size") % 9).cast("string"), F.lit(" "), "p_name")
+    return table(spark, d, "part").select("p_partkey", markup.heading_level(name).alias("level"))
+
+
+@query("""
+SELECT event_id, CASE WHEN event_type = 'view' THEN NULL WHEN k IN ('0', '1', '2', '3') THEN k NOT IN ('0') ELSE true END AS flag
+FROM (SELECT event_id, event_type, CAST(CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 5 AS VARCHAR) AS k FROM events)
+""")
+def on_off_values(spark, d):
+    k = (F.regexp_extract("props", "[0-9]+", 0).cast("bigint") % 5).cast("string")
+    xml = F.when(F.col("event_type") == "view", "<w:i/>").when(k.isin("0", "1", "2", "3"), F.concat(F.lit('<w:b w:val="'), k, F.lit('"/>'))).otherwise("<w:b/>")
+    return table(spark, d, "events").select("event_id", markup.on_off(xml, "w:b").alias("flag"))
+
+
+@query(r"""
+SELECT page_id, 'word/_rels/p' || page_id || '.xml.rels' AS rels, url AS absolute, 'word/media/i' || page_id || '.png' AS sibling, 'media/i' || page_id || '.png' AS up, 'x/' || page_id AS root FROM pages
+""")
+def resolve_part_path(spark, d):
+    i = F.col("page_id").cast("string")
+    base = F.concat(F.lit("word/p"), i, F.lit(".xml"))
+    at = lambda *x: F.concat(*[F.lit(s) if isinstance(s, str) else s for s in x])
+    return table(spark, d, "pages").select(
+        "page_id", markup.rels_part(base).alias("rels"), markup.resolve_path(base, F.col("url")).alias("absolute"), markup.resolve_path(base, at("./media//i", i, ".png")).alias("sibling"),
+        markup.resolve_path(base, at("../word/.././media/i", i, ".png")).alias("up"), markup.resolve_path(base, at("/x/", i)).alias("root"),
+    )
+
+
+EXT = "CASE p_size % 6 WHEN 0 THEN 'png' WHEN 1 THEN 'JPG' WHEN 2 THEN 'xml' WHEN 3 THEN 'svg' WHEN 4 THEN 'bin' ELSE 'rels' END"
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, '/word/' || p_partkey || '.' || {EXT} AS name, lower({EXT}) AS ext FROM part),
+o AS (SELECT '/word/' || p_partkey || '.' || {EXT} AS name, p_brand AS type FROM part WHERE p_partkey % 11 = 0)
+SELECT p_partkey, coalesce(o.type, CASE ext WHEN 'xml' THEN 'application/xml' WHEN 'rels' THEN 'application/rels' END, CASE ext WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'svg' THEN 'image/svg+xml' END) AS type
+FROM p LEFT JOIN o USING (name)
+""")
+def content_type_lookup(spark, d):
+    part = table(spark, d, "part")
+    ext = F.element_at(F.array(*map(F.lit, ("png", "JPG", "xml", "svg", "bin", "rels"))), (F.col("p_size") % 6 + 1).cast("int"))
+    named = part.select("p_partkey", F.concat(F.lit("/word/"), F.col("p_partkey").cast("string"), F.lit("."), ext).alias("name"), "p_brand")
+    override = named.where("p_partkey % 11 = 0").select("name", F.col("p_brand").alias("own"))
+    default = spark.createDataFrame([("xml", "application/xml"), ("rels", "application/rels")], "ext string, by_ext string")  # two rows
+    return named.withColumn("ext", markup.extension(F.col("name"))).join(override, "name", "left").join(F.broadcast(default), "ext", "left").select("p_partkey", F.coalesce("own", "by_ext", markup.media_type(F.col("name"))).alias("type"))
+
+
+@query(r"SELECT doc_id, regexp_replace('[' || (doc_id % 30) || ']  ' || text, '^\[[0-9]*\]\s*', '') AS stripped FROM documents")
+def strip_index(spark, d):
+    return table(spark, d, "documents").select("doc_id", markup.strip_leading_index(F.concat(F.lit("["), (F.col("doc_id") % 30).cast("string"), F.lit("]  "), "text")).alias("stripped"))
+
+
+@query("SELECT p_partkey, round(p_retailprice / 9525, 3) AS px, greatest(floor(p_size / 15.0 + 0.5), 0)::BIGINT AS twips_px, '#' || upper(printf('%06x', p_partkey * 4097 % 16777216)) AS color, floor(p_size * (96 / 72.0) + 0.5)::BIGINT AS pt_px FROM part")
+def unit_conversions(spark, d):
+    color = F.lower(F.lpad(F.hex(F.col("p_partkey") * 4097 % 16777216), 6, "0"))
+    return table(spark, d, "part").select(
+        "p_partkey", markup.emu_to_pixels(F.col("p_retailprice").cast("string")).alias("px"), markup.twips_to_pixels(F.col("p_size").cast("string")).cast("bigint").alias("twips_px"), markup.hex_color(color).alias("color"),
+        markup.css_length_to_pixels(F.concat(F.col("p_size").cast("string"), F.lit("pt"))).cast("bigint").alias("pt_px"),
+    )
+
+
+@query(r"SELECT doc_id, NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') AS valid, regexp_matches(text, '[\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}]') AS east_asian, regexp_matches(text, '[\x{0590}-\x{08FF}\x{FB1D}-\x{FEFC}]') AS complex FROM documents")
+def text_classes(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", markup.valid_xml_text(t).alias("valid"), markup.east_asian(t).alias("east_asian"), markup.complex_script(t).alias("complex"))
+
+
+# ---- sections
+
+
+@query("""
+SELECT e.event_id, o.o_orderkey AS section FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey, o_orderdate) o
+ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate
+""")
+def section_asof(spark, d):
+    points = table(spark, d, "events").select("event_id", F.col("user_id").alias("grp"), "ts")
+    starts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("grp"), "o_orderdate").agg(F.min("o_orderkey").alias("section"))
+    return sections.as_of(points, starts, "grp", "ts", "o_orderdate", "section").select("event_id", "section")
+
+
+@query("""
+SELECT event_id, last_value(ref IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS inherited
+FROM (SELECT *, CASE WHEN event_type IN ('view', 'click') THEN event_type || event_id END AS ref FROM events)
+""")
+def inherit_refs(spark, d):
+    ref = F.when(F.col("event_type").isin("view", "click"), F.concat("event_type", F.col("event_id").cast("string")))
+    rows = table(spark, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("place"), ref.alias("ref"))
+    return sections.inherit(rows, ["user_id"], "place", "ref").select("event_id", "inherited")
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND doc_id % 3 = 0 THEN first WHEN doc_id % 4 % 2 = 1 AND n_chars % 2 = 0 AND even IS NOT NULL THEN even ELSE coalesce(dflt, first, even) END AS part
+FROM (SELECT *, CASE WHEN doc_id % 5 > 0 THEN 'first' END AS first, CASE WHEN doc_id % 7 > 2 THEN 'even' END AS even, CASE WHEN doc_id % 11 > 3 THEN 'default' END AS dflt FROM documents)
+""")
+def variant_select(spark, d):
+    i = F.col("doc_id")
+    v = sections.variant(i % 4, i % 3 == 0, F.col("n_chars") % 2 == 0, F.when(i % 5 > 0, "first"), F.when(i % 7 > 2, "even"), F.when(i % 11 > 3, "default"))
+    return table(spark, d, "documents").select("doc_id", v.alias("part"))
+
+
+# ---- tables
+
+CELLS = "SELECT l_orderkey AS table_id, l_linenumber AS cell, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus, CAST(l_quantity AS BIGINT) % 4 AS span FROM lineitem"
+CELL_ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+
+
+def line_cells(spark, d) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("table_id"), F.lit(0).alias("row"), (place - 1).alias("cell"), (F.col("l_quantity").cast("bigint") % 4).alias("span"), "l_returnflag", "l_linestatus"
+    )
+
+
+NUMBERED = f"SELECT *, l_orderkey AS table_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY {CELL_ORDER}) - 1 AS cell, CAST(l_quantity AS BIGINT) % 4 AS span FROM lineitem"
+
+
+@query(f"SELECT table_id, cell::INTEGER AS cell, coalesce(sum(greatest(span, 1)) OVER (PARTITION BY table_id ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS grid_col FROM ({NUMBERED})")
+def grid_cursor(spark, d):
+    return tables.grid_columns(line_cells(spark, d)).select("table_id", "cell", "grid_col")
+
+
+MERGE = "CASE l_returnflag WHEN 'A' THEN 'restart' WHEN 'R' THEN 'continue' END"
+
+
+@query(f"""
+WITH c AS (SELECT table_id, cell, {MERGE} AS m FROM ({NUMBERED})),
+g AS (SELECT *, sum(CASE WHEN m = 'continue' THEN 0 ELSE 1 END) OVER (PARTITION BY table_id ORDER BY cell ROWS UNBOUNDED PRECEDING) AS grp FROM c),
+h AS (SELECT *, first_value(m) OVER w AS hm, first_value(cell) OVER w AS hr, count(*) OVER (PARTITION BY table_id, grp) AS n FROM g WINDOW w AS (PARTITION BY table_id, grp ORDER BY cell))
+SELECT table_id, cell::INTEGER AS row, (CASE WHEN m = 'continue' AND hm = 'restart' THEN hr ELSE cell END)::INTEGER AS anchor_row, (CASE WHEN m = 'restart' THEN n WHEN m = 'continue' AND hm = 'restart' THEN 0 ELSE 1 END)::BIGINT AS row_span FROM h
+""")
+def vmerge_rowspan(spark, d):
+    merge = F.when(F.col("l_returnflag") == "A", "restart").when(F.col("l_returnflag") == "R", "continue")
+    cells = line_cells(spark, d).select("table_id", F.lit(0).alias("grid_col"), F.col("cell").alias("row"), merge.alias("v_merge"))
+    return tables.vertical_merges(cells).select("table_id", "row", "anchor_row", "row_span")
+
+
+@query(f"""
+SELECT table_id, cell::INTEGER AS cell, array_to_string(list_filter([
+  'wholeTable', CASE WHEN cell >= 1 AND (cell - 1) % 2 = 0 THEN 'band1Horz' END, CASE WHEN cell >= 1 AND (cell - 1) % 2 = 1 THEN 'band2Horz' END, CASE WHEN c >= 1 AND (c - 1) % 2 = 0 THEN 'band1Vert' END, CASE WHEN c >= 1 AND (c - 1) % 2 = 1 THEN 'band2Vert' END,
+  CASE WHEN cell = 0 THEN 'firstRow' END, CASE WHEN cell = n - 1 THEN 'lastRow' END, CASE WHEN c = 0 THEN 'firstCol' END, CASE WHEN c = 4 THEN 'lastCol' END, CASE WHEN cell = 0 AND c = 0 THEN 'nwCell' END, CASE WHEN cell = 0 AND c = 4 THEN 'neCell' END,
+  CASE WHEN cell = n - 1 AND c = 0 THEN 'swCell' END, CASE WHEN cell = n - 1 AND c = 4 THEN 'seCell' END], lambda x: x IS NOT NULL), ',') AS conditions
+FROM (SELECT table_id, cell, l_partkey % 5 AS c, count(*) OVER (PARTITION BY table_id) AS n FROM ({NUMBERED}))
+""")
+def band_conditions(spark, d):
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    cells = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_id"), (place - 1).alias("cell"), (F.col("l_partkey") % 5).alias("c"), F.count("*").over(Window.partitionBy("l_orderkey")).alias("n"))
+    return cells.select("table_id", "cell", F.array_join(tables.conditions(F.col("cell"), F.col("n"), F.col("c"), F.lit(5)), ",").alias("conditions"))
+
+
+@query(f"SELECT table_id, greatest(sum(greatest(span, 1)), 1)::BIGINT AS columns FROM ({NUMBERED}) GROUP BY table_id")
+def table_columns(spark, d):
+    return tables.column_counts(line_cells(spark, d))
+
+
+# ---- numbering
+
+LEVELS = "SELECT conv_id, turn, CASE role WHEN 'user' THEN 0 ELSE 1 END AS ilvl FROM conversations"
+
+
+@query(f"""
+WITH c AS ({LEVELS}),
+g AS (SELECT *, sum(CASE WHEN ilvl = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS top FROM c),
+n AS (SELECT *, count(*) FILTER (WHERE ilvl = 1) OVER (PARTITION BY conv_id, top ORDER BY turn ROWS UNBOUNDED PRECEDING) AS sub FROM g)
+SELECT conv_id, turn, CASE WHEN ilvl = 0 THEN top || '.' ELSE top || '.' || sub || ')' END AS label FROM n
+""")
+def numbering_labels(spark, d):
+    from ..operators.numbering import counters
+
+    items = table(spark, d, "conversations").select(F.col("conv_id").alias("list_id"), "turn", F.when(F.col("role") == "user", 0).otherwise(1).alias("ilvl"))
+    c = counters(items, "list_id", "turn", 2)
+    top, sub = F.coalesce(F.col("counts")[0], F.lit(0)).cast("string"), F.col("counts")[1].cast("string")
+    return c.select(F.col("list_id").alias("conv_id"), "turn", F.when(F.col("ilvl") == 0, F.concat(top, F.lit("."))).otherwise(F.concat(top, F.lit("."), sub, F.lit(")"))).alias("label"))
+
+
+@query("SELECT p_partkey, repeat(chr(CAST(97 + p_partkey % 26 AS INTEGER)), CAST(p_partkey // 26 + 1 AS INTEGER)) AS letter, CASE WHEN (p_partkey + 1) % 100 BETWEEN 11 AND 13 THEN (p_partkey + 1) || 'th' ELSE (p_partkey + 1) || CASE (p_partkey + 1) % 10 WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END END AS ordinal FROM part")
+def letter_format(spark, d):
+    n = F.col("p_partkey") + 1
+    return table(spark, d, "part").select("p_partkey", numbers.letters(n).alias("letter"), numbers.ordinal(n).alias("ordinal"))
+
+
+def roman_sql(n: str) -> str:
+    rest, parts = n, []
+    for value, symbol in numbers.ROMAN:
+        parts.append(f"repeat('{symbol.lower()}', CAST({rest} // {value} AS INTEGER))")
+        rest = f"({rest} % {value})"
+    return " || ".join(parts)
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_partkey = 0 THEN '0' ELSE {roman_sql('p_partkey')} END AS numeral FROM part WHERE p_partkey < 4000")
+def roman_format(spark, d):
+    return table(spark, d, "part").where("p_partkey < 4000").select("p_partkey", numbers.roman(F.col("p_partkey")).alias("numeral"))
+
+
+# ---- styles
+
+
+@query("""
+SELECT doc_id, CASE WHEN d3 IS NOT NULL THEN d3 WHEN coalesce(p AND c, false) THEN false ELSE coalesce(c, p, doc_id % 2 = 0) END AS bold
+FROM (SELECT doc_id, quality = 1 AS p, toxic = 1 AS c, CASE WHEN doc_id % 6 = 0 THEN doc_id % 12 = 0 END AS d3 FROM documents LEFT JOIN labels USING (doc_id))
+""")
+def toggle_resolve(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    i = F.col("doc_id")
+    return rows.select("doc_id", styles.toggle(i % 2 == 0, F.col("quality") == 1, F.col("toxic") == 1, F.when(i % 6 == 0, i % 12 == 0)).alias("bold"))
+
+
+@query("""
+SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END, CASE WHEN n_nationkey % 2 = 0 THEN n_name END, r_name, 'default') AS font
+FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+""")
+def style_cascade(spark, d):
+    c, n, r = (table(spark, d, t) for t in ("customer", "nation", "region"))
+    rows = c.join(n, c.c_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left")
+    return rows.select("c_custkey", styles.cascade(F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")), F.col("r_name"), F.lit("default")).alias("font"))
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey > 0 THEN n_nationkey // 2 END AS parent, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS v FROM nation),
+c AS (SELECT id AS style_id, id AS at, v, 0 AS depth FROM s UNION ALL SELECT style_id, s.parent, p.v, depth + 1 FROM c JOIN s ON s.id = c.at JOIN s p ON p.id = s.parent WHERE s.parent IS NOT NULL)
+SELECT style_id, arg_min(v, depth) FILTER (WHERE v IS NOT NULL) AS font, max(depth) AS depth FROM c GROUP BY style_id
+""")
+def based_on_chain(spark, d):
+    n = F.col("n_nationkey")
+    rows = table(spark, d, "nation").select(F.lit(0).alias("sheet"), n.alias("style_id"), F.when(n > 0, F.floor(n / 2).cast("int")).alias("based_on"), F.when(n % 3 == 0, F.col("n_name")).alias("font"))
+    return styles.effective(rows, ["sheet"], ["font"]).select("style_id", "font", "depth")
+
+
+@query("""
+SELECT p_partkey, array_to_string(list_transform(list_sort(stops), lambda s: s.pos || ':' || s.align), ' ') AS stops FROM (
+  SELECT p_partkey, list({'pos': pos, 'align': align}) AS stops FROM (
+    SELECT p_partkey, pos, arg_max(align, pri) AS align FROM (
+      SELECT p_partkey, unnest([p_size, p_size + 10, p_size + 20]) AS pos, 'left' AS align, 0 AS pri FROM part
+      UNION ALL SELECT p_partkey, unnest([20, 30, p_size + 10]) AS pos, unnest(['right', 'center', 'decimal']) AS align, unnest([1, 1, 2]) AS pri FROM part WHERE p_size NOT IN (10, 20))
+    GROUP BY p_partkey, pos) WHERE p_partkey IN (SELECT p_partkey FROM part WHERE p_size NOT IN (10, 20)) GROUP BY p_partkey)
+""")
+def tab_stop_union(spark, d):
+    stop = lambda p, a: F.struct(p.cast("bigint").alias("pos"), F.lit(a).alias("align"))
+    s = F.col("p_size")
+    merged = styles.merge_tab_stops(F.array(stop(s, "left"), stop(s + 10, "left"), stop(s + 20, "left")), F.array(stop(F.lit(20), "right"), stop(F.lit(30), "center"), stop(s + 10, "decimal")))
+    return table(spark, d, "part").where("p_size NOT IN (10, 20)").select("p_partkey", F.array_join(F.transform(merged, lambda t: F.concat(t["pos"].cast("string"), F.lit(":"), t["align"])), " ").alias("stops"))
+
+
+# ---- runs
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 1 AS run FROM g)
+SELECT user_id, run::BIGINT AS run, event_type, string_agg(props, '' ORDER BY event_id) AS props, count(*) AS n FROM i GROUP BY user_id, run, event_type
+""")
+def merge_adjacent(spark, d):
+    return runs.merge_adjacent(table(spark, d, "events").select("user_id", "event_id", "event_type", "props"), ["user_id"], "event_id", ["event_type"], "props")
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS start, unnest(l) AS ch FROM (SELECT doc_id, string_split(text, '') AS l FROM documents)),
+o AS (SELECT *, CASE WHEN regexp_matches(ch, '^[A-Za-z]$') THEN 'ascii' WHEN regexp_matches(ch, '^[\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}]$') THEN 'eastAsia' WHEN regexp_matches(ch, '^[\x{0590}-\x{08FF}\x{FB1D}-\x{FEFC}]$') THEN 'complexScript' WHEN regexp_matches(ch, '^[\x{00A1}-\x{024F}\x{0370}-\x{058F}]$') THEN 'highAnsi' END AS own FROM c WHERE ch <> ''),
+s AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(own IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'ascii') AS script FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
+n AS (SELECT *, CASE WHEN lag(script) OVER (PARTITION BY doc_id ORDER BY start) IS NOT DISTINCT FROM script THEN 0 ELSE 1 END AS new FROM s),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING) - 1 AS segment FROM n)
+SELECT doc_id, segment::BIGINT AS segment, script, min(start)::INTEGER AS start, string_agg(ch, '' ORDER BY start) AS text FROM i GROUP BY doc_id, segment, script
+""")
+def script_segments(spark, d):
+    return runs.script_segments(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM conversations),
+c AS (SELECT *, greatest(0, least(200 - place, length(text)))::INTEGER AS cut FROM p)
+SELECT conv_id, turn, 'left' AS side, substring(text, 1, cut) AS text FROM c WHERE cut > 0 UNION ALL SELECT conv_id, turn, 'right', substring(text, cut + 1) FROM c WHERE cut < length(text)
+""")
+def split_runs(spark, d):
+    return runs.split_at(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", F.lit(200))
+
+
+# ---- comments
+
+
+@query("SELECT a.conv_id, a.turn, CAST(NULL AS BOOLEAN) IS NULL AND a.turn % 3 = 0 AS resolved, b.turn AS parent_id FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1")
+def comment_threads(spark, d):
+    c = table(spark, d, "conversations")
+    para = lambda t, k: F.concat(t.cast("string"), F.lit(k))
+    rows = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id"), F.array(para(F.col("turn"), "a"), para(F.col("turn"), "b")).alias("para_ids"))
+    ext = c.select(F.col("conv_id").alias("doc_id"), para(F.col("turn"), "b").alias("para_id"), (F.col("turn") % 3 == 0).alias("done"), para(F.col("turn") - 1, "a").alias("parent_para_id"))
+    return comments.threads(rows, ext).select(F.col("doc_id").alias("conv_id"), F.col("id").alias("turn"), "resolved", "parent_id")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def note_text(spark, d):
+    return blocks.joined_text(table(spark, d, "conversations"), "conv_id", "turn", "text")
+
+
+@query("SELECT conv_id AS doc_id, max(turn) + 1 AS next_id FROM conversations GROUP BY conv_id")
+def next_comment_id(spark, d):
+    return comments.next_comment_id(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("id")))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN coalesce(quality = 1, toxic = 1, false) THEN '☒' ELSE '☐' END WHEN doc_id % 3 = 1 THEN coalesce(lang, source, '') ELSE coalesce(lang, '') END AS shown FROM documents LEFT JOIN labels USING (doc_id)")
+def form_field_text(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    kind = F.element_at(F.array(*map(F.lit, ("checkbox", "text", "dropdown"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return rows.select("doc_id", comments.field_text(kind, F.col("quality") == 1, F.col("toxic") == 1, F.col("lang"), F.col("source")).alias("shown"))
+
+
+# ---- aggregates
+
+
+@query("SELECT md5(text) AS block_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return blocks.duplicates(table(spark, d, "documents").select(F.md5("text").alias("block_id")), "block_id")
+
+
+@query("""
+SELECT lang, count(*) AS docs, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS paragraphs, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) FILTER (WHERE quality IS NULL) AS unlabelled
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang
+""")
+def doc_summary(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("p")).join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("p").cast("bigint").alias("paragraphs"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality").isNull()).alias("unlabelled"))
+
+
+@query("SELECT source, lang, count(*) AS docs, sum(n_chars)::BIGINT AS chars, 2 - (GROUPING(source) + GROUPING(lang)) AS level FROM documents GROUP BY ROLLUP (source, lang)")
+def corpus_rollup(spark, d):
+    return quality.rollup_report(table(spark, d, "documents"), ["source", "lang"], docs=F.count("*"), chars=F.sum("n_chars"))
+
+
+@query("SELECT event_type, max(value) AS max_value, max(event_id % 100)::BIGINT AS max_k, count(*) FILTER (WHERE value > 40 OR event_id % 100 > 98) AS failed_pages, count(*) AS pages, bool_and(NOT (value > 40 OR event_id % 100 > 98)) AS passed FROM events GROUP BY event_type")
+def threshold_eval(spark, d):
+    rows = table(spark, d, "events").select("event_type", "value", (F.col("event_id") % 100).alias("k"))
+    return compare.evaluate_thresholds(rows, ["event_type"], {"value": 40, "k": 98})
+
+
+@query("""
+SELECT p_partkey, wd AS width_diff, hd AS height_diff, ad AS aspect_diff, wd > 0.3 OR hd > 0.3 OR ad > 0.3 AS failed FROM (
+  SELECT p_partkey, round(abs(rw - w) / greatest(rw, w), 6) AS wd, round(abs(rh - h) / greatest(rh, h), 6) AS hd, round(abs(rw / rh - w / h) / greatest(rw / rh, w / h), 6) AS ad
+  FROM (SELECT p_partkey, 816.0::DOUBLE AS rw, 1056.0::DOUBLE AS rh, 600.0::DOUBLE + p_size * 7 AS w, p_retailprice AS h FROM part))
+""")
+def geometry_diff(spark, d):
+    pairs = table(spark, d, "part").select("p_partkey", F.lit(816.0).alias("ref_width"), F.lit(1056.0).alias("ref_height"), (F.lit(600.0) + F.col("p_size") * 7).alias("width"), F.col("p_retailprice").alias("height"))
+    return compare.geometry(pairs, 0.3).select("p_partkey", "width_diff", "height_diff", "aspect_diff", "failed")
+
+
+def nearest_sql() -> str:
+    options = ", ".join(f"({int(h[1:3], 16)}, {int(h[3:5], 16)}, {int(h[5:7], 16)}, '{n}')" for n, h in sorted(PALETTE.items()))
+    return f"""
+SELECT p_partkey, n AS name FROM (SELECT p_partkey, n, row_number() OVER (PARTITION BY p_partkey ORDER BY (c // 65536 - r) ** 2 + (c // 256 % 256 - g) ** 2 + (c % 256 - b) ** 2, n) AS k
+FROM (SELECT p_partkey, p_partkey * 7919 % 16777216 AS c FROM part), (VALUES {options}) v(r, g, b, n)) WHERE k = 1"""
+
+
+@query(nearest_sql())
+def nearest_color(spark, d):
+    color = F.concat(F.lit("#"), F.lpad(F.hex(F.col("p_partkey") * 7919 % 16777216), 6, "0"))
+    return table(spark, d, "part").select("p_partkey", compare.nearest_color(color, PALETTE).alias("name"))
+
+
+# ---- joins of the comparison
+
+
+@query("""
+WITH r AS (SELECT DISTINCT o_custkey AS case_id, o_orderkey AS page FROM orders), v AS (SELECT DISTINCT o_custkey AS case_id, l_orderkey + (CASE WHEN l_partkey % 50 = 0 THEN 1000000 ELSE 0 END) AS page FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT case_id, count(*) FILTER (WHERE v IS NULL) AS missing, count(*) FILTER (WHERE r IS NULL) AS unexpected, count(*) FILTER (WHERE r AND v) AS paired, count(*) FILTER (WHERE v IS NULL OR r IS NULL) = 0 AS equal
+FROM (SELECT case_id, page, true AS r FROM r) FULL JOIN (SELECT case_id, page, true AS v FROM v) USING (case_id, page) GROUP BY case_id
+""")
+def comparison_plan(spark, d):
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    ref = orders.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("page"))
+    page = F.col("l_orderkey") + F.when(F.col("l_partkey") % 50 == 0, 1000000).otherwise(0)
+    seen = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("case_id"), page.alias("page"))
+    return compare.comparison_plan(ref, seen, ["case_id"], "page")
+
+
+@query("SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)")
+def unmatched_sources(spark, d):
+    return compare.unmatched(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), ["doc_id"])
+
+
+@query("SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)")
+def matched_sources(spark, d):
+    return compare.matched(table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels"), ["doc_id"])
+
+
+@query("""
+WITH e AS (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id % 3 > 0), f AS (SELECT k, count(*) AS n FROM (SELECT doc_id AS k FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY k)
+SELECT k, CASE WHEN f.n IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' ELSE 'duplicate' END AS issue FROM e FULL JOIN f USING (k) WHERE f.n IS NULL OR e.k IS NULL OR f.n > 1
+""")
+def metric_index(spark, d):
+    labels = table(spark, d, "labels")
+    found = labels.select(F.col("doc_id").alias("k")).unionByName(labels.where("toxic = 1").select(F.col("doc_id").alias("k")))
+    return quality.exactly_once(table(spark, d, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("k")), found, ["k"])
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, ordinal, node_index AS want FROM (SELECT doc_id, node_index, row_number() OVER (PARTITION BY doc_id ORDER BY node_index) AS ordinal FROM ({BREAKS}))),
+p AS (SELECT doc_id, node_index, row_number() OVER (PARTITION BY doc_id ORDER BY node_index) AS ordinal FROM ({LINES}) WHERE node_index > 0 AND length(text) % 5 = 0)
+SELECT doc_id, sum(CASE WHEN node_index = want THEN 25 ELSE -100 * abs(node_index - want) END)::BIGINT AS score FROM s JOIN p USING (doc_id, ordinal) GROUP BY doc_id
+""")
+def break_score(spark, d):
+    lines = blocks.text_blocks(table(spark, d, "documents")).where("node_index > 0")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("node_index"))
+    pick = lambda c: lines.where(c).select("doc_id", place.alias("ordinal"), F.col("node_index").alias("start"))
+    return layout.score_breaks(pick("length(text) % 5 = 0"), pick("length(text) % 7 = 0"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, n_chars // 2000 + 1 AS target, s AS scale, CAST(ceil(n_chars / (1900.0 * s)) AS BIGINT) AS page_count FROM documents, (SELECT unnest([0.8, 0.9, 1.0, 1.1, 1.2])::DOUBLE AS s)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(page_count - target), abs(scale - 1), scale) AS k, max(CASE WHEN scale = 1 THEN abs(page_count - target) END) OVER (PARTITION BY doc_id) AS off, max(CASE WHEN scale = 1 THEN page_count END) OVER (PARTITION BY doc_id) AS own FROM c)
+SELECT doc_id, CASE WHEN off > 3 THEN 1.0 ELSE scale END::DOUBLE AS scale, CASE WHEN off > 3 THEN own ELSE page_count END AS page_count FROM b WHERE k = 1
+""")
+def scale_search(spark, d):
+    scales = F.explode(F.array(*[F.lit(s) for s in (0.8, 0.9, 1.0, 1.1, 1.2)]))
+    rows = table(spark, d, "documents").select("doc_id", "n_chars", (F.floor(F.col("n_chars") / 2000) + 1).alias("target"), scales.alias("scale"))
+    return layout.best_scale(rows.withColumn("page_count", F.ceil(F.col("n_chars") / (F.lit(1900.0) * F.col("scale")))))
+
+
+# ---- edits and histories
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NOT NULL AND epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 600000000 AND lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS burst FROM g
+""")
+def commit_bursts(spark, d):
+    return history.bursts(table(spark, d, "events"), "user_id", "ts", "event_type", 600_000, "event_id").select("event_id", "user_id", "burst")
+
+
+def action(kind: Column) -> Column:
+    return F.when(kind == "click", "undo").when(kind == "error", "redo").when(kind == "signup", "reset").otherwise("commit")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'undo' WHEN 'error' THEN 'redo' WHEN 'signup' THEN 'reset' ELSE 'commit' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+h AS (
+  SELECT user_id, 0::BIGINT AS event_id, '' AS action, 0::BIGINT AS k, 0::BIGINT AS u, 0::BIGINT AS r FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.action, e.k,
+    CASE e.action WHEN 'commit' THEN least(u + 1, 100) WHEN 'undo' THEN greatest(u - 1, 0) WHEN 'redo' THEN CASE WHEN r > 0 THEN least(u + 1, 100) ELSE u END ELSE 0 END,
+    CASE e.action WHEN 'commit' THEN 0 WHEN 'undo' THEN CASE WHEN u > 0 THEN r + 1 ELSE r END WHEN 'redo' THEN greatest(r - 1, 0) ELSE 0 END
+  FROM h JOIN e ON e.user_id = h.user_id AND e.k = h.k + 1)
+SELECT user_id, event_id, action, u AS undo_depth, r AS redo_depth FROM h WHERE k > 0
+""")
+def history_depth(spark, d):
+    return history.depths(table(spark, d, "events").select("user_id", "event_id", action(F.col("event_type")).alias("action")), "user_id", "event_id", "action")
+
+
+TURNS = "SELECT conv_id AS doc_id, turn AS node_index, role, length(text)::INTEGER AS size FROM conversations"
+
+
+def turns(spark, d) -> DataFrame:
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("node_index"), "role", F.length("text").alias("size"))
+
+
+@query(f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY node_index, k) - 1 AS INTEGER) AS node_index, role, size FROM (SELECT *, 1 AS k FROM ({TURNS}) UNION ALL SELECT DISTINCT doc_id, 1, 'inserted', 0, 0 FROM ({TURNS}))
+""")
+def insert_rows(spark, d):
+    rows = turns(spark, d)
+    return blocks.insert_rows(rows, rows.select("doc_id").distinct().select("doc_id", F.lit(1).alias("node_index"), F.lit("inserted").alias("role"), F.lit(0).alias("size")))
+
+
+@query(f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY node_index) - 1 AS INTEGER) AS node_index, role, size FROM (
+  SELECT *, count(*) FILTER (WHERE role <> 'user') OVER (PARTITION BY doc_id) AS kept, min(node_index) OVER (PARTITION BY doc_id) AS f FROM ({TURNS})) WHERE role <> 'user' OR (kept = 0 AND node_index = f)
+""")
+def remove_rows(spark, d):
+    return blocks.remove_rows(turns(spark, d), F.col("role") == "user")
+
+
+@query(f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY node_index, k) - 1 AS INTEGER) AS node_index, role, size FROM (SELECT *, 0 AS k FROM ({TURNS}) UNION ALL SELECT *, 1 FROM ({TURNS}) WHERE role = 'assistant')
+""")
+def duplicate_rows(spark, d):
+    return blocks.duplicate_rows(turns(spark, d), F.col("role") == "assistant")
+
+
+@query("SELECT doc_id, CASE WHEN strpos(text, 'the') > 0 THEN substring(text, 1, strpos(text, 'the') - 1) || 'THE' || substring(text, strpos(text, 'the') + 3) ELSE text END AS text FROM documents")
+def replace_first(spark, d):
+    return table(spark, d, "documents").select("doc_id", blocks.replace_first(F.col("text"), "the", "THE").alias("text"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE turn BETWEEN 1 AND 3")
+def copy_slice(spark, d):
+    return table(spark, d, "conversations").where(F.col("turn").between(1, 3)).select("conv_id", "turn", "role")
+
+
+# ---- quality
+
+
+@query("""
+SELECT CAST(doc_id AS VARCHAR) AS key, 'short' AS rule FROM documents WHERE n_chars < 40 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'length' FROM documents WHERE n_chars <> length(text) UNION ALL SELECT CAST(doc_id AS VARCHAR), 'pipes' FROM documents WHERE contains(text, '|')
+UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'balance' FROM customer WHERE c_acctbal < 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'nation' FROM customer WHERE c_nationkey NOT BETWEEN 0 AND 20
+""")
+def quality_issues(spark, d):
+    docs = quality.issues(table(spark, d, "documents"), "doc_id", {"short": F.col("n_chars") < 40, "length": F.col("n_chars") != F.length("text"), "pipes": F.contains("text", F.lit("|"))})
+    return docs.unionByName(quality.issues(table(spark, d, "customer"), "c_custkey", {"balance": F.col("c_acctbal") < 0, "nation": ~F.col("c_nationkey").between(0, 20)}))
