@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize
+from .common import column, materialize, plain_memory
 from .tokens import TOKENIZER, blocks, tokenizer_path, word_ids
 
 WINDOW, END_ID = 4096, 2
 #: A shard: so many ids or documents. It bounds a task's memory, and how far neighbours are sought.
-SHARD_IDS, SHARD_DOCS = 2_000_000, 8192
+SHARD_IDS, SHARD_DOCS = 1_000_000, 8192
 #: Ids of a seed that make its query (those with the largest BM25 weight), and BM25's constants.
 QUERY_IDS, K1, B = 24, 1.2, 0.75
 #: Neighbours that a query's answer holds; when all are used, the window goes on with a new seed's query.
@@ -37,6 +37,7 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     schema = rows.select("doc_id", F.lit(b"").alias("ids")).schema
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         encoder = word_ids(path)
         for batch in batches:
             done = 0
@@ -152,6 +153,7 @@ def pack(ids: DataFrame, statistics: tuple[np.ndarray, int, float], window: int
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         sequence = TaskContext.get().partitionId() << 40
         filled = 0  # ids in the open window
         tail: list[list] = []  # its pieces: (doc, start, ids, doc_tokens)

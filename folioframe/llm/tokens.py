@@ -11,11 +11,11 @@ import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept in a process before its cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: Words of lower-case Latin letters only.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: Bytes of text that are split at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,8 +38,8 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES):
         start = end
 
 
-def lower(texts: pa.LargeStringArray) -> pa.LargeStringArray:
-    """Lower-cases A-Z, byte by byte."""
+def lower(texts: pa.LargeStringArray, latin: bool = False) -> pa.LargeStringArray:
+    """Lower-cases A-Z, byte by byte; with latin the capitals of U+00C0 to U+00DE too (in UTF-8, C3 and a byte)."""
     if not len(texts):
         return texts
     _, offsets, data = texts.buffers()
@@ -48,21 +48,29 @@ def lower(texts: pa.LargeStringArray) -> pa.LargeStringArray:
         return pa.array([""] * len(texts), pa.large_string())
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
     low = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
+    if latin:
+        second = np.flatnonzero(raw[:-1] == 0xC3) + 1
+        capital = (low[second] >= 0x80) & (low[second] <= 0x9E) & (low[second] != 0x97)
+        low[second[capital]] += np.uint8(32)
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(low))
 
 
 class WordIds:
     """Encodes texts with a tokenizer that drops white space, so that a text's ids are those of its words in turn.
 
-    Each distinct word is encoded once. Lower-casing ASCII first, and setting full stops, commas and exclamation
+    Each distinct word is encoded once. Lower-casing ASCII and Latin-1 letters first, and setting full stops, commas and exclamation
     marks after a letter apart, changes no id (both are what the tokenizer does itself) and leaves fewer words.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for words that normalising doesn't change and that are one piece each.
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.normalizer = None
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(1 << 16, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.last[i] = piece.endswith("</w>")
@@ -75,11 +83,12 @@ class WordIds:
 
     def learn(self, words: list[str]) -> None:
         n = len(self.index)
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        other = [w for w in words if not PLAIN.fullmatch(w)]
+        plain, other = [], []
+        for w in words:
+            (plain if PLAIN.fullmatch(w) else other).append(w)
         words = plain + other
         # A word of letters alone is one piece to the tokenizer, so many are encoded as one text and told apart by their last ids.
-        joined = [e.ids for e in self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 512]) for i in range(0, len(plain), 512)], add_special_tokens=False)]
+        joined = [e.ids for e in self.pieces.encode_batch_fast([" ".join(plain[i : i + 64]) for i in range(0, len(plain), 64)], add_special_tokens=False)]
         each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
         first = np.concatenate([np.array(x, np.uint16) for x in joined] or [np.zeros(0, np.uint16)])
         ends = np.flatnonzero(self.last[first]) + 1
@@ -100,9 +109,9 @@ class WordIds:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint16) of all texts in turn and the number of ids of each."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        # ASCII letters compose with marks of this block only; a text with one is left to the tokenizer as it is.
+        # These letters compose with marks of this block only; a text with one is left to the tokenizer as it is.
         marked = pc.match_substring_regex(texts, "[̀-ͯ]")
-        texts = pc.if_else(marked, texts, lower(texts))
+        texts = pc.if_else(marked, texts, lower(texts, latin=True))
         texts = pc.replace_substring_regex(texts, r"([a-z])([.,!]+)([\t-\r ]|$)", r"\1 \2\3")
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
