@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_recording: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Collects the paths of the tables materialized inside."""
+    made: list[str] = []
+    _recording.append(made)
+    try:
+        yield made
+    finally:
+        _recording.remove(made)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes materialized tables by path; one that is gone already is no error."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    release()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
@@ -40,6 +64,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _recording:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, column, discard, fresh, materialize, text_of
+from .common import SPACE, column, fresh, materialize, release, text_of
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 #: A chunk ends after such a pair of characters, or at MAX_CHUNK.
@@ -63,6 +63,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = source.select("row_id", "doc_id", F.length("text").alias("n_points"), normalized(F.col("text")).alias("normal"))
     cut = plain.select("*", chunks_of(F.col("normal")).alias("chunks"))
     collided = collisions(cut.select("chunks"), identifier)
+    release()
     digest = materialize(
         cut.select("row_id", "doc_id", "n_points", F.sha2("normal", 256).alias("text_sha256"), recipe_of(F.col("chunks"), collided, identifier).alias("recipe")),
         "recipes",

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, plain_memory
 
 DIM, SEED = 1024, 8
 #: Training texts: so many for each language at most (in expectation; chosen by a hash of doc_id).
@@ -24,7 +24,7 @@ TRAIN_DOCS = 2000
 #: A model keeps one vector for each language; more values of lang than this are an error.
 MAX_LANGS = 2000
 #: Characters and documents that one numpy block takes. A longer text is counted in pieces.
-BLOCK_CHARS, BLOCK_DOCS = 1 << 20, 256
+BLOCK_CHARS, BLOCK_DOCS = 1 << 19, 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -88,8 +88,8 @@ class Profiles:
                 place = {r: k for k, r in enumerate(rows)}
                 gram, at = np.unique(np.concatenate([g for _, g in parts]), return_inverse=True)
                 owner = np.repeat([place[i] for i, _ in parts], [len(g) for _, g in parts])
-                for s in range(0, len(gram), 16384):  # bounded memory where texts have very many trigrams
-                    width = min(16384, len(gram) - s)
+                for s in range(0, len(gram), 4096):  # bounded memory where texts have very many trigrams
+                    width = min(4096, len(gram) - s)
                     own = (at >= s) & (at < s + width)
                     counts = np.bincount(owner[own] * width + (at[own] - s), minlength=len(rows) * width).reshape(len(rows), width).astype(np.float32)
                     out[rows] += counts @ self.trigram_vectors(gram[s : s + width])
@@ -178,6 +178,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
     schema = rows.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         p = profiles(dim, seed)
         for whole in batches:
             for s in range(0, whole.num_rows, 1024):
@@ -203,6 +204,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     matrix = np.stack(list(model.values())).astype(np.float32).T if model else np.zeros((DIM, 0), np.float32)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain_memory()
         p = profiles(DIM, SEED)
         for whole in batches:
             for s in range(0, whole.num_rows, 1024):

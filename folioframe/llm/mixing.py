@@ -156,7 +156,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     keyed = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
     copies = materialize(decide(measured(keyed, id_col, text_col, source_col, column(row))).select(F.col("row_id").alias(row), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias("copies")), "taken")
     n = fresh(keyed, "copies")
-    taken = keyed.join(copies.withColumnRenamed("copies", n), row).where(F.col(n) > 0)
+    # Texts meet their copies by a shuffle at every size: the copies grow with the input, so they are no broadcast side.
+    taken = keyed.hint("merge").join(copies.withColumnRenamed("copies", n), row).where(F.col(n) > 0)
     return taken.withColumn(n, F.explode(F.array_repeat(F.lit(1), F.col(n)))).select(*[column(c) for c in docs.columns])
 
 
