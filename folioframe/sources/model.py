@@ -32,7 +32,7 @@ def extract(parts: DataFrame, where, schema: str, rows: Callable[[str, str], Ite
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for doc, name, content in zip(frame["doc_id"], frame["name"], frame["content"], strict=True):
-                out = [{"doc_id": doc, **r} for r in rows(name, content or "")]
+                out = [[doc, *(r.get(c) for c in columns[1:])] for r in rows(name, content or "")]
                 if out:
                     yield pd.DataFrame(out, columns=columns, dtype=object)
 
@@ -279,7 +279,8 @@ def cell_paragraphs(tc: Node) -> list[Node]:
     return out
 
 
-BODIES = F.col("name").rlike(r"^word/(document|header[0-9]*|footer[0-9]*)\.xml$")
+def bodies():
+    return F.col("name").rlike(r"^word/(document|header[0-9]*|footer[0-9]*)\.xml$")
 
 
 def blocks(parts: DataFrame) -> DataFrame:
@@ -298,7 +299,7 @@ def blocks(parts: DataFrame) -> DataFrame:
                 "section_xml": sect.xml if sect is not None else None, "break_inside": any(b.get("type") == "page" for b in n.walk("w:br")), "rendered_break": n.first("w:lastRenderedPageBreak") is not None,
             }
 
-    return extract(parts, BODIES, BLOCK, rows)
+    return extract(parts, bodies(), BLOCK, rows)
 
 
 def runs(parts: DataFrame) -> DataFrame:
@@ -311,7 +312,7 @@ def runs(parts: DataFrame) -> DataFrame:
                 for r in runs_of(p):
                     yield {"container": name, "node_index": i, "cell_path": [{"row": a, "cell": b} for a, b in path], "paragraph": k, **r}
 
-    found = extract(parts, BODIES, RUN, rows)
+    found = extract(parts, bodies(), RUN, rows)
     rels = relationships(parts).select("doc_id", F.col("part").alias("container"), F.col("rid").alias("link_rid"), "target")
     joined = found.join(rels, ["doc_id", "container", "link_rid"], "left")
     anchor = F.regexp_extract("link", "^#(.*)$", 1)
@@ -347,7 +348,7 @@ def cells(parts: DataFrame) -> DataFrame:
                     "width_twips": props.integer(props.val(p, "w:tcW", "w")), "shading": props.color(props.val(p, "w:shd", "fill")), "v_align": props.val(p, "w:vAlign"), "text": "\n".join(paragraph_text(x) for x in tc.nodes("w:p")),
                 }
 
-    return extract(parts, BODIES, CELL, rows)
+    return extract(parts, bodies(), CELL, rows)
 
 
 def sections(parts: DataFrame) -> DataFrame:
@@ -486,10 +487,8 @@ def balanced_blocks(texts: DataFrame, column: str, *names: str) -> DataFrame:
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [[(s, e, t, x[s:e]) for s, e, t in balanced(x, *names)] if isinstance(x, str) else [] for x in frame[column]]
-            out = frame.assign(__f=found).explode("__f").dropna(subset=["__f"])
-            for k, c in enumerate(("start", "end", "tag", "block")):
-                out[c] = [f[k] for f in out["__f"]]
-            yield out.drop(columns="__f")
+            rows = [(*values, s, e, t, x[s:e]) for *values, x in zip(*(frame[c].tolist() for c in frame.columns), frame[column].tolist(), strict=True) if isinstance(x, str) for s, e, t in balanced(x, *names)]
+            if rows:
+                yield pd.DataFrame(rows, columns=[*frame.columns, "start", "end", "tag", "block"], dtype=object)
 
     return texts.mapInPandas(read, f"{schema}, start int, end int, tag string, block string")
