@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, plain_memory
+from .common import column, lean, materialize
 from .tokens import TOKENIZER, blocks, tokenizer_path, word_ids
 
 WINDOW, END_ID = 4096, 2
@@ -26,7 +26,7 @@ WINDOW, END_ID = 4096, 2
 SHARD_IDS, SHARD_DOCS = 1_000_000, 8192
 #: Ids of a seed that make its query (those with the largest BM25 weight), and BM25's constants.
 QUERY_IDS, K1, B = 24, 1.2, 0.75
-#: Neighbours that a query's answer holds; when all are used, the window goes on with a new seed's query.
+#: Neighbours that a query's answer holds; when the window takes them all, the seed asks for the next ones.
 ANSWER = 64
 
 
@@ -37,7 +37,6 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     schema = rows.select("doc_id", F.lit(b"").alias("ids")).schema
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain_memory()
         encoder = word_ids(path)
         for batch in batches:
             done = 0
@@ -48,7 +47,7 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(part)), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
                 done += len(part)
 
-    return rows.mapInArrow(encode, schema)
+    return rows.mapInArrow(lean(encode), schema)
 
 
 def corpus_statistics(ids: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -71,7 +70,7 @@ def corpus_statistics(ids: DataFrame) -> tuple[np.ndarray, int, float]:
 
     df = np.zeros(1 << 16, np.int64)
     docs = total = 0
-    for r in ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most a row for each id of the vocabulary
+    for r in ids.select("ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most a row for each id of the vocabulary
         if r["id"] == -1:
             docs = r["n"]
         elif r["id"] == -2:
@@ -122,15 +121,17 @@ def retrieval_order(texts: list[np.ndarray], idf: np.ndarray, mean: float, room:
             next_seed += 1
         if next_seed == len(texts):
             return order
-        seed, answer = next_seed, None
+        seed = next_seed
         while seed is not None:  # windows whose last document seeds the next
             if not used[seed]:
                 used[seed] = True
                 order.append(seed)
                 room -= len(texts[seed])
-            cut = None
-            if room > 0:
+            cut = seed if room <= 0 else None
+            while room > 0:
                 answer = shard.neighbours(seed, used)
+                if not answer:
+                    break
                 for d in answer:
                     used[d] = True
                     order.append(d)
@@ -138,8 +139,6 @@ def retrieval_order(texts: list[np.ndarray], idf: np.ndarray, mean: float, room:
                     if room <= 0:
                         cut = d
                         break
-            else:
-                cut = seed
             if room <= 0:
                 room = window + room % -window if room % window else window
             seed = cut if cut is not None and cut != seed else None
@@ -153,7 +152,6 @@ def pack(ids: DataFrame, statistics: tuple[np.ndarray, int, float], window: int
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain_memory()
         sequence = TaskContext.get().partitionId() << 40
         filled = 0  # ids in the open window
         tail: list[list] = []  # its pieces: (doc, start, ids, doc_tokens)
@@ -214,7 +212,7 @@ def pack(ids: DataFrame, statistics: tuple[np.ndarray, int, float], window: int
             filled -= size
         yield from flush()
 
-    return ids.mapInArrow(write, f"doc_id {kind}, " + ", ".join(f"`{c}` long" for c in names[1:]))
+    return ids.mapInArrow(lean(write), f"doc_id {kind}, " + ", ".join(f"`{c}` long" for c in names[1:]))
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
