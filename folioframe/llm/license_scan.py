@@ -41,7 +41,8 @@ TEMPLATES = (
     ("licensed under cc by nc 4 0", "cc by nc", "cc-by-nc"),
     ("this is free and unencumbered software released into the public domain", "free and unencumbered software", "unlicense"),
 )
-#: How many of its rarest licence words a file looks up, besides those of the base phrases.
+#: How many of its rarest licence words a file looks up, besides those of the base phrases and the two rarest of each key
+#: phrase whose words it has; so no key phrase is missed, however many licences a file names.
 RARE = 16
 
 
@@ -55,8 +56,8 @@ class Index:
         self.at = []
         for (text, phrase, label, _), words, key in zip(self.rows, self.words, self.keys, strict=True):
             starts = [i for i in range(len(words)) if words[i : i + len(key)] == key]
-            if not starts or len(set(words)) < 2:
-                raise ValueError(f"template of {label}: two different words at least, and its key phrase inside it: {text!r}, {phrase!r}")
+            if not starts or len(set(key)) < 2:
+                raise ValueError(f"template of {label}: a key phrase of two different words at least inside it: {text!r}, {phrase!r}")
             self.at.append(starts[0])
         self.postings: dict[str, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
@@ -94,6 +95,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df, n = document_frequency(docs, index, text_col)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) for w in index.lexicon}
     order = {w: i for i, w in enumerate(sorted(index.lexicon, key=lambda w: (-idf[w], w)))}
+    # The two rarest words of each key phrase: where a phrase stands, both vote for its alignment.
+    rarest = [sorted(set(key), key=lambda w: order[w])[:2] for key in index.keys]
+    phrases = F.array(*[F.struct(strings(key).alias("key"), strings(two).alias("two")) for key, two in zip(index.keys, rarest, strict=True)])
     rank = F.create_map(*[x for w in index.lexicon for x in (F.lit(w), F.lit(order[w]))])
     posting = F.create_map(
         *[x for w in index.lexicon for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in index.postings[w]]))]
@@ -109,7 +113,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def votes(words: Column, present: Column) -> Column:
         """(template, alignment) of every posting met, sorted."""
         ranked = F.array_sort(F.transform(present, lambda w: F.struct(F.element_at(rank, w).alias("r"), w.alias("w"))))
-        look_up = F.array_union(F.transform(F.slice(ranked, 1, rare), lambda s: s["w"]), F.array_intersect(present, strings(index.base_words)))
+        told = F.flatten(F.transform(F.filter(phrases, lambda p: F.size(F.array_except(p["key"], present)) == 0), lambda p: p["two"]))
+        look_up = F.array_union(F.array_union(F.transform(F.slice(ranked, 1, rare), lambda s: s["w"]), told), F.array_intersect(present, strings(index.base_words)))
 
         def met(look: Column) -> Column:
             hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: F.array_contains(look, s["w"]))
