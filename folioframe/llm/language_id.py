@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, plain_memory
+from .common import column, lean
 
 DIM, SEED = 1024, 8
 #: Training texts: so many for each language at most (in expectation; chosen by a hash of doc_id).
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         yield pa.RecordBatch.from_pydict({"lang": pa.array(keys, pa.string()), "v": pa.array([sums[k].tobytes() for k in keys], pa.binary())})
 
     total: dict[str, np.ndarray] = {}
-    for r in sample.repartition(tasks).mapInArrow(bundle, "lang string, v binary").collect():  # 16 rows a language at most
+    for r in sample.repartition(tasks).mapInArrow(lean(bundle), "lang string, v binary").collect():  # 16 rows a language at most
         total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["v"])
     return {k: unit(total[k]) for k in sorted(total) if total[k].any()}
 
@@ -178,7 +178,6 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
     schema = rows.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain_memory()
         p = profiles(dim, seed)
         for whole in batches:
             for s in range(0, whole.num_rows, 1024):
@@ -194,7 +193,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
                 kept = [b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "__text"]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score.astype(np.float64))], names=schema.names)
 
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(lean(predict), schema)
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -204,7 +203,6 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     matrix = np.stack(list(model.values())).astype(np.float32).T if model else np.zeros((DIM, 0), np.float32)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain_memory()
         p = profiles(DIM, SEED)
         for whole in batches:
             for s in range(0, whole.num_rows, 1024):
@@ -212,7 +210,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 vectors, has = p.encode(b.column(text_col).to_pylist())
                 yield b.filter(pa.array(has & ((vectors @ matrix).max(axis=1, initial=0) > 0)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

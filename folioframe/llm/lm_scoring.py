@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, plain_memory, release
+from .common import column, lean, materialize, release
 from .language_id import mix64
 from .tokens import blocks, lower
 
@@ -147,14 +147,13 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, n over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain_memory()
         for batch in batches:
             for b in blocks(batch.column("text")):
                 coded, _ = words_in(b)
                 n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
                 yield pa.RecordBatch.from_pydict({"word": coded.dictionary.cast(pa.string()), "n": pa.array(n)})
 
-    return docs.select(column(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(column(text_col).cast("string").alias("text")).mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
@@ -177,7 +176,6 @@ def to_ids(docs: DataFrame, ids: dict[str, int], id_col: str = "doc_id", text_co
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain_memory()
         for batch in batches:
             done = 0
             for b in blocks(batch.column("text")):
@@ -188,7 +186,7 @@ def to_ids(docs: DataFrame, ids: dict[str, int], id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(b)), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
                 done += len(b)
 
-    return rows.mapInArrow(code, rows.select("doc_id", F.lit(b"").alias("ids")).schema)
+    return rows.mapInArrow(lean(code), rows.select("doc_id", F.lit(b"").alias("ids")).schema)
 
 
 def arrays(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -205,7 +203,6 @@ def trained(ids: DataFrame, model: np.ndarray, turn: int) -> DataFrame:
     every = round(1 / SHARE)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain_memory()
         net, seen, part = Net(model.copy()), 0, TaskContext.get().partitionId()
         sums = np.full_like(net.flat, 1e-3)
         left_context, left_target, word = [], [], 0
@@ -233,7 +230,7 @@ def trained(ids: DataFrame, model: np.ndarray, turn: int) -> DataFrame:
             cut = np.array_split(net.flat, SLICES)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part] * SLICES, pa.int64()), "slice": pa.array(range(SLICES), pa.int32()), "weight": pa.array([float(seen)] * SLICES), "values": pa.array([c.tobytes() for c in cut], pa.binary())})
 
-    return ids.select("ids").mapInArrow(train, "part long, slice int, weight double, values binary")
+    return ids.select("ids").mapInArrow(lean(train), "part long, slice int, weight double, values binary")
 
 
 def averaged(models: DataFrame) -> np.ndarray | None:
@@ -270,7 +267,6 @@ def scored(ids: DataFrame, model: np.ndarray) -> DataFrame:
     kind = ids.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain_memory()
         net = Net(model)
         for b, texts in arrays(batches):
             stream, at, owner = positions(texts)
@@ -284,7 +280,7 @@ def scored(ids: DataFrame, model: np.ndarray) -> DataFrame:
             mean = total / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(mean, mask=none), pa.array(np.exp(-mean), mask=none)], names=["doc_id", "n_words", "log_likelihood", "mean_log_probability", "perplexity"])
 
-    return ids.mapInArrow(score, f"doc_id {kind}, n_words long, log_likelihood double, mean_log_probability double, perplexity double")
+    return ids.mapInArrow(lean(score), f"doc_id {kind}, n_words long, log_likelihood double, mean_log_probability double, perplexity double")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:

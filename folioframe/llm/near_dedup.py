@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, fresh, materialize, release
+from .common import column, discard, fresh, lean, materialize, release
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("doc_id"), pa.array(fps.view(np.int64))], names=["row_id", "doc_id", "fp"])
 
-    return rows.mapInArrow(apply, rows.select("row_id", "doc_id", F.lit(0).cast("long").alias("fp")).schema)
+    return rows.mapInArrow(lean(apply), rows.select("row_id", "doc_id", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def gray_rank(fp: Column) -> Column:
@@ -201,7 +201,7 @@ def near_links(points: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
                 big = None
         here = dealt if big is None else dealt.join(big, ["path", "value"], "left_anti")
         ordered = here.repartition("path", "value").sortWithinPartitions("path", "value", gray_rank(F.col("fp")))
-        links = ordered.select("path", "value", "fp").mapInArrow(bucket_links, "a long, b long")
+        links = ordered.select("path", "value", "fp").mapInArrow(lean(bucket_links), "a long, b long")
         found = links if found is None else found.union(links)
         if big is None:
             return found

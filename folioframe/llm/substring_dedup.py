@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, materialize, plain_memory, release
+from .common import column, discard, lean, materialize, release
 from .language_id import mix64
 from .tokens import blocks
 
@@ -107,7 +107,6 @@ class Grams:
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    plain_memory()
     for batch in batches:
         done = 0
         for b in blocks(batch.column("text")):
@@ -134,12 +133,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             row, (h1, h2) = g.rows(at), g.window_hashes(at)
             yield pa.RecordBatch.from_pydict({"h1": pa.array(h1.view(np.int64)), "h2": pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), "row_id": b.column("row_id").take(pa.array(row)), "place": pa.array((at - g.starts[row]).astype(np.int32))})
 
-    seeds = materialize(keyed.select("row_id", "text").mapInArrow(seed, "row_id long, place int, anchor long"), "seeds")
+    seeds = materialize(keyed.select("row_id", "text").mapInArrow(lean(seed), "row_id long, place int, anchor long"), "seeds")
     again = materialize(seeds.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     release()
     found = materialize(seeds.join(again, "anchor").groupBy("row_id").agg(F.sort_array(F.collect_list("place")).alias("anchors")), "places")
     discard(seeds, again)
-    matched = keyed.join(found, "row_id").select("row_id", "text", "anchors").mapInArrow(extend, "h1 long, h2 int, row_id long, place int")
+    matched = keyed.join(found, "row_id").select("row_id", "text", "anchors").mapInArrow(lean(extend), "h1 long, h2 int, row_id long, place int")
     # Where the count is 1, the least row and place are those of the only one.
     single = matched.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id"), F.min("place").alias("place")).where("n = 1")
     once = materialize(single.select("row_id", "place"), "once")
@@ -201,7 +200,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             )
 
     joined = keyed.join(marks, "row_id", "left").select("doc_id", "text", "anchors", "once")
-    return joined.mapInArrow(remove, f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return joined.mapInArrow(lean(remove), f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
 def brute_force(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int, str]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, plain_memory
+from .common import column, lean
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose counts a process keeps before its cache starts anew.
@@ -197,7 +197,6 @@ def edit_aware_counts(docs: DataFrame, edits: Column, id_col: str = "doc_id", te
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain_memory()
         c = counter(vocabulary)
         for batch in batches:
             out = np.zeros((8, batch.num_rows), np.int64)
@@ -217,7 +216,7 @@ def edit_aware_counts(docs: DataFrame, edits: Column, id_col: str = "doc_id", te
                 out[:, i] = *before, len(todo), len(tree.text), tree.pieces, tree.total, tree.encoded - before[1]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], names=["doc_id", *[x.split()[0] for x in RESULT.split(", ")]])
 
-    return rows.mapInArrow(apply, f"doc_id {kind}, {RESULT}")
+    return rows.mapInArrow(lean(apply), f"doc_id {kind}, {RESULT}")
 
 
 def redactions(text: Column, pattern: str = PERSONAL, replacement: str = REPLACEMENT) -> Column:
