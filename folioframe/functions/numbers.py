@@ -52,10 +52,24 @@ def cardinal(n: Column) -> Column:
     return F.when((n < 0) | (n > 999_999), n.cast("string")).when(n == 0, "zero").when(thousand == 0, below_thousand(rest)).otherwise(long)
 
 
+#: Last words of a number whose ordinal isn't the word with "th" (fixed values).
+ORDINAL_WORDS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+
+
+def ordinal_words(n: Column) -> Column:
+    """A number below a million as an English ordinal: twenty-second."""
+    words = cardinal(n)
+    last = F.regexp_extract(words, "([a-z]+)$", 1)
+    head = words.substr(F.lit(1), F.length(words) - F.length(last))
+    special = F.create_map(*[F.lit(x) for kv in ORDINAL_WORDS.items() for x in kv])
+    tail = F.when(last.endswith("y"), F.concat(F.regexp_replace(last, "y$", "i"), F.lit("eth"))).otherwise(F.concat(last, F.lit("th")))
+    return F.when(last == "", words).otherwise(F.concat(head, F.coalesce(F.element_at(special, last), tail)))
+
+
 def label_number(n: Column, kind: Column) -> Column:
     """A counter in a level's format; unknown formats are decimal, none and bullet are empty."""
     return (
         F.when(kind == "lowerLetter", letters(n)).when(kind == "upperLetter", letters(n, True)).when(kind == "lowerRoman", roman(n)).when(kind == "upperRoman", roman(n, True))
-        .when(kind == "decimalZero", F.when(n.between(0, 9), F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))).when(kind == "ordinal", ordinal(n)).when(kind == "cardinalText", cardinal(n))
+        .when(kind == "decimalZero", F.when(n.between(0, 9), F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))).when(kind == "ordinal", ordinal(n)).when(kind == "cardinalText", cardinal(n)).when(kind == "ordinalText", ordinal_words(n))
         .when(kind.isin("none", "bullet"), "").otherwise(n.cast("string"))
     )

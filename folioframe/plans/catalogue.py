@@ -654,3 +654,192 @@ UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'balance' FROM customer WHERE c_acc
 def quality_issues(spark, d):
     docs = quality.issues(table(spark, d, "documents"), "doc_id", {"short": F.col("n_chars") < 40, "length": F.col("n_chars") != F.length("text"), "pipes": F.contains("text", F.lit("|"))})
     return docs.unionByName(quality.issues(table(spark, d, "customer"), "c_custkey", {"balance": F.col("c_acctbal") < 0, "nation": ~F.col("c_nationkey").between(0, 20)}))
+
+
+# ---- packages, streams and pages
+
+
+@query(LINES.replace("SELECT doc_id,", "SELECT CAST(doc_id AS VARCHAR) AS doc_id,", 1))
+def package_round_trip(spark, d):
+    """Every document written as a package and read back: the same blocks."""
+    from ..sources import model, packages, render
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+    def build(frames):
+        for frame in frames:
+            bodies = [render.document([render.paragraph(None, [{"text": t}]) for t in x.split("\n")]) for x in frame["text"]]
+            yield frame[["doc_id"]].assign(content=[packages.zip_bytes({"word/document.xml": b.encode()}) for b in bodies])
+
+    files = docs.mapInPandas(build, "doc_id string, content binary")
+    return model.blocks(packages.read_parts(files, "doc_id")).select("doc_id", "node_index", "text")
+
+
+@query(ORACLES["history_depth"].replace("SELECT user_id, event_id, action, u AS", "SELECT CAST(user_id AS VARCHAR) AS session_id, event_id AS seq, action, u AS"))
+def history_stream(spark, d):
+    """The undo fold as a stream over the events, run to its end."""
+    import uuid
+
+    from ..operators.scratch import shared_dir
+    from ..streaming import edits as live
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema)
+    # A stream reads folders: the table's own, or the one that its single file lies in.
+    single = any(f.endswith("/events.parquet") for f in events.inputFiles())
+    source = stream.option("pathGlobFilter", "events.parquet").parquet(d) if single else stream.parquet(f"{d}/events.parquet")
+    actions = source.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), action(F.col("event_type")).alias("action"))
+    run = live.history_stream(actions).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(live.OUTPUT).parquet(f"{base}/out")
+
+
+@query(f"""
+WITH c AS ({LEVELS}),
+g AS (SELECT *, sum(CASE WHEN ilvl = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS top FROM c)
+SELECT conv_id, turn, CASE WHEN ilvl = 0 THEN top ELSE sum(CASE WHEN ilvl = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) END::BIGINT AS n FROM g
+""")
+def numbering_without_restart(spark, d):
+    from ..operators.numbering import counters
+
+    items = table(spark, d, "conversations").select(F.col("conv_id").alias("list_id"), "turn", F.when(F.col("role") == "user", 0).otherwise(1).alias("ilvl"))
+    c = counters(items, "list_id", "turn", 2, restarts=F.array(F.lit(None).cast("int"), F.lit(0)))
+    return c.select(F.col("list_id").alias("conv_id"), "turn", F.element_at("counts", F.col("ilvl") + 1).alias("n"))
+
+
+@query("""
+WITH p AS (SELECT conv_id AS doc_id, turn AS page, turn // 3 AS section, CASE WHEN turn // 3 % 2 = 1 THEN 5 END AS start FROM conversations),
+m AS (SELECT *, CASE WHEN start IS NOT NULL AND lag(section) OVER w IS DISTINCT FROM section THEN page END AS start_page FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+l AS (SELECT *, last_value(start_page IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page ROWS UNBOUNDED PRECEDING) AS base FROM m)
+SELECT doc_id, page, CASE WHEN base IS NULL THEN page + 1 ELSE page - base + 5 END::BIGINT AS number FROM l
+""")
+def page_numbers(spark, d):
+    from ..operators import pages
+
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.floor(F.col("turn") / 3).alias("section_index"))
+    rows = rows.withColumn("page_start", F.when(F.col("section_index") % 2 == 1, 5)).withColumn("page_format", F.lit("decimal"))
+    return pages.page_numbers(rows).select("doc_id", "page", "number")
+
+
+@query("""
+WITH h AS (SELECT conv_id, turn // 2 AS page, arg_min(text, turn) AS f, arg_max(text, turn) AS l FROM conversations WHERE role = 'assistant' AND turn % 3 > 0 GROUP BY conv_id, turn // 2),
+p AS (SELECT DISTINCT conv_id, turn // 2 AS page FROM conversations)
+SELECT conv_id AS doc_id, page, coalesce(f, last_value(l IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS reference FROM p LEFT JOIN h USING (conv_id, page)
+""")
+def style_references(spark, d):
+    from ..operators import pages
+
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.floor(F.col("turn") / 2).alias("page"), F.col("turn").alias("node_index"), "role", "text")
+    return pages.style_references(rows.select("doc_id", "page").distinct(), rows.where("role = 'assistant' AND node_index % 3 > 0").select("doc_id", "page", "node_index", "text"))
+
+
+@query("""
+SELECT conv_id AS doc_id, coalesce(min(CASE WHEN length(text) % 4 = 0 THEN turn // 2 END), max(turn // 2) + 1)::INTEGER AS retained FROM conversations GROUP BY conv_id
+""")
+def retained_pages(spark, d):
+    from ..operators import pages
+
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("node_index"), F.floor(F.col("turn") / 2).alias("page"), "text", "role")
+    before = rows.select("doc_id", "node_index", "page", pages.signature("text", "role").alias("signature"))
+    edited = rows.withColumn("text", F.when(F.length("text") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return pages.retained_pages(before, edited.select("doc_id", "node_index", pages.signature("text", "role").alias("signature")))
+
+
+
+@query("""
+SELECT conv_id, turn, true AS ok, '<w:p><w:r><w:t>a</w:t></w:r><w:r><w:t>' || role || '</w:t></w:r><w:del w:id="99"><w:r><w:delText>x</w:delText></w:r></w:del></w:p>' AS xml FROM conversations
+""")
+def accept_revisions(spark, d):
+    from ..operators import edits
+
+    c = table(spark, d, "conversations")
+    xml = F.concat(F.lit('<w:p><w:r><w:t>a</w:t></w:r><w:ins w:id="'), F.col("turn").cast("string"), F.lit('"><w:r><w:t>'), "role", F.lit('</w:t></w:r></w:ins><w:del w:id="99"><w:r><w:delText>x</w:delText></w:r></w:del></w:p>'))
+    return edits.resolve_revisions(c.select("conv_id", "turn", xml.alias("xml"), F.col("turn").cast("string").alias("revision_id")), True).select("conv_id", "turn", "ok", "xml")
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 5 THEN 'ok' ELSE 'stale' END AS result FROM conversations")
+def create_comments(spark, d):
+    from ..operators import edits
+
+    c = table(spark, d, "conversations")
+    xml = F.concat(F.lit("<w:p><w:r><w:t>"), markup.escape_text(F.col("text")), F.lit("</w:t></w:r></w:p>"))
+    rows = c.select("conv_id", "turn", xml.alias("xml"), F.lit(0).alias("start"), F.when(F.length("text") > 5, 5).otherwise(100).alias("end"), F.col("turn").alias("comment_id"))
+    return edits.create_comments(rows).select("conv_id", "turn", F.when(F.col("ok"), "ok").otherwise(F.col("reason")).alias("result"))
+
+
+@query("""
+SELECT l_orderkey AS p, sum(CASE WHEN greatest(abs(a0 - b0), abs(a1 - b1), abs(a2 - b2)) > 40 THEN 1 ELSE 0 END) / count(*)::DOUBLE AS mismatch_ratio, avg((abs(a0 - b0) + abs(a1 - b1) + abs(a2 - b2)) / 3.0::DOUBLE / 255.0) AS mean_absolute_diff
+FROM (SELECT l_orderkey, CAST(l_quantity AS INTEGER) AS a0, CAST(l_partkey % 256 AS INTEGER) AS a1, CAST(l_suppkey % 256 AS INTEGER) AS a2, CAST(l_linenumber * 9 AS INTEGER) AS b0, CAST(l_partkey % 200 AS INTEGER) AS b1, CAST(l_suppkey % 99 AS INTEGER) AS b2 FROM lineitem) GROUP BY l_orderkey
+""")
+def image_metrics(spark, d):
+    channel = {"a0": F.col("l_quantity"), "a1": F.col("l_partkey") % 256, "a2": F.col("l_suppkey") % 256, "b0": F.col("l_linenumber") * 9, "b1": F.col("l_partkey") % 200, "b2": F.col("l_suppkey") % 99}
+    px = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("p"), *[c.cast("int").alias(n) for n, c in channel.items()])
+    return compare.image_metrics(px, ["p"], 40).select("p", "mismatch_ratio", "mean_absolute_diff")
+
+
+@query(r"SELECT page_id, NOT regexp_matches(p, '^$|\\|^/|^[A-Za-z]:|://|(^|/)(\.|\.\.)?(/|$)') AS portable FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'a/' || page_id || '.png' WHEN 2 THEN '../' || page_id WHEN 3 THEN '/x' ELSE 'a//b' END AS p FROM pages)")
+def portable_paths(spark, d):
+    from ..operators import validation
+
+    i = F.col("page_id")
+    p = F.when(i % 5 == 0, F.col("url")).when(i % 5 == 1, F.concat(F.lit("a/"), i.cast("string"), F.lit(".png"))).when(i % 5 == 2, F.concat(F.lit("../"), i.cast("string"))).when(i % 5 == 3, "/x").otherwise("a//b")
+    return table(spark, d, "pages").select("page_id", validation.portable_path(p).alias("portable"))
+
+
+@query("SELECT o_orderkey, o_orderstatus <> 'P' AS valid FROM orders")
+def xml_date_times(spark, d):
+    from ..operators import validation
+
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    value = F.when(F.col("o_orderstatus") == "P", F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-02-30T00:00:00Z"))).otherwise(F.concat(stamp, F.lit("+02:00")))
+    return table(spark, d, "orders").select("o_orderkey", validation.xml_date_time(value).alias("valid"))
+
+
+@query("""
+SELECT c_custkey, field, expected, actual FROM (
+  SELECT c_custkey, unnest(['segment', 'nation']) AS field, unnest([c_mktsegment, CAST(c_nationkey AS VARCHAR)]) AS expected, unnest([CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_mktsegment END, CAST(c_nationkey + (c_custkey % 3 = 0)::INTEGER AS VARCHAR)]) AS actual FROM customer)
+WHERE expected IS DISTINCT FROM actual
+""")
+def environment_differences(spark, d):
+    from ..operators import validation
+
+    c = table(spark, d, "customer")
+    want = c.select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    have = c.select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("segment"), (F.col("c_nationkey") + (F.col("c_custkey") % 3 == 0).cast("int")).alias("nation"))
+    return validation.environment_differences(want, have, ["c_custkey"], ["segment", "nation"])
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, event_type AS sig, CAST(event_type = 'error' AS INTEGER) AS issues FROM events),
+f AS (SELECT *, coalesce(issues > 0 OR sig IS DISTINCT FROM lag(sig) OVER w OR lag(issues) OVER w > 0, true) AS fresh FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS grp FROM f)
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, grp ORDER BY event_id) >= 2 AND issues = 0 AS ready FROM g
+""")
+def readiness(spark, d):
+    from ..operators import validation
+
+    rows = table(spark, d, "events").select("user_id", "event_id", F.col("event_type").alias("sig"), (F.col("event_type") == "error").cast("int").alias("issues"))
+    return validation.ready(rows, ["user_id"], "event_id", "sig").select("user_id", "event_id", "ready")
+
+
+@query("SELECT p_partkey, greatest(120.0, 1056 - greatest(96.0, 48 + p_size * 4) - greatest(96.0, 48 + p_size * 2))::DOUBLE AS body FROM part")
+def body_heights(spark, d):
+    from ..operators import pages
+
+    v = lambda x: F.lit(float(x))
+    return table(spark, d, "part").select("p_partkey", pages.body_height(v(1056), v(96), v(96), v(48), F.col("p_size") * 4.0, v(48), F.col("p_size") * 2.0).alias("body"))
+
+
+@query(None)
+def segment_pages(spark, d):
+    """Full pagination of every document: lines split, first lines kept with what follows."""
+    from ..operators import segmentation
+
+    lines = blocks.text_blocks(table(spark, d, "documents"))
+    count = F.greatest(F.ceil(F.length("text") / 90), F.lit(1)).cast("int")
+    rows = lines.select(
+        "doc_id", "node_index", F.lit("paragraph").alias("kind"), (count * 20.0 + 8).alias("height_px"), F.lit(20.0).alias("line_height_px"), count.alias("line_count"), F.lit(8.0).alias("after_px"),
+        (F.col("node_index") == 0).alias("keep_next"), F.length("text").alias("text_length"), (F.col("text") != "").alias("visible"),
+    )
+    return segmentation.paginate_blocks(rows, 912)

@@ -43,6 +43,43 @@ def test_numbering_restarts(spark):
     assert got == [[1], [1, 1], [1, 2], [2], [2, 1], [2, 1, 1], [3]]
 
 
+def test_numbering_restart_rules(spark):
+    items = lambda levels: spark.createDataFrame([(1, i, l) for i, l in enumerate(levels)], "list_id int, at int, ilvl int")  # noqa: E731, E741
+    own = lambda rows: [r.counts[r.ilvl] for r in rows.orderBy("at").collect()]
+    rule = lambda *r: F.array(*[F.lit(x).cast("int") for x in r])
+    assert own(numbering.counters(items([0, 1, 1, 0, 1, 1]), "list_id", "at", 2, restarts=rule(None, 0))) == [1, 1, 2, 2, 3, 4]
+    assert own(numbering.counters(items([0, 1, 2, 2, 1, 2, 0, 1, 2]), "list_id", "at", 3, restarts=rule(None, None, 1))) == [1, 1, 1, 2, 2, 3, 2, 1, 1]
+    assert own(numbering.counters(items([0, 1, 0, 1]), "list_id", "at", 2, restarts=rule(None, 5))) == [1, 1, 2, 1]
+
+
+def test_numbering_labels(spark):
+    levels = spark.createDataFrame(
+        [("d", 0, 0, 1, "upperLetter", "%1.", None, None), ("d", 0, 1, 1, "decimal", "%1.%2", None, True), ("d", 1, 0, 22, "ordinalText", "%1", None, None), ("d", 2, 0, 0, "decimal", "%1)", None, None)],
+        "doc_id string, abstract_num_id int, ilvl int, start bigint, format string, lvl_text string, restart int, is_lgl boolean",
+    )
+    nums = spark.createDataFrame([("d", i + 1, i, {}) for i in range(3)] + [("d", 9, 0, {"0": 5})], "doc_id string, num_id int, abstract_num_id int, start_overrides map<string,bigint>")
+    paragraphs = spark.createDataFrame([("d", i, n, l) for i, (n, l) in enumerate([(1, 0), (1, 1), (1, 1), (2, 0), (3, 0), (9, 0), (9, 0), (1, 0)])], "doc_id string, node_index int, num_id int, ilvl int")
+    got = [r.label for r in numbering.labels(paragraphs, levels, nums).orderBy("node_index").collect()]
+    assert got == ["A.", "1.1", "1.2", "twenty-second", "0)", "E.", "F.", "B."]
+    styled = spark.createDataFrame([("d", 0, "L", None, None), ("d", 1, "L", None, 1), ("d", 2, "L", 0, None), ("d", 3, "N", 4, 2)], "doc_id string, node_index int, style_id string, num_id int, ilvl int")
+    lists = numbering.paragraph_lists(styled, spark.createDataFrame([("d", "L", 1, 0)], "doc_id string, style_id string, style_num_id int, style_ilvl int"))
+    assert [(r.num_id, r.ilvl) for r in lists.orderBy("node_index").collect()] == [(1, 0), (1, 1), (None, 0), (4, 2)]
+
+
+def test_pages(spark):
+    from folioframe.operators import pages
+
+    rows = spark.createDataFrame([("d", 0, 0, 1, "lowerRoman"), ("d", 1, 0, 1, "lowerRoman"), ("d", 2, 1, 1, "decimal"), ("d", 3, 2, None, None)], "doc_id string, page int, section_index int, page_start int, page_format string")
+    assert [r.shown for r in pages.page_numbers(rows).orderBy("page").collect()] == ["i", "ii", "1", "2"]
+    frames = spark.createDataFrame([("d", 0, 0, 0, 10, 0.0, 0.0, 100.0, 20.0), ("d", 0, 1, 0, 4, 0.0, 20.0, 40.0, 20.0)], "doc_id string, page int, node_index int, start int, end int, x double, y double, width double, height double")
+    points = spark.createDataFrame([("d", 0, 52.0, 5.0), ("d", 0, 500.0, 30.0)], "doc_id string, page int, px double, py double")
+    assert [(r.node_index, r.offset) for r in pages.nearest_fragment(points, frames).orderBy("px").collect()] == [(0, 5), (0, 10)]
+    chosen = spark.createDataFrame([("d", 0, 2, 5), ("d", 1, 9, 12)], "doc_id string, node_index int, from int, to int")
+    assert [(r.x, r.width) for r in pages.overlap_rects(frames, chosen).collect()] == [(20.0, 30.0)]
+    side = spark.createDataFrame([(6000, 0, 10), (0, 6000, 10), (6000, 0, 400), (0, 0, 5)], "l int, r int, n int").select(pages.letterhead_side(F.col("l"), F.col("r"), F.col("n"), F.lit(9000)).alias("s"))
+    assert [r.s for r in side.collect()] == ["right", "left", None, None]
+
+
 def test_pagination(spark):
     df = spark.createDataFrame([("a", i, 100.0, 8.0) for i in range(20)] + [("b", 0, 5000.0, 8.0), ("b", 1, 10.0, 8.0)], "doc_id string, node_index int, height double, gap double")
     got = {(r.doc_id, r.node_index): (r.page, r.y) for r in layout.paginate(df).collect()}
