@@ -181,3 +181,38 @@ def chart_kind(xml: Column) -> Column:
     for tag, kind in (("doughnutChart", "doughnut"), ("pieChart", "pie"), ("lineChart", "line"), ("barChart", "bar")):
         out = F.when(xml.rlike(rf"<(?:\w+:)?{tag}\b"), kind).otherwise(out)
     return out
+
+
+def hsl_to_hex(value: Column) -> Column:
+    """#RRGGBB of hsl(hue, saturation%, lightness%): hue modulo 360, the others cut to 0..100."""
+    pattern = r"(?i)^\s*hsl\(\s*(-?[0-9.]+)\s*,\s*(-?[0-9.]+)%?\s*,\s*(-?[0-9.]+)%?\s*\)\s*$"
+    part = lambda i: F.regexp_extract(value, pattern, i).try_cast("double")
+    hue = F.pmod(part(1), F.lit(360.0))
+    s, light = (F.greatest(F.least(part(i), F.lit(100.0)), F.lit(0.0)) / 100 for i in (2, 3))
+    chroma = s * F.least(light, 1 - light)
+
+    def channel(shift: int) -> Column:
+        k = (F.lit(float(shift)) + hue / 30) % 12
+        level = light - chroma * F.greatest(F.least(k - 3, 9 - k, F.lit(1.0)), F.lit(-1.0))
+        return F.lpad(F.hex(F.round(level * 255).cast("int")), 2, "0")
+
+    return F.when(value.rlike(pattern), F.concat(F.lit("#"), channel(0), channel(8), channel(4)))
+
+
+def theme_font(token: Column, fonts: Column) -> Column:
+    """The typeface of a theme token like majorHAnsi or minorEastAsia from a map (major.latin, minor.ea, ...); without an own
+    typeface a script has the latin one."""
+    family = F.when(token.rlike("^major"), "major").when(token.rlike("^minor"), "minor")
+    script = F.when(token.rlike("EastAsia$"), "ea").when(token.rlike("(Bidi|Cs)$"), "cs").otherwise("latin")
+    return F.coalesce(blank_to_null(F.element_at(fonts, F.concat(family, F.lit("."), script))), F.element_at(fonts, F.concat(family, F.lit(".latin"))))
+
+
+def theme_color(rgb: Column, scheme: Column, colors: Column) -> Column:
+    """A colour of its own, else that of the theme by name (text and background names stand for dark and light ones)."""
+    name = F.when(scheme == "tx1", "dk1").when(scheme == "tx2", "dk2").when(scheme == "bg1", "lt1").when(scheme == "bg2", "lt2").otherwise(scheme)
+    return F.coalesce(hex_color(rgb), F.element_at(colors, name))
+
+
+def edit_class(kind: Column) -> Column:
+    """insert or delete for the edits that merge into bursts; null for others."""
+    return F.when(kind.isin("insertText", "insertFromComposition"), "insert").when(kind.isin("deleteContentBackward", "deleteContentForward"), "delete")

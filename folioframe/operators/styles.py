@@ -56,3 +56,11 @@ def effective(styles: DataFrame, by: list[str], fields: list[str], style: str =
     met = ancestors(styles, by, style, parent).join(values, [*by, "ancestor"])
     nearest = [F.min_by(f, F.when(F.col(f).isNotNull(), F.col("depth"))).alias(f) for f in fields]
     return met.groupBy(*by, "style_id").agg(*nearest, F.max("depth").alias("depth"))
+
+
+def conditional(cells: DataFrame, formats: DataFrame, keys: list[str], fields: list[str], conditions: str = "conditions") -> DataFrame:
+    """cells: keys, style_id, conditions (array, the strongest last); formats: style_id, condition and fields. Each cell's fields,
+    taken from the strongest condition that has them."""
+    each = cells.select(*keys, "style_id", F.posexplode(conditions).alias("__p", "condition"))
+    met = each.join(formats, ["style_id", "condition"], "left")
+    return met.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("__p"))).alias(f) for f in fields])

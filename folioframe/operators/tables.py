@@ -53,3 +53,17 @@ def conditions(row: Column, rows: Column, column: Column, columns: Column, first
 def column_counts(cells: DataFrame, table: str = "table_id", row: str = "row", span: str = "span") -> DataFrame:
     """Columns of each table: the widest row's sum of spans, one at least."""
     return cells.groupBy(table, row).agg(F.sum(F.greatest(F.col(span), F.lit(1))).alias("n")).groupBy(table).agg(F.greatest(F.max("n"), F.lit(1)).cast("bigint").alias("columns"))
+
+
+def snapped_grid(cells: DataFrame, near_twips: int = 80) -> DataFrame:
+    """cells: table_id, row, cell, width_twips. Column boundaries of a table from its measured cells: the right ends of all cells,
+    those within near_twips of the one before merged; cells with boundary_from, boundary_to and span on that grid."""
+    w = Window.partitionBy("table_id", "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.withColumn("__to", F.sum("width_twips").over(w)).withColumn("__from", F.col("__to") - F.col("width_twips"))
+    ends = placed.select("table_id", F.col("__to").alias("x")).unionByName(placed.select("table_id", F.col("__from").alias("x"))).distinct()
+    order = Window.partitionBy("table_id").orderBy("x")
+    apart = ends.withColumn("new", F.when(F.col("x") - F.lag("x").over(order) <= near_twips, 0).otherwise(1)).withColumn("k", F.sum("new").over(order) - 1)
+    line = apart.select("table_id", "x", F.col("k").cast("int").alias("k"))
+    a = placed.join(line.select("table_id", F.col("x").alias("__from"), F.col("k").alias("boundary_from")), ["table_id", "__from"])
+    b = a.join(line.select("table_id", F.col("x").alias("__to"), F.col("k").alias("boundary_to")), ["table_id", "__to"])
+    return b.withColumn("span", F.greatest(F.col("boundary_to") - F.col("boundary_from"), F.lit(1))).drop("__from", "__to")

@@ -843,3 +843,73 @@ def segment_pages(spark, d):
         (F.col("node_index") == 0).alias("keep_next"), F.length("text").alias("text_length"), (F.col("text") != "").alias("visible"),
     )
     return segmentation.paginate_blocks(rows, 912)
+
+
+# ---- further joins and conversions
+
+
+@query("""
+SELECT e.event_id, o.o_orderkey, greatest(e.s, o.s) AS "from", least(e.e, o.e) AS "to" FROM
+(SELECT event_id, user_id AS g, event_id AS s, event_id + 1 + CAST(value AS BIGINT) % 50 AS e FROM events) e JOIN (SELECT o_orderkey, o_custkey AS g, o_orderkey AS s, o_orderkey + o_custkey % 60 AS e FROM orders) o USING (g) WHERE e.s < o.e AND o.s < e.e AND o.s < o.e
+""")
+def interval_overlaps(spark, d):
+    from ..operators import intervals
+
+    left = table(spark, d, "events").select("event_id", F.col("user_id").alias("g"), F.col("event_id").alias("start"), (F.col("event_id") + 1 + F.col("value").cast("bigint") % 50).alias("end"))
+    right = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("r_start"), (F.col("o_orderkey") + F.col("o_custkey") % 60).alias("r_end"))
+    return intervals.overlaps(left, right, ["g"], 64).select("event_id", "o_orderkey", "from", "to")
+
+
+@query("""
+WITH f AS (SELECT * FROM (VALUES ('s', 0, 'wholeTable', 'a', 'x'), ('s', 1, 'band1Horz', NULL, 'y'), ('s', 2, 'firstRow', 'c', NULL)) v(style_id, p, condition, fill, font)),
+c AS (SELECT p_partkey, unnest(['wholeTable', CASE WHEN p_size % 2 = 0 THEN 'band1Horz' END, CASE WHEN p_size % 3 = 0 THEN 'firstRow' END]) AS condition FROM part)
+SELECT p_partkey, arg_max(fill, p) FILTER (WHERE fill IS NOT NULL) AS fill, arg_max(font, p) FILTER (WHERE font IS NOT NULL) AS font FROM c JOIN f USING (condition) GROUP BY p_partkey
+""")
+def conditional_styles(spark, d):
+    s = F.col("p_size")
+    cells = table(spark, d, "part").select("p_partkey", F.lit("s").alias("style_id"), F.array_compact(F.array(F.lit("wholeTable"), F.when(s % 2 == 0, "band1Horz"), F.when(s % 3 == 0, "firstRow"))).alias("conditions"))
+    formats = spark.createDataFrame([("s", "wholeTable", "a", "x"), ("s", "band1Horz", None, "y"), ("s", "firstRow", "c", None)], "style_id string, condition string, fill string, font string")
+    return styles.conditional(cells, formats, ["p_partkey"], ["fill", "font"])
+
+
+@query("""
+SELECT conv_id AS doc_id, target, CASE WHEN turn IS NOT NULL THEN 'rId' || turn ELSE 'rId' || (top + row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY target)) END AS rid
+FROM (SELECT DISTINCT conv_id, 't' || (turn + length(text) % 3) AS target FROM conversations) r
+LEFT JOIN (SELECT conv_id, turn, 't' || turn AS target FROM conversations WHERE turn % 2 = 0) k USING (conv_id, target) JOIN (SELECT conv_id, max(turn) FILTER (WHERE turn % 2 = 0) AS top FROM conversations GROUP BY conv_id) USING (conv_id)
+""")
+def new_relationships(spark, d):
+    from ..sources import packages
+
+    c = table(spark, d, "conversations")
+    name = lambda n: F.concat(F.lit("t"), n.cast("string"))
+    wanted = c.select(F.col("conv_id").alias("doc_id"), F.lit("p").alias("part"), name(F.col("turn") + F.length("text") % 3).alias("target"), F.lit("image").alias("type"))
+    have = c.where("turn % 2 = 0").select(F.col("conv_id").alias("doc_id"), F.lit("p").alias("part"), F.concat(F.lit("rId"), F.col("turn").cast("string")).alias("rid"), name(F.col("turn")).alias("target"))
+    return packages.new_relationships(wanted, have).select("doc_id", "target", "rid")
+
+
+@query("""
+WITH c AS (SELECT l_orderkey AS table_id, l_linenumber AS row, unnest([1, 2]) AS cell, unnest([CAST(l_quantity AS BIGINT) * 40, CAST(l_suppkey AS BIGINT) % 7 * 60 + 500]) AS w FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)),
+p AS (SELECT *, sum(w) OVER (PARTITION BY table_id, row ORDER BY cell ROWS UNBOUNDED PRECEDING) AS b FROM c),
+e AS (SELECT DISTINCT table_id, unnest([b, b - w]) AS x FROM p),
+k AS (SELECT table_id, x, sum(n) OVER (PARTITION BY table_id ORDER BY x ROWS UNBOUNDED PRECEDING) - 1 AS k FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY table_id ORDER BY x) <= 80 THEN 0 ELSE 1 END AS n FROM e))
+SELECT p.table_id, row, cell, greatest(t.k - f.k, 1)::INTEGER AS span FROM p JOIN k f ON f.table_id = p.table_id AND f.x = p.b - p.w JOIN k t ON t.table_id = p.table_id AND t.x = p.b
+""")
+def snapped_grid(spark, d):
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_suppkey").alias("s"))
+    widths = F.array(F.col("q").cast("bigint") * 40, F.col("s") % 7 * 60 + 500)
+    cells = rows.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row"), F.posexplode(widths).alias("cell", "width_twips")).withColumn("cell", F.col("cell") + 1)
+    return tables.snapped_grid(cells).select("table_id", "row", "cell", "span")
+
+
+@query(None)
+def line_counts(spark, d):
+    """Lines of each document at 90 characters a line, broken at words."""
+    from ..operators import lines
+
+    return lines.line_counts(table(spark, d, "documents").select("doc_id", "text", F.lit(90.0).alias("width")), "text", "width", {}, 1.0).select("doc_id", "lines")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, epoch_us(min(time_bucket(INTERVAL 1 HOUR, ts))) // 3600000000 AS first_hour FROM events GROUP BY event_type")
+def edit_rates(spark, d):
+    rows = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.min(F.date_trunc("hour", "ts")).alias("h"))
+    return rows.select("event_type", "n", "users", F.floor(F.unix_seconds(F.col("h").cast("timestamp")) / 3600).alias("first_hour"))

@@ -117,3 +117,23 @@ def minimal_parts(spark: SparkSession, doc_ids: DataFrame, body: str = "<w:p/>")
     return doc_ids.select(F.col("doc_id").cast("string").alias("doc_id"), each.alias("p")).select(
         "doc_id", "p.name", F.lit(True).alias("is_text"), "p.content", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("error")
     )
+
+
+def new_relationships(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """requests: doc_id, part, target, type; existing: doc_id, part, rid, target. The rid of each request: that of a relationship to
+    the same target, else the next numbers behind the part's largest rIdn, in target order; is_new says which."""
+    from pyspark.sql.window import Window
+
+    wanted = requests.select("doc_id", "part", "target", "type").distinct()
+    known = existing.groupBy("doc_id", "part", "target").agg(F.min("rid").alias("__rid"))
+    top = existing.groupBy("doc_id", "part").agg(F.max(F.regexp_extract("rid", "^rId([0-9]+)$", 1).try_cast("bigint")).alias("__top"))
+    joined = wanted.join(known, ["doc_id", "part", "target"], "left").join(top, ["doc_id", "part"], "left").withColumn("is_new", F.col("__rid").isNull())
+    place = F.row_number().over(Window.partitionBy("doc_id", "part", "is_new").orderBy("target", "type"))
+    rid = F.coalesce("__rid", F.concat(F.lit("rId"), (F.coalesce("__top", F.lit(0)) + place).cast("string")))
+    return joined.select("doc_id", "part", "target", "type", rid.alias("rid"), "is_new")
+
+
+def clipboard(runs: DataFrame) -> DataFrame:
+    """Paragraphs as JSON: doc_id, node_index, payload; notes are left out."""
+    kept = runs.where("kind <> 'note'").groupBy("doc_id", "node_index").agg(F.sort_array(F.collect_list(F.struct("run_index", "kind", "text", "style"))).alias("runs"))
+    return kept.select("doc_id", "node_index", F.to_json(F.struct("runs")).alias("payload"))

@@ -231,3 +231,35 @@ def test_rows(spark):
     assert texts(blocks.remove_rows(rows, F.col("node_index") == 1)) == ["t0", "t2"] and texts(blocks.remove_rows(rows, F.lit(True))) == ["t0"]
     assert texts(blocks.duplicate_rows(rows, F.col("node_index") == 1)) == ["t0", "t1", "t1", "t2"]
     assert comments.next_comment_id(spark.createDataFrame([("d", 4)], "doc_id string, id long")).first().next_id == 5
+
+
+def test_line_breaking():
+    from folioframe.operators.lines import break_lines, row_parts
+
+    assert row_parts(100, 0, 10, [(20, 0, 30, 5), (40, 5, 20, 50), (90, 20, 5, 5)]) == [(0.0, 20.0), (60, 40.0)]
+    text = "aaa bbb ccc\n\nlongerword x"
+    got = break_lines(text, 7, 1, {}, 1.0)
+    assert [text[a:b].strip() for a, b, *_ in got] == ["aaa bbb", "ccc", "", "longerw", "ord x"]
+    assert [y for *_, y in got] == [0, 1, 2, 3, 4]
+    around = break_lines("aa bb cc dd", 10, 1, {}, 1.0, [(3, 0, 4, 1)])
+    assert [(x, y) for *_, x, y in around][:2] == [(0.0, 0.0), (7.0, 0.0)]
+    assert break_lines("", 10, 1, {}, 1.0) == [(0, 0, 0.0, 0.0)]
+
+
+def test_conversions(spark):
+    assert column(spark, ["hsl(0, 100%, 50%)", "hsl(-240,100%,25%)", "hsl(0,0%,200%)", "red"], markup.hsl_to_hex) == ["#FF0000", "#008000", "#FFFFFF", None]
+    fonts = F.create_map(*[F.lit(x) for x in ("major.latin", "L", "minor.latin", "M", "minor.ea", "E", "major.cs", "")])
+    assert column(spark, ["majorHAnsi", "minorEastAsia", "majorBidi", "other"], lambda t: markup.theme_font(t, fonts)) == ["L", "E", "L", None]
+    colors = F.create_map(F.lit("dk1"), F.lit("#000000"))
+    assert column(spark, ["tx1", "zz"], lambda t: markup.theme_color(F.lit(None).cast("string"), t, colors)) == ["#000000", None]
+
+
+def test_intervals(spark):
+    from folioframe.operators import intervals
+
+    left = spark.createDataFrame([(1, i, i + 25) for i in range(0, 100, 20)], "g int, start int, end int")
+    right = spark.createDataFrame([(1, 0, 60), (1, 55, 56), (1, 7, 7), (2, 0, 100)], "g int, r_start int, r_end int")
+    got = sorted((r.start, r.r_start, r["from"], r.to) for r in intervals.overlaps(left, right, ["g"], 10).collect())
+    assert got == [(0, 0, 0, 25), (20, 0, 20, 45), (40, 0, 40, 60), (40, 55, 55, 56)]
+    points = spark.createDataFrame([(1, 24), (1, 99), (1, 500)], "g int, at int")
+    assert sorted((r.at, r.start) for r in intervals.containing(points, left, ["g"], 10).collect()) == [(24, 0), (24, 20), (99, 80)]
