@@ -850,12 +850,12 @@ def segment_pages(spark, d):
 
 @query("""
 SELECT e.event_id, o.o_orderkey, greatest(e.s, o.s) AS "from", least(e.e, o.e) AS "to" FROM
-(SELECT event_id, user_id AS g, event_id AS s, event_id + 1 + CAST(value AS BIGINT) % 50 AS e FROM events) e JOIN (SELECT o_orderkey, o_custkey AS g, o_orderkey AS s, o_orderkey + o_custkey % 60 AS e FROM orders) o USING (g) WHERE e.s < o.e AND o.s < e.e AND o.s < o.e
+(SELECT event_id, user_id AS g, event_id AS s, event_id + 1 + CAST(floor(value) AS BIGINT) % 50 AS e FROM events) e JOIN (SELECT o_orderkey, o_custkey AS g, o_orderkey AS s, o_orderkey + o_custkey % 60 AS e FROM orders) o USING (g) WHERE e.s < o.e AND o.s < e.e AND o.s < o.e
 """)
 def interval_overlaps(spark, d):
     from ..operators import intervals
 
-    left = table(spark, d, "events").select("event_id", F.col("user_id").alias("g"), F.col("event_id").alias("start"), (F.col("event_id") + 1 + F.col("value").cast("bigint") % 50).alias("end"))
+    left = table(spark, d, "events").select("event_id", F.col("user_id").alias("g"), F.col("event_id").alias("start"), (F.col("event_id") + 1 + F.floor("value") % 50).alias("end"))
     right = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("r_start"), (F.col("o_orderkey") + F.col("o_custkey") % 60).alias("r_end"))
     return intervals.overlaps(left, right, ["g"], 64).select("event_id", "o_orderkey", "from", "to")
 
