@@ -263,3 +263,21 @@ def test_intervals(spark):
     assert got == [(0, 0, 0, 25), (20, 0, 20, 45), (40, 0, 40, 60), (40, 55, 55, 56)]
     points = spark.createDataFrame([(1, 24), (1, 99), (1, 500)], "g int, at int")
     assert sorted((r.at, r.start) for r in intervals.containing(points, left, ["g"], 10).collect()) == [(24, 0), (24, 20), (99, 80)]
+
+
+def test_values(spark):
+    from folioframe.functions import values
+
+    assert column(spark, ["Both", "start", "LEFT", None], values.alignment) == ["justify", None, "left", None]
+    assert column(spark, ["On", "0", " ", "x"], values.three_way) == [True, False, None, None]
+    assert column(spark, ["<w:u/>", '<w:u w:val="none"/>', '<w:u w:color="FF0000"/>', '<w:u w:x="1"/>', "<w:b/>"], values.underline) == [True, False, None, True, None]
+    assert column(spark, ["0x41", "2612", "0", "zz", "1F600"], values.code_point) == ["A", "☒", None, None, "😀"]
+    assert column(spark, ["  x ", " ", None], values.field_display) == ["  x ", None, None]
+    assert column(spark, [1, 16, 0, 17], values.index_color, "int") == ["#000000", "#C0C0C0", None, None]
+    assert column(spark, [4, 22, 99], values.number_format, "int") == ["lowerLetter", "decimalZero", "decimal"]
+    assert column(spark, ["50000", "-1", "900000", "x"], values.percent_of_thousandths) == [0.5, None, 1.0, None]
+    assert [(r.width_px, r.height_px) for r in column(spark, ["position:absolute;width:72pt; height:1in"], values.vml_size)] == [(96, 96)]
+    assert column(spark, ['<a x="1" b="2"/>', "<a>"], lambda t: values.set_attribute(t, "b", F.lit('q"'))) == ['<a x="1" b="q&quot;"/>', '<a b="q&quot;">']
+    assert column(spark, ["a<w:txbxContent>b</w:txbxContent>c"], values.without_text_boxes) == ["ac"]
+    assert [tuple(x) if x else None for x in column(spark, ["1280x720", "0x1"], values.viewport)] == [(1280, 720), None]
+    assert column(spark, ["<w:body>x</w:body>", "y"], values.body_xml) == ["x", "y"]
