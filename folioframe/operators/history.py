@@ -57,3 +57,68 @@ def depths(actions: DataFrame, by: str, order: str, action: str, limit: int = LI
 
     ordered = actions.select(by, order, action).repartition(by).sortWithinPartitions(by, order)
     return ordered.mapInPandas(fold, f"`{by}` {kind}, `{order}` {order_kind}, `{action}` string, undo_depth long, redo_depth long")
+
+
+class Transactions:
+    """Editor states under transactions: a commit that changes the value clears redo and, if it pushes, keeps the value before;
+    one that doesn't change it only moves the caret. version counts changes of the value."""
+
+    def __init__(self, value, limit: int = LIMIT):
+        self.value, self.caret, self.version, self.limit = value, None, 0, limit
+        self.past: list = []
+        self.future: list = []
+
+    def commit(self, value, caret=None, push: bool = True) -> None:
+        if value != self.value:
+            if push:
+                self.past = [*self.past, (self.value, self.caret)][-self.limit :]
+            self.future, self.value, self.version = [], value, self.version + 1
+        self.caret = caret
+
+    def _step(self, source: list, target: list, first: bool) -> None:
+        if not source:
+            return
+        value, caret = source.pop(0 if first else -1)
+        target.insert(0, (self.value, self.caret)) if not first else target.append((self.value, self.caret))
+        self.value, self.caret, self.version = value, caret, self.version + 1
+
+    def undo(self) -> None:
+        self._step(self.past, self.future, False)
+
+    def redo(self) -> None:
+        self._step(self.future, self.past, True)
+        self.past = self.past[-self.limit :]
+
+    def replace(self, value) -> None:
+        """A new value without a history."""
+        self.value, self.caret, self.past, self.future, self.version = value, None, [], [], self.version + 1
+
+
+def replay(actions: DataFrame, by: str = "session_id", order: str = "seq", limit: int = LIMIT) -> DataFrame:
+    """actions: session, order, type (commit, undo, redo, replace), text, push. The last state of each session: value, version,
+    undo_depth, redo_depth. One Python pass a partition, sorted; a session holds its last ``limit`` values."""
+    kind = actions.schema[by].dataType.simpleString()
+    columns = [by, "value", "version", "undo_depth", "redo_depth"]
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, t, out = None, None, []
+        for frame in frames:
+            for s, a, text, push in zip(frame[by], frame["type"], frame["text"], frame["push"], strict=True):
+                if t is None or s != session:
+                    if t is not None:
+                        out.append((session, t.value, t.version, len(t.past), len(t.future)))
+                    session, t = s, Transactions("", limit)
+                if a == "commit":
+                    t.commit(text, push=push is None or bool(push))
+                elif a == "replace":
+                    t.replace(text)
+                elif a in ("undo", "redo"):
+                    getattr(t, a)()
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        if t is not None:
+            yield pd.DataFrame([(session, t.value, t.version, len(t.past), len(t.future))], columns=columns)
+
+    rows = actions.select(by, order, "type", "text", "push").repartition(by).sortWithinPartitions(by, order)
+    return rows.mapInPandas(fold, f"`{by}` {kind}, value string, version long, undo_depth long, redo_depth long")

@@ -93,3 +93,45 @@ def ready(samples: DataFrame, by: list[str], order: str, signature: str, needed:
     islands = samples.withColumn("__new", fresh.cast("int")).withColumn("__g", F.sum("__new").over(w))
     run = F.row_number().over(Window.partitionBy(*by, "__g").orderBy(order))
     return islands.withColumn("ready", (run >= needed) & (F.col("issues") == 0)).drop("__new", "__g")
+
+
+def manifest_issues(cases: DataFrame) -> DataFrame:
+    """cases: schema_version, case_id, path, sha256, width_points, height_points. Issues of rows and case ids that stand twice."""
+    rules = {
+        "schema-version": ~F.coalesce(F.col("schema_version") == 1, F.lit(False)), "case-id": ~F.coalesce(F.col("case_id").rlike("^[a-z0-9][a-z0-9._-]*$"), F.lit(False)), "path": ~portable_path(F.col("path")), "sha256": ~sha256_text(F.col("sha256")),
+        "geometry": ~F.coalesce((F.col("width_points") > 0) & (F.col("height_points") > 0), F.lit(False)),
+    }
+    twice = cases.groupBy("case_id").agg(F.count("*").alias("n"))
+    return issues(cases, "case_id", rules).unionByName(issues(twice, "case_id", {"duplicate-case": F.col("n") > 1}))
+
+
+#: Actions that an edit scenario may take (fixed values).
+ACTIONS = ("select", "insertText", "deleteText", "replaceText", "setStyle", "insertRow", "removeRow", "undo", "redo")
+
+
+def edit_action_issues(actions: DataFrame, limit: int = 200) -> DataFrame:
+    """actions: scenario_id, seq, type, text, start, end. Actions that are not allowed, texts and ranges that are missing or wrong,
+    numbers with gaps, scenarios that are too long."""
+    kind = F.col("type")
+    rules = {
+        "type": ~F.coalesce(kind.isin(*ACTIONS), F.lit(False)), "text": kind.isin("insertText", "replaceText") & F.col("text").isNull(), "range": kind.isin("select", "deleteText", "replaceText") & ~F.coalesce((F.col("start") >= 0) & (F.col("end") >= F.col("start")), F.lit(False)),
+    }
+    keyed = actions.withColumn("key", F.concat_ws("/", "scenario_id", F.col("seq").cast("string")))
+    placed = keyed.withColumn("n", F.row_number().over(Window.partitionBy("scenario_id").orderBy("seq")))
+    sizes = actions.groupBy("scenario_id").agg(F.count("*").alias("n"))
+    return issues(keyed, "key", rules).unionByName(issues(placed, "key", {"order": F.col("n") - 1 != F.col("seq")})).unionByName(issues(sizes, "scenario_id", {"length": F.col("n") > limit}))
+
+
+def same_corpus(reference: DataFrame, viewer: DataFrame) -> DataFrame:
+    """case_id, same: whether both manifests name the same corpus and source digest for a case (null equal to null)."""
+    v = viewer.select("case_id", F.col("corpus_id").alias("__c"), F.col("source_sha256").alias("__s"), F.lit(True).alias("__v"))
+    both = reference.withColumn("__r", F.lit(True)).join(v, "case_id", "full")
+    return both.select("case_id", (F.col("__r").isNotNull() & F.col("__v").isNotNull() & F.col("corpus_id").eqNullSafe(F.col("__c")) & F.col("source_sha256").eqNullSafe(F.col("__s"))).alias("same"))
+
+
+def bound_scenarios(scenarios: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scenarios joined to their source case, issues: unknown sources and ids that are also case ids)."""
+    joined = scenarios.join(sources.select("case_id", F.col("sha256").alias("source_sha256")), "case_id")
+    unknown = scenarios.join(sources, "case_id", "left_anti").select(F.col("scenario_id").alias("key"), F.lit("unknown-source").alias("rule"))
+    clash = scenarios.join(sources.select(F.col("case_id").alias("scenario_id")), "scenario_id", "left_semi").select(F.col("scenario_id").alias("key"), F.lit("id-collision").alias("rule"))
+    return joined, unknown.unionByName(clash)

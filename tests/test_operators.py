@@ -281,3 +281,32 @@ def test_values(spark):
     assert column(spark, ["a<w:txbxContent>b</w:txbxContent>c"], values.without_text_boxes) == ["ac"]
     assert [tuple(x) if x else None for x in column(spark, ["1280x720", "0x1"], values.viewport)] == [(1280, 720), None]
     assert column(spark, ["<w:body>x</w:body>", "y"], values.body_xml) == ["x", "y"]
+
+
+def test_transactions(spark):
+    t = history.Transactions("a", limit=2)
+    for v in "bcd":
+        t.commit(v)
+    assert (t.value, len(t.past), t.version) == ("d", 2, 3)
+    t.undo(), t.undo(), t.undo()
+    assert (t.value, len(t.past), len(t.future)) == ("b", 0, 2)
+    t.redo()
+    assert t.value == "c"
+    t.commit("c", caret=3)  # only the caret: redo stays
+    assert len(t.future) == 1 and t.caret == 3
+    t.commit("x", push=False)
+    assert (len(t.future), len(t.past)) == (0, 1)
+    rows = [("s", 0, "commit", "a", None), ("s", 1, "commit", "b", None), ("s", 2, "undo", None, None), ("t", 0, "replace", "z", None), ("t", 1, "commit", "y", False)]
+    got = {r.session_id: (r.value, r.undo_depth, r.redo_depth) for r in history.replay(spark.createDataFrame(rows, "session_id string, seq int, type string, text string, push boolean")).collect()}
+    assert got == {"s": ("a", 1, 1), "t": ("y", 0, 0)}
+
+
+def test_manifests(spark):
+    good = "a" * 64
+    cases = spark.createDataFrame([(1, "c1", "a/b.docx", good, 612.0, 792.0), (2, "C 2", "/x", "q", 0.0, 1.0), (1, "c1", "a", good, 1.0, 1.0)], "schema_version int, case_id string, path string, sha256 string, width_points double, height_points double")
+    assert sorted((r.key, r.rule) for r in validation.manifest_issues(cases).collect()) == [("C 2", "case-id"), ("C 2", "geometry"), ("C 2", "path"), ("C 2", "schema-version"), ("C 2", "sha256"), ("c1", "duplicate-case")]
+    acts = spark.createDataFrame([("s", 0, "select", None, 0, 2), ("s", 2, "insertText", None, None, None), ("s", 3, "fly", None, None, None)], "scenario_id string, seq int, type string, text string, start int, end int")
+    assert sorted((r.key, r.rule) for r in validation.edit_action_issues(acts).collect()) == [("s/2", "order"), ("s/2", "text"), ("s/3", "order"), ("s/3", "type")]
+    scenarios = spark.createDataFrame([("e1", "c1"), ("c1", "zz")], "scenario_id string, case_id string")
+    joined, bad = validation.bound_scenarios(scenarios, cases.limit(1))
+    assert joined.count() == 1 and sorted((r.key, r.rule) for r in bad.collect()) == [("c1", "id-collision"), ("c1", "unknown-source")]

@@ -194,3 +194,20 @@ def test_legacy_documents(spark):
     parts = packages.read_parts(spark.createDataFrame([("l", bytearray(raw)), ("cut", bytearray(raw[:600]))], "path string, content binary")).cache()
     assert [r.doc_id for r in parts.where("error IS NOT NULL").collect()] == ["cut"]
     assert [r.text for r in model.blocks(parts).orderBy("node_index").collect()] == ["Firstshown", "Sec\tond\nnext", "cell"]
+
+
+def test_serialized_models(spark, parts):
+    from folioframe.sources import serialize
+
+    blocks = model.blocks(parts).select("doc_id", "container", "node_index", "source_xml", "text")
+    first = blocks.where("container = 'word/document.xml'")
+    said = comments.threads(model.comment_rows(parts), model.comment_states(parts)).withColumn("para_id", F.element_at("para_ids", -1)).withColumn("parent_para_id", F.when(F.col("id") == 5, "P1"))
+    out = serialize.document_parts(parts.where("doc_id = 'd'"), blocks, said, model.sections(parts).where("start_node_index = 7").select("doc_id", "xml"))
+    again = packages.read_parts(packages.write_packages(out), "doc_id").cache()
+    texts = lambda p: sorted((r.container, r.node_index, r.text) for r in model.blocks(p).collect())
+    assert texts(again) == texts(parts.where("doc_id = 'd'")) and first.count() == 8
+    threads = {r.id: (r.resolved, r.parent_id, r.text) for r in comments.threads(model.comment_rows(again), model.comment_states(again)).collect()}
+    assert threads == {4: (False, None, "why"), 5: (None, 4, "so")}
+    assert [r.layout.columns for r in model.sections(again).orderBy("section_index").collect()] == [1, 2]
+    plain = serialize.body_parts(spark.createDataFrame([("p", "word/header2.xml", 0, None, "a\tb\n<c>")], "doc_id string, container string, node_index int, source_xml string, text string"))
+    assert [r.text for r in model.blocks(plain).collect()] == ["a\tb\n<c>"]
