@@ -10,9 +10,11 @@ and the sums on their paths are set again.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,23 +221,19 @@ def edit_aware_counts(docs: DataFrame, edits: Column, id_col: str = "doc_id", te
     return rows.mapInArrow(lean(apply), f"doc_id {kind}, {RESULT}")
 
 
-def redactions(text: Column, pattern: str = PERSONAL, replacement: str = REPLACEMENT) -> Column:
-    """The edits that replace each match of the pattern, last match first, so that the places of the others hold.
+EDITS = "array<struct<start:int,end:int,replacement:string>>"
 
-    Text between matches tells their places: the text is split at the matches, and the lengths of the parts before
-    and of the matches before add up.
-    """
-    parts = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,replacement:string>>").alias("done"))
 
-    def step(acc: Column, m: Column) -> Column:
-        begin = acc["at"] + F.length(m["part"])
-        end = begin + F.length(m["match"])
-        return F.struct(end.alias("at"), F.array_append(acc["done"], F.struct(begin.alias("start"), end.alias("end"), F.lit(replacement).alias("replacement"))).alias("done"))
+def redactions(text: Column, pattern: str = PERSONAL, replacement: str = REPLACEMENT) -> Column:
+    """The edits that replace each match of the pattern, last match first, so that the places of the others hold."""
+
+    @F.pandas_udf(EDITS)
+    def found(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(pattern)
+        edits = [[{"start": m.start(), "end": m.end(), "replacement": replacement} for m in compiled.finditer(t)][::-1] if t else [] for t in texts]
+        return pd.Series(edits, dtype=object)
 
-    pairs = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("part"), m.alias("match")))
-    return F.when(text.rlike(pattern), F.reverse(F.aggregate(pairs, start, step, lambda a: a["done"])))
+    return found(text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
