@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,20 +57,29 @@ def block_gap(level: Column, is_table: Column | None = None, page: Page = Page()
 
 def paginate(blocks: DataFrame, page: Page = Page()) -> DataFrame:
     """blocks: doc_id, node_index, height, gap. Returns doc_id, node_index, page (from 1), y: each block goes below the
-    one before, or onto a new page when it would pass the bottom margin of a page that has blocks already."""
-    bottom = page.height - page.margin
-    item = F.struct("node_index", F.col("height").cast("double").alias("height"), F.col("gap").cast("double").alias("gap"))
-    items = F.sort_array(F.collect_list(item))
-    zero = F.struct(F.lit(1).alias("page"), F.lit(float(page.margin)).alias("y"), F.lit(0).alias("on_page"), F.array().cast("array<struct<node_index:int,page:int,y:double>>").alias("out"))
-
-    def step(s: Column, b: Column) -> Column:
-        turn = (s["y"] + b["height"] > bottom) & (s["on_page"] > 0)
-        number, y = s["page"] + turn.cast("int"), F.when(turn, float(page.margin)).otherwise(s["y"])
-        placed = F.struct(b["node_index"].cast("int").alias("node_index"), number.alias("page"), y.alias("y"))
-        return F.struct(number.alias("page"), (y + b["height"] + b["gap"]).alias("y"), F.when(turn, 1).otherwise(s["on_page"] + 1).alias("on_page"), F.array_append(s["out"], placed).alias("out"))
-
-    folded = blocks.groupBy("doc_id").agg(F.aggregate(items, zero, step, lambda s: s["out"]).alias("out"))
-    return folded.select("doc_id", F.explode("out").alias("b")).select("doc_id", "b.*")
+    one before, or onto a new page when it would pass the bottom margin of a page that has blocks already.
+
+    One streaming pass over blocks sorted by document and place: a document of any length needs three numbers. (As a fold over
+    an array, its output would be copied with each block.) page_counts has the pages alone, natively."""
+    bottom, top = page.height - page.margin, float(page.margin)
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, number, y, filled = object(), 1, top, False
+        for frame in frames:
+            pages, tops = [], []
+            for doc, height, gap in zip(frame["doc_id"].tolist(), frame["height"].tolist(), frame["gap"].tolist(), strict=True):
+                if doc != last:
+                    last, number, y, filled = doc, 1, top, False
+                if filled and y + height > bottom:
+                    number, y = number + 1, top
+                pages.append(number)
+                tops.append(y)
+                y, filled = y + height + gap, True
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "node_index": frame["node_index"], "page": pages, "y": tops})
+
+    rows = blocks.select("doc_id", F.col("node_index").cast("int").alias("node_index"), F.col("height").cast("double").alias("height"), F.col("gap").cast("double").alias("gap"))
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "node_index").mapInPandas(place, f"doc_id {kind}, node_index int, page int, y double")
 
 
 def page_counts(blocks: DataFrame, page: Page = Page()) -> DataFrame:
