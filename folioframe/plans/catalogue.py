@@ -913,3 +913,23 @@ def line_counts(spark, d):
 def edit_rates(spark, d):
     rows = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.min(F.date_trunc("hour", "ts")).alias("h"))
     return rows.select("event_type", "n", "users", F.floor(F.unix_seconds(F.col("h").cast("timestamp")) / 3600).alias("first_hour"))
+
+
+@query(None)
+def reconcile_pages(spark, d):
+    """Each document's page count brought to one more than its estimate, by the height of its pages."""
+    from ..operators import reconcile
+
+    lines = blocks.text_blocks(table(spark, d, "documents"))
+    count = F.greatest(F.ceil(F.length("text") / 90), F.lit(1)).cast("int")
+    rows = lines.select("doc_id", "node_index", (count * 20.0 + 8).alias("height_px"), F.lit(20.0).alias("line_height_px"), count.alias("line_count"), F.lit(8.0).alias("after_px"))
+    targets = table(spark, d, "documents").select("doc_id", (F.ceil(F.length("text") / 3500) + 1).alias("target"))
+    return reconcile.reconcile(rows, targets, 912)
+
+
+@query(None)
+def content_signatures(spark, d):
+    """The change key of each conversation turn."""
+    from ..functions.signature import signature
+
+    return table(spark, d, "conversations").select("conv_id", "turn", signature(F.struct("role", "text")).alias("signature"))

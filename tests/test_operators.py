@@ -310,3 +310,28 @@ def test_manifests(spark):
     scenarios = spark.createDataFrame([("e1", "c1"), ("c1", "zz")], "scenario_id string, case_id string")
     joined, bad = validation.bound_scenarios(scenarios, cases.limit(1))
     assert joined.count() == 1 and sorted((r.key, r.rule) for r in bad.collect()) == [("c1", "id-collision"), ("c1", "unknown-source")]
+
+
+def test_signatures(spark):
+    from folioframe.functions import signature as s
+
+    assert s.content_signature("") == s.base36(s.fold_text(s.BASIS, "~s0:")) and s.base36(35) == "z" and s.base36(36) == "10"
+    assert s.fold_text(s.BASIS, "a") == 0xE40C292C  # a published test value of the hash
+    assert s.content_signature({"a": 1.0, "b": [True, None]}) == s.content_signature({"a": 1, "b": [True, None]}) != s.content_signature({"b": [True, None], "a": 1})
+    long = "x" * 1000
+    assert s.content_signature(long) == s.content_signature(long[:200] + "y" + long[201:]) != s.content_signature("y" + long[1:])
+    assert s.metadata_signature({"sections": [1], "warnings": 5}) == s.metadata_signature({"sections": [1]}) != s.metadata_signature({})
+    got = [r[0] for r in spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "n int, t string").select(s.signature(F.struct("n", "t"))).collect()]
+    assert got[0] == got[1] == s.content_signature({"n": 1, "t": "a"}) and got[2] == s.content_signature({"n": 2})
+
+
+def test_reconciliation(spark):
+    from folioframe.operators import reconcile
+
+    assert reconcile.search(lambda s: round(10 / s), 10, 12)[1] == 12 and 0.8 < reconcile.search(lambda s: round(10 / s), 10, 12)[0] < 0.88
+    assert reconcile.search(lambda s: 10, 10, 20) == (1.0, 10) and reconcile.search(lambda s: 10, 10, 9) == (1.0, 10)
+    rows = spark.createDataFrame([("d", i, 100.0, 1) for i in range(30)], "doc_id string, node_index int, height_px double, line_count int")
+    r = reconcile.reconcile(rows, spark.createDataFrame([("d", 4)], "doc_id string, target int"), 1000.0).first()
+    assert (r.initial, r.pages) == (3, 4) and 0.8 < r.scale < 1
+    t = lambda *x: spark.range(1).select(reconcile.reduction_allowed(*[F.lit(v) for v in x])).first()[0]
+    assert (t(5, 6, False, 1, False), t(5, 4, True, 4, True), t(5, 4, True, 5, False), t(5, 4, False, 1, True), t(5, 4, False, 1, False)) == (True, True, False, False, True)
