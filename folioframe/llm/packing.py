@@ -50,21 +50,25 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     return rows.mapInArrow(lean(encode), schema)
 
 
+def term_counts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token, document, count) of each token of each document, by document and token. 16-bit ids sort in linear time."""
+    ids = np.concatenate([np.sort(x, kind="stable") for x in texts])
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    at = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (owner[1:] != owner[:-1])]))
+    return ids[at], owner[at], np.diff(np.append(at, len(ids)))
+
+
 def corpus_statistics(ids: DataFrame) -> tuple[np.ndarray, int, float]:
     """Document frequency by token id (65,536 entries), documents and mean length, over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, docs, total = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
-            for raw in batch.column("ids"):
-                x = np.frombuffer(raw.as_buffer(), np.uint16)
-                seen = np.zeros(1 << 16, bool) if len(x) > 4096 else None
-                if seen is None:
-                    df[np.unique(x)] += 1
-                else:
-                    seen[x] = True
-                    df += seen
-                docs, total = docs + 1, total + len(x)
+            for part in blocks(batch.column("ids")):
+                texts = [np.frombuffer(raw.as_buffer(), np.uint16) for raw in part]
+                token, _, _ = term_counts(texts)
+                df += np.bincount(token, minlength=1 << 16)
+                docs, total = docs + len(texts), total + sum(map(len, texts))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"id": pa.array(np.append(at, [-1, -2])), "n": pa.array(np.append(df[at], [docs, total]))})
 
@@ -86,11 +90,9 @@ class Shard:
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
         n = len(texts)
         lengths = np.array([len(x) for x in texts])
-        keys = np.concatenate([np.repeat(np.arange(n, dtype=np.int64), lengths) << 16 | np.concatenate(texts)])
-        keys, tf = np.unique(keys, return_counts=True)
-        doc, token = keys >> 16, keys & 0xFFFF
+        token, doc, tf = term_counts(texts)
         weight = (idf[token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean))).astype(np.float32)
-        self.by_doc = np.searchsorted(doc, np.arange(n + 1))  # keys of a document stand together
+        self.by_doc = np.searchsorted(doc, np.arange(n + 1))  # tokens of a document stand together
         self.token, self.weight = token, weight
         order = np.argsort(token, kind="stable")
         self.docs, self.weights = doc[order], weight[order]

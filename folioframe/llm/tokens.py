@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept in a process before its cache starts anew.
+#: Words kept in a process. A full cache forgets a block's new words behind the block; it starts anew where it knows few of them.
 CACHE_WORDS = 600_000
 #: Words of lower-case Latin letters only.
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
@@ -116,9 +116,12 @@ class WordIds:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.index) > CACHE_WORDS:
-            self.clear()
         new = [w for w in words if w not in self.index]
+        full = len(self.index) > CACHE_WORDS
+        if full and 2 * len(new) > len(words):
+            self.clear()
+            new, full = words, False
+        used = self.used
         if new:
             self.learn(new)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
@@ -128,6 +131,10 @@ class WordIds:
         ids = self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(total)]
         offsets = lists.offsets.to_numpy()
         offsets = offsets - offsets[0]
+        if full:
+            for w in new:
+                del self.index[w]
+            self.used = used
         upto = np.concatenate([[0], ends])
         return ids, np.diff(upto[offsets])
 
