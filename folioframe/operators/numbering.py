@@ -37,11 +37,10 @@ def counters(items: DataFrame, list_id: str, order: str, levels: int, level: str
 
 def level_text(pattern: Column, counts: Column, formats: Column, levels: int = 9) -> Column:
     """A level text like "%1.%2)" with each %n replaced by the counter of level n in its format."""
-    out = pattern
-    for k in range(levels):
-        value = label_number(F.try_element_at(counts, F.lit(k + 1)).cast("bigint"), F.coalesce(F.try_element_at(formats, F.lit(k + 1)), F.lit("decimal")))
-        out = F.replace(out, F.lit(f"%{k + 1}"), F.coalesce(value, F.lit("")))
-    return out
+    places = F.array(*[F.lit(k + 1) for k in range(levels)])
+    shown = F.transform(places, lambda k: F.coalesce(label_number(F.try_element_at(counts, k).cast("bigint"), F.coalesce(F.try_element_at(formats, k), F.lit("decimal"))), F.lit("")))
+    pairs = F.zip_with(places, shown, lambda k, v: F.struct(F.concat(F.lit("%"), k.cast("string")).alias("k"), v.alias("v")))
+    return F.aggregate(pairs, pattern, lambda text, p: F.replace(text, p["k"], p["v"]))
 
 
 def paragraph_lists(paragraphs: DataFrame, styles: DataFrame) -> DataFrame:
