@@ -2,10 +2,12 @@
 
 A small network in numpy predicts every word from the two words on either side; a document's score is the sum
 of the logarithms of these conditional probabilities. Words are counted over the whole corpus; the most frequent
-have ids of their own, the others share hashed ids. Every document trains: in each round each task trains the
+have ids of their own (their number grows with the root of the corpus), the others share hashed ids. What a shared id
+gets is dealt among its words by their counts in the corpus: p(word | context) = p(id | context) n(word) / (n(id) + 1),
+where the 1 is kept for words that the corpus doesn't have. So every word has a probability of its own. Every document trains: in each round each task trains the
 common model on a share of the positions of its own documents (another share each round), and the tasks' models
 are averaged in a reduction tree, weighted by the positions they saw. So the work of training, and what the
-averaging moves, grow with the corpus, while the model, which goes to every task, has a fixed size.
+averaging moves, grow with the corpus, and the model, which goes to every task, with the root of the corpus.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from .common import column, lean, materialize, release
 from .language_id import mix64
 from .tokens import blocks, lower
 
-#: Ids: KNOWN frequent words, then HASHED shared ids; in CLUSTERS x MEMBERS for the two-step softmax. One more for "outside".
-KNOWN, HASHED, CLUSTERS, MEMBERS = 3072, 1024, 64, 64
+#: Ids: KNOWN frequent words, then HASHED shared ids; in SQUARE x SQUARE (clusters, members) for the two-step softmax. One more
+#: for "outside". Over BASE words of text, KNOWN grows with the root of the words.
+KNOWN, HASHED, SQUARE, BASE = 3072, 1024, 64, 1 << 22
 VOCAB = KNOWN + HASHED
 SIDE, DIM, HIDDEN = 2, 16, 32
 #: Rounds of training; the share of all positions that a round trains on; positions of a step; step size.
@@ -34,18 +37,29 @@ ROUNDS, SHARE, STEP, RATE, SEED = 3, 1 / 16, 2048, 0.05, 1
 FAN_IN, SLICES = 16, 16
 #: Positions scored at a time.
 CHUNK = 1 << 14
-SHAPES = {
-    "embed": (VOCAB + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "wc": (HIDDEN, CLUSTERS), "bc": (CLUSTERS,), "wm": (CLUSTERS, HIDDEN, MEMBERS), "bm": (CLUSTERS, MEMBERS),
-}
+#: Texts, and bytes of hashes of their words with shared ids, whose words are counted together.
+GROUP_TEXTS, GROUP_BYTES = 128, 1 << 18
 OFFSETS = np.array([o for o in range(-SIDE, SIDE + 1) if o])
 
 
+def shapes(side: int) -> dict[str, tuple[int, ...]]:
+    """The parameters of a network over side * side ids."""
+    return {"embed": (side * side + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "wc": (HIDDEN, side), "bc": (side,), "wm": (side, HIDDEN, side), "bm": (side, side)}
+
+
+def length(side: int) -> int:
+    return sum(int(np.prod(x)) for x in shapes(side).values())
+
+
 class Net:
     """The parameters as views of one float32 vector."""
 
     def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
-        for name, shape in SHAPES.items():
+        self.flat, at, side = flat, 0, int(np.sqrt(len(flat) / (DIM + HIDDEN + 1)))
+        while length(side) > len(flat):
+            side -= 1
+        self.side, self.vocab = side, side * side
+        for name, shape in shapes(side).items():
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
@@ -54,11 +68,12 @@ class Net:
     def initial(counts: np.ndarray) -> Net:
         """Small random weights; the biases give the corpus's word frequencies."""
         rng = np.random.default_rng(SEED)
-        net = Net(np.zeros(sum(int(np.prod(s)) for s in SHAPES.values()), np.float32))
+        side = round(len(counts) ** 0.5)
+        net = Net(np.zeros(length(side), np.float32))
         for name in ("embed", "w", "wc", "wm"):
             x = getattr(net, name)
             x[...] = rng.standard_normal(x.shape) * (0.3 if name == "embed" else 0.1)
-        p = (counts.astype(np.float64) + 0.5).reshape(MEMBERS, CLUSTERS).T  # id = member * CLUSTERS + cluster
+        p = (counts.astype(np.float64) + 0.5).reshape(side, side).T  # id = member * side + cluster
         net.bc[:] = np.log(p.sum(axis=1) / p.sum())
         net.bm[:] = np.log(p / p.sum(axis=1, keepdims=True))
         return net
@@ -67,22 +82,21 @@ class Net:
         x = self.embed[context].reshape(len(context), -1)
         return x, np.tanh(x @ self.w + self.b)
 
-    @staticmethod
-    def segments(cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def segments(self, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """An order by cluster, and where each cluster begins in it."""
-        order = np.argsort(cluster.astype(np.uint8), kind="stable")
-        return order, np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
+        order = np.argsort(cluster.astype(np.uint16), kind="stable")
+        return order, np.searchsorted(cluster[order], np.arange(self.side + 1))
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms of p(target | context), in the order given."""
-        cluster, member = target % CLUSTERS, target // CLUSTERS
+        cluster, member = target % self.side, target // self.side
         order, starts = self.segments(cluster)
         _, h = self.hidden(context[order])
         n = np.arange(len(h))
         logits = h @ self.wc + self.bc
         logits -= logits.max(axis=1, keepdims=True)
         out = logits[n, cluster[order]] - np.log(np.exp(logits).sum(axis=1))
-        for c in range(CLUSTERS):
+        for c in range(self.side):
             a, b = starts[c], starts[c + 1]
             if a < b:
                 own = h[a:b] @ self.wm[c] + self.bm[c]
@@ -95,7 +109,7 @@ class Net:
     def gradient(self, context: np.ndarray, target: np.ndarray) -> Net:
         """Of the mean negative log probability."""
         grad = Net(np.zeros_like(self.flat))
-        cluster, member = target % CLUSTERS, target // CLUSTERS
+        cluster, member = target % self.side, target // self.side
         order, starts = self.segments(cluster)
         context, cluster, member = context[order], cluster[order], member[order]
         x, h = self.hidden(context)
@@ -107,7 +121,7 @@ class Net:
         p *= scale
         grad.wc[...], grad.bc[...] = h.T @ p, p.sum(axis=0)
         back = p @ self.wc.T
-        for c in range(CLUSTERS):
+        for c in range(self.side):
             a, b = starts[c], starts[c + 1]
             if a < b:
                 q = h[a:b] @ self.wm[c] + self.bm[c]
@@ -121,15 +135,15 @@ class Net:
         grad.w[...], grad.b[...] = x.T @ back, back.sum(axis=0)
         dx = (back @ self.w.T).reshape(-1, DIM)
         at = (context.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-        grad.embed[...] = np.bincount(at, dx.ravel(), minlength=(VOCAB + 1) * DIM).reshape(VOCAB + 1, DIM)
+        grad.embed[...] = np.bincount(at, dx.ravel(), minlength=self.embed.size).reshape(self.embed.shape)
         return grad
 
 
-def positions(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def positions(ids: list[np.ndarray], outside: int = VOCAB) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A stream of all texts with "outside" around each, the places of the words in it, and the text of each."""
-    gap = np.full(SIDE, VOCAB, np.int32)
+    gap = np.full(SIDE, outside, np.int32)
     stream = np.concatenate([gap, *[y for x in ids for y in (x.astype(np.int32), gap)]])
-    at = np.flatnonzero(stream != VOCAB)
+    at = np.flatnonzero(stream != outside)
     return stream, at, np.repeat(np.arange(len(ids)), [len(x) for x in ids])
 
 
@@ -156,45 +170,107 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(column(text_col).cast("string").alias("text")).mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def side_of(words: int) -> int:
+    """The side of the square of ids for a corpus of so many words."""
+    return max(SQUARE, int(np.ceil(np.sqrt(KNOWN * np.sqrt(words / BASE) + HASHED))))
+
+
 def vocabulary(counts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """counts: written table. Ids of the KNOWN most frequent words (then in code point order), and corpus counts by id."""
-    top = counts.orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()
+    """counts: written table. Ids of the most frequent words (then in code point order), and corpus counts by id."""
+    size = side_of(counts.agg(F.sum("n")).first()[0] or 0) ** 2
+    first = size - HASHED
+    top = counts.orderBy(F.col("n").desc(), "word").limit(first).collect()
     ids = {r["word"]: i for i, r in enumerate(top)}
-    by_id = np.zeros(VOCAB, np.int64)
+    by_id = np.zeros(size, np.int64)
     for r in top:
         by_id[ids[r["word"]]] = r["n"]
     shared = counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(HASHED)).alias("k")).agg(F.sum("n").alias("n")).collect()  # HASHED rows at most
     for r in shared:
-        by_id[KNOWN + r["k"]] += r["n"]
+        by_id[first + r["k"]] += r["n"]
     for w, i in ids.items():
-        by_id[KNOWN + xxhash.xxh64_intdigest(w.encode(), 42) % HASHED] -= by_id[i]
+        by_id[first + xxhash.xxh64_intdigest(w.encode(), 42) % HASHED] -= by_id[i]
     return ids, by_id
 
 
-def to_ids(docs: DataFrame, ids: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (unsigned 16-bit) of each row's words."""
+def id_type(vocab: int) -> type:
+    return np.uint16 if vocab <= 1 << 16 else np.uint32
+
+
+def to_ids(docs: DataFrame, ids: dict[str, int], id_col: str = "doc_id", text_col: str = "text", vocab: int = VOCAB) -> DataFrame:
+    """doc_id, ids (unsigned, see id_type) of each row's words, row (a number of its own), shared (the 64-bit hashes of its words with shared ids)."""
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
+    first, kind = vocab - HASHED, id_type(vocab)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             done = 0
             for b in blocks(batch.column("text")):
                 coded, starts = words_in(b)
-                of = np.fromiter((ids[w] if w in ids else KNOWN + xxhash.xxh64_intdigest(w.encode(), 42) % HASHED for w in coded.dictionary.to_pylist()), np.uint16, len(coded.dictionary))
-                flat = of[coded.indices.to_numpy(zero_copy_only=False)]
-                raw = [flat[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(b)), pa.array(raw, pa.binary())], names=["doc_id", "ids"])
-                done += len(b)
+                dictionary = coded.dictionary.to_pylist()
+                of = np.fromiter((ids.get(w, -1) for w in dictionary), np.int64, len(dictionary))
+                hashes = np.zeros(len(of), np.uint64)
+                rare = np.flatnonzero(of < 0)
+                hashes[rare] = np.fromiter((xxhash.xxh64_intdigest(dictionary[i].encode(), 42) for i in rare), np.uint64, len(rare))
+                of[rare] = first + (hashes[rare] % np.uint64(HASHED)).astype(np.int64)
+                at = coded.indices.to_numpy(zero_copy_only=False)
+                flat, far = of[at].astype(kind), at[of[at] >= first]
+                upto = np.concatenate([[0], np.cumsum(flat >= first)])[starts]
+                far = hashes[far]
+                raw = [flat[a:e].tobytes() for a, e in zip(starts[:-1], starts[1:], strict=True)]
+                shared = [far[a:e].tobytes() for a, e in zip(upto[:-1], upto[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(b)), pa.array(raw, pa.binary()), pa.array(np.arange(row, row + len(b))), pa.array(shared, pa.binary())], names=["doc_id", "ids", "row", "shared"])
+                done, row = done + len(b), row + len(b)
+
+    return rows.mapInArrow(lean(code), rows.select("doc_id", F.lit(b"").alias("ids"), F.lit(0).cast("long").alias("row"), F.lit(b"").alias("shared")).schema)
+
+
+def shares(ids: DataFrame, counts: DataFrame, by_id: np.ndarray) -> DataFrame:
+    """row, share: the sum of log(n(word) / (n(id) + 1)) over a row's words with shared ids, for rows that have some.
+
+    Words of a group of texts meet their counts once, by 64-bit hashes; no task holds the corpus's words.
+    """
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for b in blocks(batch.column("shared"), GROUP_BYTES):
+                for s in range(0, len(b), GROUP_TEXTS):
+                    part = b.slice(s, GROUP_TEXTS)
+                    texts = [np.frombuffer(x.as_buffer(), np.uint64) for x in part]
+                    first = batch.column("row")[done].as_py()
+                    done += len(part)
+                    words = np.concatenate(texts)
+                    if not len(words):
+                        continue
+                    order = np.argsort(words, kind="stable")
+                    words, rows = words[order], np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in texts])[order]
+                    at = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+                    ends = pa.array(np.append(at, len(words)).astype(np.int32) * 4)
+                    cut = pa.Array.from_buffers(pa.binary(), len(at), [None, ends.buffers()[1], pa.py_buffer(rows.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), first)), pa.array(words[at].view(np.int64)), cut], names=["first", "word", "rows"])
+
+    total = np.log(by_id[-HASHED:] + 1.0)
+
+    def add(table: pa.Table) -> pa.Table:
+        logs = np.log(table["n"].to_numpy()) - total[table["word"].to_numpy().view(np.uint64) % np.uint64(HASHED)]
+        raw = [x.as_buffer() for x in table["rows"]]
+        rows = np.frombuffer(b"".join(raw), np.int32)
+        sums = np.bincount(rows, np.repeat(logs, [x.size // 4 for x in raw]))
+        some = np.unique(rows)
+        return pa.table({"row": pa.array(table["first"][0].as_py() + some.astype(np.int64)), "share": pa.array(sums[some])})
 
-    return rows.mapInArrow(lean(code), rows.select("doc_id", F.lit(b"").alias("ids")).schema)
+    words = ids.select("row", "shared").mapInArrow(lean(group), "first long, word long, rows binary")
+    known = counts.groupBy(F.xxhash64("word").alias("word")).agg(F.sum("n").alias("n"))
+    return words.join(known, "word").groupBy("first").applyInArrow(lambda t: add(t), "row long, share double")
 
 
-def arrays(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def arrays(batches: Iterator[pa.RecordBatch], vocab: int = VOCAB, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of the batches with some size bytes of ids."""
     for batch in batches:
         done = 0
         for b in blocks(batch.column("ids"), size):
-            yield batch.slice(done, len(b)), [np.frombuffer(x.as_buffer(), np.uint16) for x in b]
+            yield batch.slice(done, len(b)), [np.frombuffer(x.as_buffer(), id_type(vocab)) for x in b]
             done += len(b)
 
 
@@ -212,8 +288,8 @@ def trained(ids: DataFrame, model: np.ndarray, turn: int) -> DataFrame:
             np.add(sums, g * g, out=sums)
             net.flat -= np.float32(RATE) * g / np.sqrt(sums)
 
-        for _, texts in arrays(batches):
-            stream, at, _ = positions(texts)
+        for _, texts in arrays(batches, net.vocab):
+            stream, at, _ = positions(texts, net.vocab)
             chosen = at[mix64(np.arange(word, word + len(at)) // every * 1_000_003 + turn) % np.uint64(every) == np.arange(word, word + len(at)) % every]
             word += len(at)
             left_context.append(stream[chosen[:, None] + OFFSETS])
@@ -262,25 +338,28 @@ def fit(ids: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     return model
 
 
-def scored(ids: DataFrame, model: np.ndarray) -> DataFrame:
-    """doc_id, n_words, log_likelihood (sum over words, natural), mean_log_probability, perplexity."""
+def scored(ids: DataFrame, model: np.ndarray, share: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, log_likelihood (sum over words, natural), mean_log_probability, perplexity. share: what shares
+    returns; without it these are the probabilities of ids."""
     kind = ids.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Net(model)
-        for b, texts in arrays(batches):
-            stream, at, owner = positions(texts)
+        for b, texts in arrays(batches, net.vocab):
+            stream, at, owner = positions(texts, net.vocab)
             logs = np.zeros(len(at))
             for s in range(0, len(at), CHUNK):
                 here = at[s : s + CHUNK]
                 logs[s : s + CHUNK] = net.log_probabilities(stream[here[:, None] + OFFSETS], stream[here])
             total = np.bincount(owner, logs, minlength=len(texts)) if len(at) else np.zeros(len(texts))
             n = np.array([len(x) for x in texts], np.int64)
-            none = n == 0
-            mean = total / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(mean, mask=none), pa.array(np.exp(-mean), mask=none)], names=["doc_id", "n_words", "log_likelihood", "mean_log_probability", "perplexity"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n), pa.array(total)], names=["doc_id", "row", "n_words", "log_likelihood"])
 
-    return ids.mapInArrow(lean(score), f"doc_id {kind}, n_words long, log_likelihood double, mean_log_probability double, perplexity double")
+    out = ids.select("doc_id", "ids", "row").mapInArrow(lean(score), f"doc_id {kind}, row long, n_words long, log_likelihood double")
+    if share is not None:
+        out = out.join(share, "row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("share", F.lit(0.0)))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return out.select("doc_id", "n_words", "log_likelihood", mean.alias("mean_log_probability"), F.exp(-mean).alias("perplexity"))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -293,9 +372,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """
     counts = materialize(word_counts(docs, text_col), "word-counts")
     known, by_id = vocabulary(counts)
-    ids = materialize(to_ids(docs, known, id_col, text_col), "word-ids")
+    ids = materialize(to_ids(docs, known, id_col, text_col, len(by_id)), "word-ids")
+    share = materialize(shares(ids, counts, by_id), "word-shares")
     release()
-    return scored(ids, fit(ids, by_id, rounds))
+    return scored(ids, fit(ids, by_id, rounds), share)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
