@@ -5,8 +5,8 @@ of the logarithms of these conditional probabilities. Words are counted over the
 have ids of their own (their number grows with the root of the corpus), the others share hashed ids. What a shared id
 gets is dealt among its words by their counts in the corpus: p(word | context) = p(id | context) n(word) / (n(id) + 1),
 where the 1 is kept for words that the corpus doesn't have. So every word has a probability of its own. Every document trains: in each round each task trains the
-common model on a share of the positions of its own documents (another share each round), and the tasks' models
-are averaged in a reduction tree, weighted by the positions they saw. So the work of training, and what the
+common model on a share of the positions of its own documents, and the rounds' shares are disjoint and together
+all positions, so every word is a target once; the tasks' models are averaged in a reduction tree, weighted by the positions they saw. So the work of training, and what the
 averaging moves, grow with the corpus, and the model, which goes to every task, with the root of the corpus.
 """
 
@@ -31,8 +31,8 @@ from .tokens import blocks, lower
 KNOWN, HASHED, SQUARE, BASE = 3072, 1024, 64, 1 << 22
 VOCAB = KNOWN + HASHED
 SIDE, DIM, HIDDEN = 2, 16, 32
-#: Rounds of training; the share of all positions that a round trains on; positions of a step; step size.
-ROUNDS, SHARE, STEP, RATE, SEED = 3, 1 / 16, 2048, 0.05, 1
+#: Rounds of training, which share out all positions; positions of a step; step size.
+ROUNDS, STEP, RATE, SEED = 3, 2048, 0.05, 1
 #: Models that one task of the reduction tree adds up, and the slices of a model that are added apart.
 FAN_IN, SLICES = 16, 16
 #: Positions scored at a time.
@@ -87,6 +87,15 @@ class Net:
         order = np.argsort(cluster.astype(np.uint16), kind="stable")
         return order, np.searchsorted(cluster[order], np.arange(self.side + 1))
 
+    def within(self, h: np.ndarray, cluster: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The logits of the members of each row's cluster; rows stand by cluster."""
+        out = self.bm[cluster]
+        for c in range(self.side):
+            a, b = starts[c], starts[c + 1]
+            if a < b:
+                out[a:b] += h[a:b] @ self.wm[c]
+        return out
+
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms of p(target | context), in the order given."""
         cluster, member = target % self.side, target // self.side
@@ -96,12 +105,9 @@ class Net:
         logits = h @ self.wc + self.bc
         logits -= logits.max(axis=1, keepdims=True)
         out = logits[n, cluster[order]] - np.log(np.exp(logits).sum(axis=1))
-        for c in range(self.side):
-            a, b = starts[c], starts[c + 1]
-            if a < b:
-                own = h[a:b] @ self.wm[c] + self.bm[c]
-                own -= own.max(axis=1, keepdims=True)
-                out[a:b] += own[n[: b - a], member[order[a:b]]] - np.log(np.exp(own).sum(axis=1))
+        own, member = self.within(h, cluster[order], starts), member[order]
+        own -= own.max(axis=1, keepdims=True)
+        out += own[n, member] - np.log(np.exp(own).sum(axis=1))
         result = np.empty(len(out), np.float64)
         result[order] = out
         return result
@@ -121,16 +127,16 @@ class Net:
         p *= scale
         grad.wc[...], grad.bc[...] = h.T @ p, p.sum(axis=0)
         back = p @ self.wc.T
+        q = self.within(h, cluster, starts)
+        q = np.exp(q - q.max(axis=1, keepdims=True))
+        q /= q.sum(axis=1, keepdims=True)
+        q[n, member] -= 1
+        q *= scale
         for c in range(self.side):
             a, b = starts[c], starts[c + 1]
             if a < b:
-                q = h[a:b] @ self.wm[c] + self.bm[c]
-                q = np.exp(q - q.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                q[n[: b - a], member[a:b]] -= 1
-                q *= scale
-                grad.wm[c], grad.bm[c] = h[a:b].T @ q, q.sum(axis=0)
-                back[a:b] += q @ self.wm[c].T
+                grad.wm[c], grad.bm[c] = h[a:b].T @ q[a:b], q[a:b].sum(axis=0)
+                back[a:b] += q[a:b] @ self.wm[c].T
         back *= 1 - h * h
         grad.w[...], grad.b[...] = x.T @ back, back.sum(axis=0)
         dx = (back @ self.w.T).reshape(-1, DIM)
@@ -274,9 +280,16 @@ def arrays(batches: Iterator[pa.RecordBatch], vocab: int = VOCAB, size: int = 1
             done += len(b)
 
 
-def trained(ids: DataFrame, model: np.ndarray, turn: int) -> DataFrame:
+def chosen(first: int, count: int, turn: int, rounds: int) -> np.ndarray:
+    """Which of a task's words from number first on are targets in a round: in each run of as many words as there are
+    rounds one, moved round by round from a hashed start, so that each word is a target in one round."""
+    word = np.arange(first, first + count)
+    start = mix64(word // rounds) % np.uint64(rounds)
+    return (start + np.uint64(turn)) % np.uint64(rounds) == word % rounds
+
+
+def trained(ids: DataFrame, model: np.ndarray, turn: int, rounds: int = ROUNDS) -> DataFrame:
     """One round: a model for each task, in slices: part, slice, weight, values (float32)."""
-    every = round(1 / SHARE)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, seen, part = Net(model.copy()), 0, TaskContext.get().partitionId()
@@ -290,11 +303,11 @@ def trained(ids: DataFrame, model: np.ndarray, turn: int) -> DataFrame:
 
         for _, texts in arrays(batches, net.vocab):
             stream, at, _ = positions(texts, net.vocab)
-            chosen = at[mix64(np.arange(word, word + len(at)) // every * 1_000_003 + turn) % np.uint64(every) == np.arange(word, word + len(at)) % every]
+            own = at[chosen(word, len(at), turn, rounds)]
             word += len(at)
-            left_context.append(stream[chosen[:, None] + OFFSETS])
-            left_target.append(stream[chosen])
-            seen += len(chosen)
+            left_context.append(stream[own[:, None] + OFFSETS])
+            left_target.append(stream[own])
+            seen += len(own)
             context, target = np.concatenate(left_context), np.concatenate(left_target)
             whole = len(target) // STEP * STEP
             for s in range(0, whole, STEP):
@@ -334,7 +347,7 @@ def fit(ids: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """The trained parameters. ids: written table of to_ids; counts: by id."""
     model = Net.initial(counts).flat
     for turn in range(rounds):
-        model = next((m for m in [averaged(trained(ids, model, turn))] if m is not None), model)
+        model = next((m for m in [averaged(trained(ids, model, turn, rounds))] if m is not None), model)
     return model
 
 

@@ -36,3 +36,20 @@ def test_known_words_grow_with_the_corpus():
     assert sides[0] == sides[1] == lm_scoring.SQUARE and sides[1] < sides[2] < sides[3]
     for side in sides:
         assert lm_scoring.Net(np.zeros(lm_scoring.length(side), np.float32)).side == side
+
+
+def test_every_position_trains_once():
+    for rounds in (1, 2, lm_scoring.ROUNDS, 16):
+        for first, count in ((0, 1000), (37, 5), (5, 1)):
+            seen = sum(lm_scoring.chosen(first, count, turn, rounds).astype(int) for turn in range(rounds))
+            assert seen.tolist() == [1] * count
+
+
+def test_rounds_weigh_all_words(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 97}" for k in range(i % 40))) for i in range(300)], "doc_id long, text string").repartition(3)
+    counts = materialize(lm_scoring.word_counts(docs), "counts")
+    known, by_id = lm_scoring.vocabulary(counts)
+    ids = materialize(lm_scoring.to_ids(docs, known), "ids")
+    model = lm_scoring.Net.initial(by_id).flat
+    seen = sum(lm_scoring.trained(ids, model, turn).where("slice = 0").agg({"weight": "sum"}).first()[0] or 0 for turn in range(lm_scoring.ROUNDS))
+    assert seen == by_id.sum()
