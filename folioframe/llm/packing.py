@@ -24,8 +24,8 @@ from .tokens import TOKENIZER, blocks, tokenizer_path, word_ids
 WINDOW, END_ID = 4096, 2
 #: A shard: so many ids or documents. It bounds a task's memory, and how far neighbours are sought.
 SHARD_IDS, SHARD_DOCS = 1_000_000, 8192
-#: Ids of a seed that make its query (those with the largest BM25 weight), and BM25's constants.
-QUERY_IDS, K1, B = 24, 1.2, 0.75
+#: BM25's constants.
+K1, B = 1.2, 0.75
 #: Neighbours that a query's answer holds; when the window takes them all, the seed asks for the next ones.
 ANSWER = 64
 
@@ -97,22 +97,22 @@ class Shard:
         order = np.argsort(token, kind="stable")
         self.docs, self.weights = doc[order], weight[order]
         self.posting = np.searchsorted(token[order], np.arange((1 << 16) + 1))
-        self.scores = np.zeros(n, np.float32)
+        self.count = n
+
+    def score(self, tokens: np.ndarray) -> np.ndarray:
+        """The sum of the weights of tokens for each document."""
+        a, n = self.posting[tokens], self.posting[tokens.astype(np.int64) + 1] - self.posting[tokens]
+        at = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
+        return np.bincount(self.docs[at], self.weights[at], minlength=self.count)
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents by falling score (then by place), those with a shared query id only."""
-        a, b = self.by_doc[seed], self.by_doc[seed + 1]
-        own = self.weight[a:b]
-        top = np.argpartition(-own, QUERY_IDS)[:QUERY_IDS] if b - a > QUERY_IDS else np.arange(b - a)
-        self.scores[:] = 0
-        for t in self.token[a:b][np.sort(top)]:
-            p = slice(self.posting[t], self.posting[t + 1])
-            self.scores[self.docs[p]] += self.weights[p]
-        self.scores[used] = 0
-        found = np.flatnonzero(self.scores)
+        """Unused documents by falling score (then by place), those with a shared id only; all ids of the seed count."""
+        scores = self.score(self.token[self.by_doc[seed] : self.by_doc[seed + 1]])
+        scores[used] = 0
+        found = np.flatnonzero(scores)
         if len(found) > ANSWER:
-            found = found[np.argpartition(-self.scores[found], ANSWER)[:ANSWER]]
-        return found[np.lexsort((found, -self.scores[found]))].tolist()
+            found = found[np.argpartition(-scores[found], ANSWER)[:ANSWER]]
+        return found[np.lexsort((found, -scores[found]))].tolist()
 
 
 def retrieval_order(texts: list[np.ndarray], idf: np.ndarray, mean: float, room: int, window: int = WINDOW) -> list[int]:
