@@ -1,7 +1,9 @@
 """Lexical retrieval packing (operator 3).
 
 Documents become token ids once; document frequencies of the token ids are summed over the whole corpus (the
-vocabulary bounds them). Then each task packs its documents shard by shard: a shard has an inverted index with
+vocabulary bounds them). Documents are dealt by content: each goes to the place of the leader (one of some root of the
+number of documents, in an order that puts like leaders side by side) that scores highest for it, then of the second;
+a place with many documents is split. Then each task packs its documents shard by shard: a shard has an inverted index with
 BM25 weights, a seed document asks it for unused neighbours, and these fill the seed's window one after another.
 The document that meets the window's end is cut there, and its rest seeds the next window. What is open when a
 shard ends goes on into the next; what is open when a task ends is cut at powers of two. So no token is padding.
@@ -18,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, lean, materialize
+from .common import column, discard, lean, materialize
 from .tokens import TOKENIZER, blocks, tokenizer_path, word_ids
 
 WINDOW, END_ID = 4096, 2
-#: A shard: so many ids or documents. It bounds a task's memory, and how far neighbours are sought.
+#: A shard: so many ids or documents. It bounds a task's memory, and how far neighbours are sought among what deal puts side by side.
 SHARD_IDS, SHARD_DOCS = 1_000_000, 8192
 #: BM25's constants.
 K1, B = 1.2, 0.75
@@ -146,10 +148,55 @@ def retrieval_order(texts: list[np.ndarray], idf: np.ndarray, mean: float, room:
             seed = cut if cut is not None and cut != seed else None
 
 
+def leaders(ids: DataFrame, statistics: tuple[np.ndarray, int, float]) -> list[np.ndarray]:
+    """Different texts by least hash, as many as the root of the number of documents at most, like ones side by side."""
+    n, mean = statistics[1:]
+    count = int(np.ceil(np.sqrt(n)))
+    h = F.xxhash64("ids")
+    some = ids.select(h.alias("h"), "ids").where(F.pmod("h", F.lit(max(1, n // (4 * count) if count else 1))) == 0).dropDuplicates(["h"])
+    texts = [np.frombuffer(r["ids"], np.uint16) for r in some.orderBy("h").limit(count).collect()]
+    return [texts[i] for i in retrieval_order(texts, weights(statistics), mean, WINDOW)] if texts else []
+
+
+def weights(statistics: tuple[np.ndarray, int, float]) -> np.ndarray:
+    """Inverse document frequency by token id."""
+    df, n, _ = statistics
+    return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def places(ids: DataFrame, statistics: tuple[np.ndarray, int, float], chosen: list[np.ndarray]) -> DataFrame:
+    """ids with place and second (numbers of the leaders of highest score) and salt (spreads documents of one place)."""
+    idf, mean = weights(statistics), statistics[2]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Shard(chosen, idf, mean) if chosen else None
+        for batch in batches:
+            done = 0
+            for part in blocks(batch.column("ids")):
+                near = np.zeros((len(part), 2), np.int32)
+                for k, raw in enumerate(part if index else []):
+                    scores = index.score(np.unique(np.frombuffer(raw.as_buffer(), np.uint16)))
+                    near[k, 0] = scores.argmax()
+                    scores[near[k, 0]] = -1
+                    near[k, 1] = scores.argmax()
+                yield pa.RecordBatch.from_arrays([*batch.slice(done, len(part)).columns, pa.array(near[:, 0]), pa.array(near[:, 1])], names=["doc_id", "ids", "place", "second"])
+                done += len(part)
+
+    kind = ids.schema["doc_id"].dataType.simpleString()
+    return ids.mapInArrow(lean(find), f"doc_id {kind}, ids binary, place int, second int").withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+
+
+def deal(ids: DataFrame, statistics: tuple[np.ndarray, int, float]) -> DataFrame:
+    """The rows of ids, those with like texts in a run of one task. Deletes ids, a materialized table."""
+    found = materialize(places(ids, statistics, leaders(ids, statistics)), "places")
+    discard(ids)
+    keys = ["place", "second", "salt"]
+    return found.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+
+
 def pack(ids: DataFrame, statistics: tuple[np.ndarray, int, float], window: int = WINDOW, shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ids: what token_ids returns."""
-    df, n, mean = statistics
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    idf, mean = weights(statistics), statistics[2]
     kind = ids.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -225,7 +272,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     alone. Repeated rows are packed as often as they stand. An empty table gives no pieces.
     """
     ids = materialize(token_ids(docs, id_col, text_col, tokenizer), "ids")
-    return pack(ids, corpus_statistics(ids))
+    statistics = corpus_statistics(ids)
+    return pack(deal(ids, statistics), statistics)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
