@@ -22,8 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. Whatever is there when the driver ends is deleted then."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and executors can be lost without loss."""
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "t")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
