@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import gc
-import shutil
-import time
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import scratch_path
+
 #: The white space of the operator contracts: ASCII space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]"
 TRIM = " \t\n\x0b\x0c\r"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a folder below the warehouse (which executors share) on a cluster, and one
-    below /tmp/checkpoints in local mode, where driver and executors are one process.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    own = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return f"file://{own}"
-
-
 _recording: list[list[str]] = []
 
 
@@ -54,16 +36,16 @@ def delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    release()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 
-    This cuts the lineage with files that outlive any executor; localCheckpoint would not.
+    This cuts the lineage with files that outlive any executor; localCheckpoint would not. What nobody deletes
+    before goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     for made in _recording:
         made.append(path)
     df.write.parquet(path)
@@ -71,24 +53,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes the files of materialized tables that nothing reads any more, and lets Spark drop unused shuffle files."""
+    """Deletes the files of materialized tables that nothing reads any more."""
     for t in tables:
         files = t.inputFiles()
         if files:
-            spark = t.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release()
+            delete(t.sparkSession, [files[0].rsplit("/", 1)[0]])
 
 
 def release() -> None:
-    """Runs both garbage collectors, so that Spark's cleaner removes shuffle files of finished queries."""
+    """After a shuffle as large as the input: drops what Python and the JVM hold of finished queries, so that Spark's cleaner
+    removes their shuffle files now and not at some later collection."""
+    gc.collect()
     spark = SparkSession.getActiveSession()
-    for _ in range(2):  # first what Python holds of the JVM, then what the JVM holds of the disk
-        gc.collect()
-        if spark is not None:
-            spark._jvm.System.gc()
-        time.sleep(0.25)
+    if spark is not None:
+        spark._jvm.System.gc()
 
 
 def lean(apply):

@@ -2,12 +2,17 @@
 
 A small network in numpy predicts every word from the two words on either side; a document's score is the sum
 of the logarithms of these conditional probabilities. Words are counted over the whole corpus; the most frequent
-have ids of their own (their number grows with the root of the corpus), the others share hashed ids. What a shared id
+have ids of their own (their number grows with the corpus), the others share hashed ids. The ids are the leaves of a
+Huffman tree of their counts, and p(id | context) is the product of the decisions on the way to its leaf (a
+hierarchical softmax), so that a word costs some log2 of the vocabulary, whatever its size. What a shared id
 gets is dealt among its words by their counts in the corpus: p(word | context) = p(id | context) n(word) / (n(id) + 1),
-where the 1 is kept for words that the corpus doesn't have. So every word has a probability of its own. Every document trains: in each round each task trains the
-common model on a share of the positions of its own documents, and the rounds' shares are disjoint and together
-all positions, so every word is a target once; the tasks' models are averaged in a reduction tree, weighted by the positions they saw. So the work of training, and what the
-averaging moves, grow with the corpus, and the model, which goes to every task, with the root of the corpus.
+where the 1 is kept for words that the corpus doesn't have. So every word has a probability of its own.
+
+Every position trains once: each round takes a share of the rows, the rounds' shares are disjoint and together all rows.
+In a round, each trainer improves the common model on its rows; the trainers' models are averaged in a
+reduction tree, weighted by the positions they saw. A trainer has some TRAINER positions at least, however many files
+or partitions hold them, and more for a larger model, so that models take less room than the ids. The work of
+training grows with the corpus, the model, which goes to every task, with the cube root of its words.
 """
 
 from __future__ import annotations
@@ -17,49 +22,123 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, lean, materialize, release
+from .common import column, discard, lean, materialize
 from .language_id import mix64
-from .tokens import blocks, lower
-
-#: Ids: KNOWN frequent words, then HASHED shared ids; in SQUARE x SQUARE (clusters, members) for the two-step softmax. One more
-#: for "outside". Over BASE words of text, KNOWN grows with the root of the words.
-KNOWN, HASHED, SQUARE, BASE = 3072, 1024, 64, 1 << 22
-VOCAB = KNOWN + HASHED
-SIDE, DIM, HIDDEN = 2, 16, 32
-#: Rounds of training, which share out all positions; positions of a step; step size.
-ROUNDS, STEP, RATE, SEED = 3, 2048, 0.05, 1
+from .tokens import blocks
+
+#: Ids: KNOWN frequent words, then HASHED shared ids, then one for "outside". Over BASE words of text, KNOWN grows with
+#: the cube root of the words.
+KNOWN, HASHED, BASE = 7168, 1024, 1 << 22
+SIDE, DIM, HIDDEN = 2, 16, 16
+#: Decisions (the most frequent ones) that are computed for all words of a step at once.
+TOP = 64
+#: Rounds of training, which share out all rows; positions of a step (more for a vocabulary of more than twice as many); step size.
+ROUNDS, STEP, RATE, SEED = 3, 1 << 14, 0.1, 1
+#: Positions of a trainer, and positions for each parameter of its model, at least.
+TRAINER, PER_PARAMETER = 1 << 21, 4
 #: Models that one task of the reduction tree adds up, and the slices of a model that are added apart.
 FAN_IN, SLICES = 16, 16
 #: Positions scored at a time.
 CHUNK = 1 << 14
 #: Texts, and bytes of hashes of their words with shared ids, whose words are counted together.
 GROUP_TEXTS, GROUP_BYTES = 128, 1 << 18
+#: Bytes of text whose words are found at a time, and the base of their hashes.
+BLOCK, MULTIPLIER = 1 << 20, 0x9E3779B97F4A7C15
 OFFSETS = np.array([o for o in range(-SIDE, SIDE + 1) if o])
 
 
-def shapes(side: int) -> dict[str, tuple[int, ...]]:
-    """The parameters of a network over side * side ids."""
-    return {"embed": (side * side + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "wc": (HIDDEN, side), "bc": (side,), "wm": (side, HIDDEN, side), "bm": (side, side)}
+def spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of sizes entries from starts on: the run of each entry, and its place."""
+    run = np.repeat(np.arange(len(sizes)), sizes)
+    return run, np.arange(len(run)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def sums_by(keys: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the rows of each key below size. Column by column, since that is numpy's fastest way."""
+    return np.stack([np.bincount(keys, c, minlength=size) for c in np.ascontiguousarray(rows.T)], axis=1)
+
+
+class Tree:
+    """A Huffman tree over ids: for each id the decisions on its way, as (number, whether the heavier side was taken).
 
+    Decisions are numbered by falling weight, so that the first TOP hang together at the root.
+    """
 
-def length(side: int) -> int:
-    return sum(int(np.prod(x)) for x in shapes(side).values())
+    def __init__(self, counts: np.ndarray):
+        v = len(counts)
+        order = np.argsort(counts, kind="stable")
+        leaf, inner, up, heavy = (counts[order] + 0.5).tolist(), [], np.zeros(2 * v - 1, np.int64), np.zeros(2 * v - 1, bool)
+        order = order.tolist()
+        i = j = 0
+        for k in range(v - 1):  # of leaves and inner nodes, both by rising weight, the two lightest
+            weight = 0.0
+            for side in (False, True):
+                if i < v and (j >= k or leaf[i] <= inner[j]):
+                    node, weight, i = order[i], weight + leaf[i], i + 1
+                else:
+                    node, weight, j = v + j, weight + inner[j], j + 1
+                up[node], heavy[node] = v + k, side
+            inner.append(weight)
+        self.weights = np.array(inner[::-1])
+        decisions, taken, owner = [], [], []
+        node, ids = np.arange(v), np.arange(v)
+        while len(node) and v > 1:  # all ids climb together
+            decisions.append(2 * v - 2 - up[node])
+            taken.append(heavy[node])
+            owner.append(ids)
+            node = up[node]
+            ids, node = ids[node < 2 * v - 2], node[node < 2 * v - 2]
+        decision, side, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (decisions, taken, owner))
+        self.log_odds = np.zeros(max(v - 1, 1))
+        below = np.bincount(decision[side.astype(bool)], counts[of[side.astype(bool)]] + 0.5, minlength=max(v - 1, 1))
+        if v > 1:
+            self.log_odds = np.log(below / (self.weights - below))
+        self.parts = []
+        for part in (decision < TOP, decision >= TOP):
+            order = np.argsort(of[part], kind="stable")
+            sizes = np.bincount(of[part], minlength=v)
+            self.parts.append((np.cumsum(sizes) - sizes, sizes, decision[part][order].astype(np.int32), np.where(side[part][order], np.float32(1), np.float32(-1))))
+
+    def top(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of target, decision, side as 1 or -1) of all decisions that are of the first TOP."""
+        starts, sizes, decision, side = self.parts[0]
+        row, at = spread(starts.take(target), sizes.take(target))
+        return row, decision.take(at), side.take(at)
+
+    def deep(self, target: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(decisions, sides) of the others, one step of the way at a time, for the first rows only. Targets stand by falling number of them."""
+        starts, sizes, decision, side = self.parts[1]
+        at, left = starts.take(target), sizes.take(target)
+        rows = len(target) - np.cumsum(np.bincount(left)) if len(target) else []
+        for step, n in enumerate(rows):
+            if n:
+                yield decision.take(at[:n] + step), side.take(at[:n] + step)
+
+    def order(self, target: np.ndarray) -> np.ndarray:
+        """The order that deep wants."""
+        return np.argsort(np.uint16(1 << 15) - self.parts[1][1].astype(np.uint16).take(target), kind="stable")
+
+
+def shapes(vocab: int) -> dict[str, tuple[int, ...]]:
+    """The parameters of a network over vocab ids."""
+    return {"embed": (vocab + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "node": (max(vocab - 1, 1), HIDDEN), "bias": (max(vocab - 1, 1),)}
+
+
+def length(vocab: int) -> int:
+    return sum(int(np.prod(x)) for x in shapes(vocab).values())
 
 
 class Net:
     """The parameters as views of one float32 vector."""
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, at, side = flat, 0, int(np.sqrt(len(flat) / (DIM + HIDDEN + 1)))
-        while length(side) > len(flat):
-            side -= 1
-        self.side, self.vocab = side, side * side
-        for name, shape in shapes(side).items():
+    def __init__(self, flat: np.ndarray, tree: Tree):
+        self.flat, self.tree, at = flat, tree, 0
+        self.vocab = len(tree.parts[0][0])
+        for name, shape in shapes(self.vocab).items():
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
@@ -68,84 +147,83 @@ class Net:
     def initial(counts: np.ndarray) -> Net:
         """Small random weights; the biases give the corpus's word frequencies."""
         rng = np.random.default_rng(SEED)
-        side = round(len(counts) ** 0.5)
-        net = Net(np.zeros(length(side), np.float32))
-        for name in ("embed", "w", "wc", "wm"):
+        net = Net(np.zeros(length(len(counts)), np.float32), Tree(counts))
+        for name, size in (("embed", 0.3), ("w", 0.1), ("node", 0.1)):
             x = getattr(net, name)
-            x[...] = rng.standard_normal(x.shape) * (0.3 if name == "embed" else 0.1)
-        p = (counts.astype(np.float64) + 0.5).reshape(side, side).T  # id = member * side + cluster
-        net.bc[:] = np.log(p.sum(axis=1) / p.sum())
-        net.bm[:] = np.log(p / p.sum(axis=1, keepdims=True))
+            x[...] = rng.standard_normal(x.shape, np.float32) * np.float32(size)
+        net.bias[:] = net.tree.log_odds
         return net
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.embed[context].reshape(len(context), -1)
+        x = self.embed.take(context.ravel(), axis=0).reshape(len(context), -1)
         return x, np.tanh(x @ self.w + self.b)
 
-    def segments(self, cluster: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """An order by cluster, and where each cluster begins in it."""
-        order = np.argsort(cluster.astype(np.uint16), kind="stable")
-        return order, np.searchsorted(cluster[order], np.arange(self.side + 1))
-
-    def within(self, h: np.ndarray, cluster: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The logits of the members of each row's cluster; rows stand by cluster."""
-        out = self.bm[cluster]
-        for c in range(self.side):
-            a, b = starts[c], starts[c + 1]
-            if a < b:
-                out[a:b] += h[a:b] @ self.wm[c]
-        return out
-
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms of p(target | context), in the order given."""
-        cluster, member = target % self.side, target // self.side
-        order, starts = self.segments(cluster)
-        _, h = self.hidden(context[order])
-        n = np.arange(len(h))
-        logits = h @ self.wc + self.bc
-        logits -= logits.max(axis=1, keepdims=True)
-        out = logits[n, cluster[order]] - np.log(np.exp(logits).sum(axis=1))
-        own, member = self.within(h, cluster[order], starts), member[order]
-        own -= own.max(axis=1, keepdims=True)
-        out += own[n, member] - np.log(np.exp(own).sum(axis=1))
+        order = self.tree.order(target)
+        target = target.take(order)
+        _, h = self.hidden(context.take(order, axis=0))
+        row, k, side = self.tree.top(target)
+        odds = h @ self.node[:TOP].T + self.bias[:TOP]
+        out = -np.bincount(row, np.log(1 + np.exp(-side * odds.ravel().take(row * odds.shape[1] + k))), minlength=len(target))
+        for k, side in self.tree.deep(target):
+            n = len(k)
+            out[:n] -= np.log(1 + np.exp(-side * (np.einsum("ij,ij->i", h[:n], self.node.take(k, axis=0)) + self.bias.take(k))))
         result = np.empty(len(out), np.float64)
         result[order] = out
         return result
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> Net:
         """Of the mean negative log probability."""
-        grad = Net(np.zeros_like(self.flat))
-        cluster, member = target % self.side, target // self.side
-        order, starts = self.segments(cluster)
-        context, cluster, member = context[order], cluster[order], member[order]
+        grad = Net(np.zeros_like(self.flat), self.tree)
+        order = self.tree.order(target)
+        context, target = context.take(order, axis=0), target.take(order)
         x, h = self.hidden(context)
-        n, scale = np.arange(len(h)), np.float32(1 / len(h))
-        p = h @ self.wc + self.bc
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[n, cluster] -= 1
-        p *= scale
-        grad.wc[...], grad.bc[...] = h.T @ p, p.sum(axis=0)
-        back = p @ self.wc.T
-        q = self.within(h, cluster, starts)
-        q = np.exp(q - q.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        q[n, member] -= 1
-        q *= scale
-        for c in range(self.side):
-            a, b = starts[c], starts[c + 1]
-            if a < b:
-                grad.wm[c], grad.bm[c] = h[a:b].T @ q[a:b], q[a:b].sum(axis=0)
-                back[a:b] += q[a:b] @ self.wm[c].T
+        top = min(TOP, len(self.node))
+        row, k, side = self.tree.top(target)
+        odds = h @ self.node[:top].T + self.bias[:top]
+        at = row * top + k
+        slopes = np.zeros_like(odds)
+        slopes.ravel()[at] = -side / (1 + np.exp(side * odds.ravel().take(at)))
+        back = slopes @ self.node[:top]
+        nodes, rows = [], []
+        for k, side in self.tree.deep(target):
+            n, node = len(k), self.node.take(k, axis=0)
+            slope = -side / (1 + np.exp(side * (np.einsum("ij,ij->i", h[:n], node) + self.bias.take(k))))
+            back[:n] += node * slope[:, None]
+            nodes.append(k)
+            rows.append(np.column_stack([h[:n] * slope[:, None], slope]))
+        if nodes:
+            sums = sums_by(np.concatenate(nodes), np.concatenate(rows), len(self.node))
+            grad.node[...], grad.bias[...] = sums[:, :-1], sums[:, -1]
+        grad.node[:top] += slopes.T @ h
+        grad.bias[:top] += slopes.sum(axis=0)
         back *= 1 - h * h
         grad.w[...], grad.b[...] = x.T @ back, back.sum(axis=0)
-        dx = (back @ self.w.T).reshape(-1, DIM)
-        at = (context.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-        grad.embed[...] = np.bincount(at, dx.ravel(), minlength=self.embed.size).reshape(self.embed.shape)
+        grad.embed[...] = sums_by(context.ravel(), (back @ self.w.T).reshape(-1, DIM), len(self.embed))
+        grad.flat /= len(target)
         return grad
 
 
-def positions(ids: list[np.ndarray], outside: int = VOCAB) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Trainer:
+    """Improves a network step by step; each parameter has a step size of its own, by its past gradients."""
+
+    def __init__(self, net: Net):
+        self.net, self.seen = net, 0
+        self.sums = np.full_like(net.flat, 1e-3)
+        self.size = max(STEP, net.vocab // 2)
+
+    def step(self, context: np.ndarray, target: np.ndarray) -> None:
+        self.seen += len(target)
+        g = self.net.gradient(context, target).flat
+        g *= np.float32(np.sqrt(len(target)))
+        self.sums += g * g
+        g /= np.sqrt(self.sums)
+        g *= np.float32(RATE)
+        self.net.flat -= g
+
+
+def positions(ids: list[np.ndarray], outside: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A stream of all texts with "outside" around each, the places of the words in it, and the text of each."""
     gap = np.full(SIDE, outside, np.int32)
     stream = np.concatenate([gap, *[y for x in ids for y in (x.astype(np.int32), gap)]])
@@ -153,78 +231,96 @@ def positions(ids: list[np.ndarray], outside: int = VOCAB) -> tuple[np.ndarray,
     return stream, at, np.repeat(np.arange(len(ids)), [len(x) for x in ids])
 
 
-def words_in(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The words of all texts in turn (A-Z lower-cased), dictionary coded, and where each text's words start."""
-    lists = pc.ascii_split_whitespace(lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    words = lists.flatten()
-    full = pc.greater(pc.binary_length(words), 0)
-    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
-    offsets = lists.offsets.to_numpy()
-    return words.filter(full).dictionary_encode(), upto[offsets - offsets[0]]
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MULTIPLIER to the powers 0 to n - 1 at least, modulo 2^64, and their inverses."""
+    have = _powers[0]
+    if len(have) < n:
+        size = max(n, BLOCK + (1 << 16))
+        _powers[:] = [np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64)), dtype=np.uint64) for x in (MULTIPLIER, pow(MULTIPLIER, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+_powers = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs of anything but ASCII white space, A-Z lower-cased) of all texts in turn, and where each
+    text's words start. A word's hash is a polynomial of its bytes, mixed."""
+    texts = pc.binary_join_element_wise(pc.fill_null(texts.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    if not len(texts):
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]  # a blank ends each text
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    low = raw + ((raw >= 65) & (raw <= 90)).view(np.uint8) * np.uint8(32) + np.uint8(1)
+    low *= ~blank
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts = (edge if blank[0] else np.append(0, edge))[0::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    power, inverse = powers(len(raw))
+    return mix64(np.add.reduceat(low * power[: len(raw)], starts) * inverse.take(starts)), np.searchsorted(starts, at - at[0])
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """word, n over all texts."""
+    """word (its hash, as a signed number), n over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column("text")):
-                coded, _ = words_in(b)
-                n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
-                yield pa.RecordBatch.from_pydict({"word": coded.dictionary.cast(pa.string()), "n": pa.array(n)})
+            for b in blocks(batch.column("text"), BLOCK):
+                found = pc.value_counts(pa.array(words_in(b)[0].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+
+    return docs.select(column(text_col).cast("string").alias("text")).mapInArrow(lean(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    return docs.select(column(text_col).cast("string").alias("text")).mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def known_words(words: int) -> int:
+    """Words with an id of their own in a corpus of so many words."""
+    return int(KNOWN * max(1.0, words / BASE) ** (1 / 3))
 
 
-def side_of(words: int) -> int:
-    """The side of the square of ids for a corpus of so many words."""
-    return max(SQUARE, int(np.ceil(np.sqrt(KNOWN * np.sqrt(words / BASE) + HASHED))))
+def shared_id(words: np.ndarray) -> np.ndarray:
+    """Which of the HASHED shared ids words (hashes) have that have none of their own."""
+    return (words.view(np.uint64) >> np.uint64(20)) % np.uint64(HASHED)
 
 
-def vocabulary(counts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """counts: written table. Ids of the most frequent words (then in code point order), and corpus counts by id."""
-    size = side_of(counts.agg(F.sum("n")).first()[0] or 0) ** 2
-    first = size - HASHED
-    top = counts.orderBy(F.col("n").desc(), "word").limit(first).collect()
-    ids = {r["word"]: i for i, r in enumerate(top)}
-    by_id = np.zeros(size, np.int64)
-    for r in top:
-        by_id[ids[r["word"]]] = r["n"]
-    shared = counts.groupBy(F.pmod(F.xxhash64("word"), F.lit(HASHED)).alias("k")).agg(F.sum("n").alias("n")).collect()  # HASHED rows at most
-    for r in shared:
-        by_id[first + r["k"]] += r["n"]
-    for w, i in ids.items():
-        by_id[first + xxhash.xxh64_intdigest(w.encode(), 42) % HASHED] -= by_id[i]
-    return ids, by_id
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """counts: written table. The most frequent words (then by hash) in the order of their ids, and corpus counts by id."""
+    first = known_words(counts.agg(F.sum("n")).first()[0] or 0)
+    top = counts.orderBy(F.col("n").desc(), "word").limit(first).toArrow()  # as many as the model has ids
+    words, n = top["word"].to_numpy(), top["n"].to_numpy()
+    by_id = np.zeros(first + HASHED, np.int64)
+    by_id[: len(n)] = n
+    shared = counts.groupBy(F.pmod(F.shiftrightunsigned("word", 20), F.lit(HASHED)).alias("k")).agg(F.sum("n").alias("n")).toArrow()  # HASHED rows at most
+    by_id[first + shared["k"].to_numpy()] = shared["n"].to_numpy()
+    np.subtract.at(by_id, first + shared_id(words).astype(np.int64), n)
+    return words, by_id
 
 
 def id_type(vocab: int) -> type:
     return np.uint16 if vocab <= 1 << 16 else np.uint32
 
 
-def to_ids(docs: DataFrame, ids: dict[str, int], id_col: str = "doc_id", text_col: str = "text", vocab: int = VOCAB) -> DataFrame:
-    """doc_id, ids (unsigned, see id_type) of each row's words, row (a number of its own), shared (the 64-bit hashes of its words with shared ids)."""
+def to_ids(docs: DataFrame, known: np.ndarray, vocab: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (unsigned, see id_type) of each row's words, row (a number of its own), shared (the hashes of its words with shared ids)."""
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     first, kind = vocab - HASHED, id_type(vocab)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        row, own = TaskContext.get().partitionId() << 40, pa.array(known)
         for batch in batches:
             done = 0
-            for b in blocks(batch.column("text")):
-                coded, starts = words_in(b)
-                dictionary = coded.dictionary.to_pylist()
-                of = np.fromiter((ids.get(w, -1) for w in dictionary), np.int64, len(dictionary))
-                hashes = np.zeros(len(of), np.uint64)
-                rare = np.flatnonzero(of < 0)
-                hashes[rare] = np.fromiter((xxhash.xxh64_intdigest(dictionary[i].encode(), 42) for i in rare), np.uint64, len(rare))
-                of[rare] = first + (hashes[rare] % np.uint64(HASHED)).astype(np.int64)
-                at = coded.indices.to_numpy(zero_copy_only=False)
-                flat, far = of[at].astype(kind), at[of[at] >= first]
-                upto = np.concatenate([[0], np.cumsum(flat >= first)])[starts]
-                far = hashes[far]
+            for b in blocks(batch.column("text"), BLOCK):
+                words, starts = words_in(b)
+                ids = pc.fill_null(pc.index_in(pa.array(words.view(np.int64)), own), -1).to_numpy()
+                far = ids < 0
+                rare = words[far]
+                flat = ids.astype(kind)
+                flat[far] = first + shared_id(rare)
                 raw = [flat[a:e].tobytes() for a, e in zip(starts[:-1], starts[1:], strict=True)]
-                shared = [far[a:e].tobytes() for a, e in zip(upto[:-1], upto[1:], strict=True)]
+                upto = np.append(0, np.cumsum(far))[starts]
+                shared = [rare[a:e].tobytes() for a, e in zip(upto[:-1], upto[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(b)), pa.array(raw, pa.binary()), pa.array(np.arange(row, row + len(b))), pa.array(shared, pa.binary())], names=["doc_id", "ids", "row", "shared"])
                 done, row = done + len(b), row + len(b)
 
@@ -259,7 +355,7 @@ def shares(ids: DataFrame, counts: DataFrame, by_id: np.ndarray) -> DataFrame:
     total = np.log(by_id[-HASHED:] + 1.0)
 
     def add(table: pa.Table) -> pa.Table:
-        logs = np.log(table["n"].to_numpy()) - total[table["word"].to_numpy().view(np.uint64) % np.uint64(HASHED)]
+        logs = np.log(table["n"].to_numpy()) - total[shared_id(table["word"].to_numpy())]
         raw = [x.as_buffer() for x in table["rows"]]
         rows = np.frombuffer(b"".join(raw), np.int32)
         sums = np.bincount(rows, np.repeat(logs, [x.size // 4 for x in raw]))
@@ -267,11 +363,10 @@ def shares(ids: DataFrame, counts: DataFrame, by_id: np.ndarray) -> DataFrame:
         return pa.table({"row": pa.array(table["first"][0].as_py() + some.astype(np.int64)), "share": pa.array(sums[some])})
 
     words = ids.select("row", "shared").mapInArrow(lean(group), "first long, word long, rows binary")
-    known = counts.groupBy(F.xxhash64("word").alias("word")).agg(F.sum("n").alias("n"))
-    return words.join(known, "word").groupBy("first").applyInArrow(lambda t: add(t), "row long, share double")
+    return words.join(counts, "word").groupBy("first").applyInArrow(lambda t: add(t), "row long, share double")
 
 
-def arrays(batches: Iterator[pa.RecordBatch], vocab: int = VOCAB, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def arrays(batches: Iterator[pa.RecordBatch], vocab: int, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of the batches with some size bytes of ids."""
     for batch in batches:
         done = 0
@@ -280,46 +375,36 @@ def arrays(batches: Iterator[pa.RecordBatch], vocab: int = VOCAB, size: int = 1
             done += len(b)
 
 
-def chosen(first: int, count: int, turn: int, rounds: int) -> np.ndarray:
-    """Which of a task's words from number first on are targets in a round: in each run of as many words as there are
-    rounds one, moved round by round from a hashed start, so that each word is a target in one round."""
-    word = np.arange(first, first + count)
-    start = mix64(word // rounds) % np.uint64(rounds)
-    return (start + np.uint64(turn)) % np.uint64(rounds) == word % rounds
+def share_of(ids: DataFrame, turn: int, rounds: int) -> DataFrame:
+    """The rows whose positions train in a round; each row is in one round's."""
+    return ids.where(F.pmod(F.xxhash64("row"), F.lit(rounds)) == turn)
 
 
-def trained(ids: DataFrame, model: np.ndarray, turn: int, rounds: int = ROUNDS) -> DataFrame:
-    """One round: a model for each task, in slices: part, slice, weight, values (float32)."""
+def trainers(words: int, vocab: int, rounds: int) -> int:
+    """How many models a round trains: by the positions it has, not by the partitions that hold them."""
+    return max(1, words // rounds // max(TRAINER, PER_PARAMETER * length(vocab)))
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen, part = Net(model.copy()), 0, TaskContext.get().partitionId()
-        sums = np.full_like(net.flat, 1e-3)
-        left_context, left_target, word = [], [], 0
 
-        def step(context: np.ndarray, target: np.ndarray) -> None:
-            g = net.gradient(context, target).flat * np.float32(np.sqrt(len(target)))
-            np.add(sums, g * g, out=sums)
-            net.flat -= np.float32(RATE) * g / np.sqrt(sums)
+def trained(ids: DataFrame, model: np.ndarray, tree: Tree, turn: int, rounds: int = ROUNDS, count: int = 1) -> DataFrame:
+    """One round: count models at most, in slices: part, slice, weight (its positions), values (float32)."""
 
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, part = Trainer(Net(model.copy(), tree)), TaskContext.get().partitionId()
+        net, context, target = trainer.net, np.zeros((0, 2 * SIDE), np.int32), np.zeros(0, np.int32)
         for _, texts in arrays(batches, net.vocab):
             stream, at, _ = positions(texts, net.vocab)
-            own = at[chosen(word, len(at), turn, rounds)]
-            word += len(at)
-            left_context.append(stream[own[:, None] + OFFSETS])
-            left_target.append(stream[own])
-            seen += len(own)
-            context, target = np.concatenate(left_context), np.concatenate(left_target)
-            whole = len(target) // STEP * STEP
-            for s in range(0, whole, STEP):
-                step(context[s : s + STEP], target[s : s + STEP])
-            left_context, left_target = [context[whole:]], [target[whole:]]
-        if left_target and len(left_target[0]):
-            step(left_context[0], left_target[0])
-        if seen:
+            context, target = np.concatenate([context, stream[at[:, None] + OFFSETS]]), np.concatenate([target, stream[at]])
+            whole = len(target) // trainer.size * trainer.size
+            for s in range(0, whole, trainer.size):
+                trainer.step(context[s : s + trainer.size], target[s : s + trainer.size])
+            context, target = context[whole:], target[whole:]
+        if len(target):
+            trainer.step(context, target)
+        if trainer.seen:
             cut = np.array_split(net.flat, SLICES)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * SLICES, pa.int64()), "slice": pa.array(range(SLICES), pa.int32()), "weight": pa.array([float(seen)] * SLICES), "values": pa.array([c.tobytes() for c in cut], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * SLICES, pa.int64()), "slice": pa.array(range(SLICES), pa.int32()), "weight": pa.array([float(trainer.seen)] * SLICES), "values": pa.array([c.tobytes() for c in cut], pa.binary())})
 
-    return ids.select("ids").mapInArrow(lean(train), "part long, slice int, weight double, values binary")
+    return share_of(ids, turn, rounds).select("ids").coalesce(count).mapInArrow(lean(train), "part long, slice int, weight double, values binary")
 
 
 def averaged(models: DataFrame) -> np.ndarray | None:
@@ -343,23 +428,25 @@ def averaged(models: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["values"], np.float32) for r in rows])
 
 
-def fit(ids: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """The trained parameters. ids: written table of to_ids; counts: by id."""
-    model = Net.initial(counts).flat
+def fit(ids: DataFrame, counts: np.ndarray, rounds: int = ROUNDS) -> Net:
+    """The trained network. ids: written table of to_ids; counts: by id."""
+    net = Net.initial(counts)
+    count = trainers(int(counts.sum()), len(counts), rounds)
     for turn in range(rounds):
-        model = next((m for m in [averaged(trained(ids, model, turn, rounds))] if m is not None), model)
-    return model
+        model = averaged(trained(ids, net.flat, net.tree, turn, rounds, count))
+        net = net if model is None else Net(model, net.tree)
+    return net
 
 
-def scored(ids: DataFrame, model: np.ndarray, share: DataFrame | None = None) -> DataFrame:
+def scored(ids: DataFrame, net: Net, share: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, log_likelihood (sum over words, natural), mean_log_probability, perplexity. share: what shares
     returns; without it these are the probabilities of ids."""
     kind = ids.schema["doc_id"].dataType.simpleString()
+    vocab = net.vocab
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Net(model)
-        for b, texts in arrays(batches, net.vocab):
-            stream, at, owner = positions(texts, net.vocab)
+        for b, texts in arrays(batches, vocab):
+            stream, at, owner = positions(texts, vocab)
             logs = np.zeros(len(at))
             for s in range(0, len(at), CHUNK):
                 here = at[s : s + CHUNK]
@@ -378,16 +465,16 @@ def scored(ids: DataFrame, model: np.ndarray, share: DataFrame | None = None) ->
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: the columns of scored, by a model trained on all rows of docs.
 
-    Words are runs of anything but ASCII white space, A-Z lower-cased. A null or empty text has no words, sum 0 and
+    Words are runs of anything but ASCII white space, A-Z lower-cased; they are the same where their 64-bit hashes are. A null or empty text has no words, sum 0 and
     null mean and perplexity. Repeated rows train and return as often as they stand. An empty table gives no rows.
     The model depends on the order of rows in files by float rounding and by the tasks that train; scores of one
     written input agree between runs with the same partitions.
     """
     counts = materialize(word_counts(docs, text_col), "word-counts")
     known, by_id = vocabulary(counts)
-    ids = materialize(to_ids(docs, known, id_col, text_col, len(by_id)), "word-ids")
+    ids = materialize(to_ids(docs, known, len(by_id), id_col, text_col), "word-ids")
     share = materialize(shares(ids, counts, by_id), "word-shares")
-    release()
+    discard(counts)
     return scored(ids, fit(ids, by_id, rounds), share)
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, fresh, lean, materialize, release
+from .common import column, discard, fresh, lean, materialize
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -221,7 +221,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_id")
     points = materialize(rows.groupBy("fp").agg(F.min(first).alias("first")), "points")
     linked = components(materialize(near_links(points), "near"))
-    release()
     rooted = points.join(linked.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialize(rooted, "rooted")
     heads = materialize(rooted.groupBy("root").agg(F.min("first").alias("head")), "heads")

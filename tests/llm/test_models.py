@@ -23,10 +23,12 @@ def words(text):
 
 def test_gradient():
     rng = np.random.default_rng(0)
-    net = lm_scoring.Net(lm_scoring.Net.initial(rng.integers(0, 50, lm_scoring.VOCAB)).flat.astype(np.float64))
-    context, target = rng.integers(0, lm_scoring.VOCAB + 1, (40, 4)), rng.integers(0, lm_scoring.VOCAB, 40)
+    counts = rng.integers(0, 50, 300)
+    net = lm_scoring.Net.initial(counts)
+    net = lm_scoring.Net(net.flat.astype(np.float64), net.tree)
+    context, target = rng.integers(0, 301, (40, 4)), rng.integers(0, 300, 40)
     g = net.gradient(context, target).flat
-    for i in rng.choice(np.flatnonzero(g), 25):
+    for i in rng.choice(np.flatnonzero(g), 40):
         was, e, ends = net.flat[i], 1e-5, []
         for sign in (1, -1):
             net.flat[i] = was + sign * e
@@ -35,29 +37,83 @@ def test_gradient():
         assert abs((ends[0] - ends[1]) / (2 * e) - g[i]) < 1e-4 * max(1, abs(g[i]))
 
 
+def huffman_codes(counts):
+    """id -> the decisions on its way as (the set of ids below, whether the id is on the heavier side), built the textbook way."""
+    import heapq
+
+    heap = [(c + 0.5, i, frozenset([i])) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    ways, n = defaultdict(list), len(counts)
+    while len(heap) > 1:
+        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for i in x | y:
+            ways[i].append((x | y, i in y))
+        n += 1
+        heapq.heappush(heap, (a + b, n, x | y))
+    return ways
+
+
+def test_tree_is_a_huffman_tree():
+    for counts in ([5], [3, 4], [0, 0, 0], list(range(1, 200)), [1000, *[1] * 150]):
+        tree, ways = lm_scoring.Tree(np.array(counts)), huffman_codes(counts)
+        sizes = tree.parts[0][1] + tree.parts[1][1]
+        cost = lambda n: sum((c + 0.5) * k for c, k in zip(counts, n, strict=True))
+        assert abs(cost(sizes) - cost([len(ways[i]) for i in range(len(counts))])) < 1e-6
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    net = lm_scoring.Net.initial(rng.integers(0, 50, lm_scoring.VOCAB))
-    context = np.repeat(rng.integers(0, lm_scoring.VOCAB + 1, (1, 4)), lm_scoring.VOCAB, axis=0)
-    assert abs(np.exp(net.log_probabilities(context, np.arange(lm_scoring.VOCAB))).sum() - 1) < 1e-3
+    for v in (1, 2, 50, 1000):
+        counts = rng.integers(0, 50, v)
+        net = lm_scoring.Net.initial(counts)
+        context = np.repeat(rng.integers(0, v + 1, (1, 4)), v, axis=0)
+        assert abs(np.exp(net.log_probabilities(context, np.arange(v))).sum() - 1) < 1e-3
+        net.node[...] = 0  # the biases alone give the frequencies
+        assert np.allclose(np.exp(net.log_probabilities(context, np.arange(v))), (counts + 0.5) / (counts + 0.5).sum(), rtol=1e-3)
+
+
+def plain_log_probability(net, context, target):
+    """log p(target | context), one word, step by step in Python floats."""
+    x = [float(v) for w in context for v in net.embed[w]]
+    h = [np.tanh(sum(a * float(net.w[i, j]) for i, a in enumerate(x)) + float(net.b[j])) for j in range(len(net.b))]
+    total = 0.0
+    for starts, sizes, decision, side in net.tree.parts:
+        for k in range(starts[target], starts[target] + sizes[target]):
+            z = sum(a * float(b) for a, b in zip(h, net.node[decision[k]], strict=True)) + float(net.bias[decision[k]])
+            total -= np.log1p(np.exp(-float(side[k]) * z))
+    return total
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    import pyarrow as pa
+
+    texts = ["One two\tthree", None, "", "  ", "two ONE", "x" * 70_000 + " one", "\x0bthree\x0c", "n\u00e9 N\u00c9"]
+    flat, starts = lm_scoring.words_in(pa.array(["skipped", *texts, "skipped"]).slice(1, len(texts)))
+    want = [words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    assert np.diff(starts).tolist() == [len(x) for x in want]
+    seen = {}
+    for w, h in zip([w for x in want for w in x], flat.tolist(), strict=True):
+        assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) == 6
+    assert lm_scoring.words_in(pa.array([], pa.string()))[1].tolist() == [0]
 
 
 def test_lm_scores(docs, odd, none):
     counts = materialize(lm_scoring.word_counts(docs), "counts")
     want = Counter(w for r in docs.collect() for w in words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text)))
-    assert {r.word: r.n for r in counts.collect()} == dict(want)
+    assert Counter(r.n for r in counts.collect()) == Counter(want.values())
     known, by_id = lm_scoring.vocabulary(counts)
     assert by_id.sum() == sum(want.values()) and by_id.min() >= 0
-    ids = materialize(lm_scoring.to_ids(docs, known), "ids")
-    model = lm_scoring.fit(ids, by_id)
-    net, got = lm_scoring.Net(model), {r.doc_id: r for r in lm_scoring.scored(ids, model).collect()}
-    for r in ids.limit(8).collect():  # word by word
+    ids = materialize(lm_scoring.to_ids(docs, known, len(by_id)), "ids")
+    net = lm_scoring.fit(ids, by_id)
+    got = {r.doc_id: r for r in lm_scoring.scored(ids, net).collect()}
+    for r in sorted(ids.collect(), key=lambda r: len(r.ids))[:8]:  # word by word
         x = np.frombuffer(r.ids, np.uint16).astype(int).tolist()
-        pad = [lm_scoring.VOCAB] * 2 + x + [lm_scoring.VOCAB] * 2
-        total = sum(float(net.log_probabilities(np.array([[pad[i], pad[i + 1], pad[i + 3], pad[i + 4]]]), np.array([t]))[0]) for i, t in enumerate(x))
+        pad = [net.vocab] * 2 + x + [net.vocab] * 2
+        total = sum(plain_log_probability(net, [pad[i], pad[i + 1], pad[i + 3], pad[i + 4]], t) for i, t in enumerate(x))
         assert abs(total - got[r.doc_id].log_likelihood) < 1e-3 * max(1, abs(total)) and got[r.doc_id].n_words == len(x)
     mean = lambda m: lm_scoring.scored(ids, m).agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0]
-    assert mean(model) > mean(lm_scoring.Net.initial(by_id).flat)
+    assert mean(net) > mean(lm_scoring.Net.initial(by_id))
     assert lm_scoring.lm_scores(none).count() == 0
     odds = lm_scoring.lm_scores(odd).collect()
     assert Counter((r.doc_id, r.n_words) for r in odds) == Counter((r.doc_id, len(words(r.text))) for r in odd.collect())
