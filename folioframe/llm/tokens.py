@@ -12,8 +12,9 @@ import pyarrow.compute as pc
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept in a process. A full cache forgets a block's new words behind the block; it starts anew where it knows few of them.
 CACHE_WORDS = 600_000
-#: Words of lower-case Latin letters only.
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+#: Lower-case letters of Latin-1, and words of lower-case Latin letters only.
+LATIN = "\u00df-\u00f6\u00f8-\u00ff"
+PLAIN = re.compile(f"[a-z{LATIN}]+")
 #: Bytes of text that are split at a time.
 BLOCK_BYTES = 2 << 20
 
@@ -58,8 +59,8 @@ def lower(texts: pa.LargeStringArray, latin: bool = False) -> pa.LargeStringArra
 class WordIds:
     """Encodes texts with a tokenizer that drops white space, so that a text's ids are those of its words in turn.
 
-    Each distinct word is encoded once. Lower-casing ASCII and Latin-1 letters first, and setting full stops, commas and exclamation
-    marks after a letter apart, changes no id (both are what the tokenizer does itself) and leaves fewer words.
+    Each distinct word is encoded once. Lower-casing ASCII and Latin-1 letters first, and setting the ASCII marks .,!%&#$* that end
+    a word after a letter apart, changes no id (both are what the tokenizer does itself) and leaves fewer words.
     """
 
     def __init__(self, path: str):
@@ -112,10 +113,10 @@ class WordIds:
         # These letters compose with marks of this block only; a text with one is left to the tokenizer as it is.
         marked = pc.match_substring_regex(texts, "[̀-ͯ]")
         texts = pc.if_else(marked, texts, lower(texts, latin=True))
-        texts = pc.replace_substring_regex(texts, r"([a-z])([.,!]+)([\t-\r ]|$)", r"\1 \2\3")
+        texts = pc.replace_substring_regex(texts, f"([a-z{LATIN}])([.,!%&#$*]+)([\t-\r ]|$)", r"\1 \2\3")
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in words if w not in self.index]
         full = len(self.index) > CACHE_WORDS
         if full and 2 * len(new) > len(words):
