@@ -199,16 +199,42 @@ def test_count_tree_edits():
     assert tree.encoded - 20_001 < 10  # only the region touched
 
 
+def test_edits_near_the_end_of_a_leaf():
+    """A leaf's end is no end of the text: what the pattern could read on is read."""
+    c = token_counts.Counter()
+    for text in ("they're " * 300, "ab" * 3000 + " c", "x" + " " * 500 + "y", "'" * 400 + "ll"):
+        for at in range(0, len(text), 37):
+            tree = token_counts.CountTree(c, text)
+            tree.edit(at, min(len(text), at + 1), "")
+            tree.edit(at, at, "'")
+            want = text[:at] + "'" + text[at + 1 :]
+            assert tree.text == want and tree.lengths == list(map(len, c.cut(want))) and tree.total == len(c.encoding.encode_ordinary(want))
+
+
 def test_edit_aware_counts(spark, docs, odd, none):
     c = token_counts.Counter()
     for df in (docs, odd):
-        got = token_counts.edit_aware_counts(df, token_counts.redactions(F.col("text"))).collect()
+        got = token_counts.edit_aware_counts(df, token_counts.PERSONAL).collect()
         want = Counter()
         for r in df.select("doc_id", "text").collect():
             after, n = re.subn(token_counts.PERSONAL, token_counts.REPLACEMENT, r.text or "")
             want[r.doc_id, len(c.encoding.encode_ordinary(r.text or "")), n, len(c.encoding.encode_ordinary(after))] += 1
         assert Counter((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_after) for r in got) == want
-    assert token_counts.edit_aware_counts(none, token_counts.redactions(F.col("text"))).count() == 0
+    assert token_counts.edit_aware_counts(none, token_counts.PERSONAL).count() == 0
+
+
+def test_a_second_batch_of_edits_starts_from_the_first_ones_trees(spark, odd):
+    c = token_counts.Counter()
+    trees = materialize(token_counts.count_trees(odd), "trees")
+    batches = [F.expr("array(named_struct('start', 2, 'end', 5, 'replacement', 'new words'), named_struct('start', 0, 'end', 0, 'replacement', null))"), F.expr("if(doc_id % 2 = 0, null, array(named_struct('start', -3, 'end', 1000000, 'replacement', 'all'), named_struct('start', 1, 'end', 1, 'replacement', 'x')))")]
+    want = [(r.doc_id, r.text or "") for r in odd.select("doc_id", "text").collect()]
+    for batch in batches:
+        trees = materialize(token_counts.edited(trees, batch), "trees")
+        edit = lambda i, t: t[:2] + "new words" + t[5:] if batch is batches[0] else t if i is not None and i % 2 == 0 else "axll"  # noqa: E731, B023
+        want = [(i, edit(i, t)) for i, t in want]
+        got = trees.collect()
+        assert Counter((r.doc_id, r.text, tuple(r.lengths), r.n_tokens_after) for r in got) == Counter((i, t, tuple(map(len, c.cut(t))), len(c.encoding.encode_ordinary(t))) for i, t in want)
+        assert all(sum(r.counts) == r.n_tokens_after for r in got)
 
 
 # ---- 7
