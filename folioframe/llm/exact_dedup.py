@@ -17,8 +17,6 @@ from .common import SPACE, column, fresh, materialize, release, text_of
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 #: A chunk ends after such a pair of characters, or at MAX_CHUNK.
 CUT = "[bdgkpvwzBDGKPVWZ0-9][aeouAEOU]"
-#: More colliding 64-bit identifiers than this don't occur by chance at any corpus size in reach.
-MAX_COLLISIONS = 100_000
 
 
 def chunks_of(normal: Column, low: int = MIN_CHUNK, high: int = MAX_CHUNK) -> Column:
@@ -30,24 +28,23 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, "")
 
 
-def collisions(chunks: DataFrame, identifier=F.xxhash64) -> list:
-    """Identifiers that stand for two or more chunk texts. chunks: one array column ``chunks``.
-
-    The list is empty unless a 64-bit hash collides; its size is checked.
-    """
+def collisions(chunks: DataFrame, identifier=F.xxhash64) -> DataFrame:
+    """id: identifiers that stand for two or more chunk texts. chunks: one array column ``chunks``. A written table, empty
+    unless a 64-bit hash collides."""
     each = chunks.select(F.explode("chunks").alias("chunk")).select(identifier(F.col("chunk")).alias("id"), "chunk")
-    found = each.distinct().groupBy("id").count().where("count > 1").select("id").take(MAX_COLLISIONS + 1)
-    if len(found) > MAX_COLLISIONS:
-        raise ValueError("the identifier function collides far more often than 64 random bits would")
-    return [r[0] for r in found]
+    return materialize(each.distinct().groupBy("id").count().where("count > 1").select("id"), "collisions")
 
 
-def recipe_of(chunks: Column, collided: list, identifier=F.xxhash64) -> Column:
-    """The ordered list of verified identifiers: the hash, or for a collided hash the chunk's SHA-256."""
-    if not collided:
-        return F.transform(chunks, lambda c: identifier(c).cast("string"))
-    bad = F.array(*[F.lit(x) for x in collided])
-    return F.transform(chunks, lambda c: F.when(F.array_contains(bad, identifier(c)), F.sha2(c, 256)).otherwise(identifier(c).cast("string")))
+def recipes(cut: DataFrame, collided: DataFrame, identifier=F.xxhash64) -> DataFrame:
+    """cut (text_sha256, chunks, ...) with recipe, the ordered list of verified identifiers, in place of chunks: a chunk's hash, or
+    where that collides the chunk's SHA-256. Chunks move for neither."""
+    plain = lambda c: identifier(c).cast("string")
+    if collided.isEmpty():
+        return cut.withColumn("recipe", F.transform("chunks", plain)).drop("chunks")
+    each = cut.select("text_sha256", F.posexplode("chunks").alias("place", "chunk")).select("text_sha256", "place", identifier(F.col("chunk")).alias("id"), F.sha2("chunk", 256).alias("own"))
+    exact = each.join(collided, "id").groupBy("text_sha256", "place").agg(F.min("own").alias("own")).groupBy("text_sha256").agg(F.map_from_entries(F.collect_list(F.struct("place", "own"))).alias("exact"))
+    slim = cut.withColumn("recipe", F.transform("chunks", plain)).drop("chunks").join(exact, "text_sha256", "left")
+    return slim.withColumn("recipe", F.transform("recipe", lambda c, i: F.coalesce(F.try_element_at("exact", i), c))).drop("exact")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, identifier=F.xxhash64) -> DataFrame:
@@ -61,13 +58,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row = column(row_col) if row_col else F.monotonically_increasing_id()
     source = docs.select(row.alias("row_id"), column(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     plain = source.select("row_id", "doc_id", F.length("text").alias("n_points"), normalized(F.col("text")).alias("normal"))
-    cut = plain.select("*", chunks_of(F.col("normal")).alias("chunks"))
+    cut = plain.select("row_id", "doc_id", "n_points", F.sha2("normal", 256).alias("text_sha256"), chunks_of(F.col("normal")).alias("chunks"))
     collided = collisions(cut.select("chunks"), identifier)
     release()
-    digest = materialize(
-        cut.select("row_id", "doc_id", "n_points", F.sha2("normal", 256).alias("text_sha256"), recipe_of(F.col("chunks"), collided, identifier).alias("recipe")),
-        "recipes",
-    )
+    digest = materialize(recipes(cut, collided, identifier), "recipes")
     rank = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("id"), F.col("row_id").alias("row"))
     # As a table, both sides of the join below are plain exchanges, whose hot keys adaptive execution can split.
     groups = materialize(digest.groupBy("recipe").agg(F.count("*").alias("group_size"), F.min(rank).alias("first")), "recipe-groups")

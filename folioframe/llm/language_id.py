@@ -13,16 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, lean
+from .common import column, fresh, lean, materialize
 
 DIM, SEED = 1024, 8
 #: Training texts: so many for each language at most (in expectation; chosen by a hash of doc_id).
 TRAIN_DOCS = 2000
-#: A model keeps one vector for each language; more values of lang than this are an error.
-MAX_LANGS = 2000
 #: Characters and documents that one numpy block takes. A longer text is counted in pieces.
 BLOCK_CHARS, BLOCK_DOCS = 1 << 19, 256
 
@@ -134,19 +133,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Prototypes (unit vectors) by language, learned from rows that have text, lang and are not held out.
 
     Of each language some train_docs texts are used, chosen by a hash of doc_id and text length, so the model's
-    cost doesn't grow with the corpus; the languages and their row counts are taken over all rows.
+    cost doesn't grow with the corpus; the languages and their row counts are taken over all rows. The model has one
+    vector for each language, which is all that reaches the driver.
     """
-    rows = docs.select(column(id_col).cast("string").alias("id"), column(text_col).alias("text"), column(lang_col).cast("string").alias("lang"))
+    rows = docs.select(column(id_col).cast("string").alias("id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} values of {lang_col}")
-    if not counts:
+    counts = materialize(rows.groupBy("lang").count(), "languages")  # a written table's size is known, so the join moves no texts
+    langs, chosen = counts.agg(F.count("*"), F.sum(F.least("count", F.lit(train_docs)))).first()
+    if not langs:
         return {}
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, train_docs / n)))])
     draw = F.shiftrightunsigned(F.xxhash64("id", F.length("text")), 11).cast("double") / float(1 << 53)
-    sample = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
-    tasks = max(1, min(16, sum(min(n, train_docs) for n in counts.values()) // 250))
+    sample = rows.join(counts, "lang").where(draw < F.lit(float(train_docs)) / F.col("count")).select("lang", "text")
+    tasks = max(1, min(16 * (1 + langs // 100), chosen // 250))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, sums = profiles(dim, seed), {}
@@ -159,9 +157,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         keys = sorted(sums)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(keys, pa.string()), "v": pa.array([sums[k].tobytes() for k in keys], pa.binary())})
 
-    total: dict[str, np.ndarray] = {}
-    for r in sample.repartition(tasks).mapInArrow(lean(bundle), "lang string, v binary").collect():  # 16 rows a language at most
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["v"])
+    def add(table: pa.Table) -> pa.Table:
+        vectors = sum(np.frombuffer(v.as_buffer()) for v in sorted(table["v"], key=lambda v: v.as_py()))
+        return pa.table({"lang": table["lang"].slice(0, 1), "v": pa.array([vectors.tobytes()], pa.binary())})
+
+    parts = sample.repartition(tasks).mapInArrow(lean(bundle), "lang string, v binary")
+    total = {r["lang"]: np.frombuffer(r["v"]) for r in parts.groupBy("lang").applyInArrow(lambda t: add(t), parts.schema).collect()}
     return {k: unit(total[k]) for k in sorted(total) if total[k].any()}
 
 
@@ -170,19 +171,19 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
 
     score is the cosine with the chosen prototype, cut to 0..1. A null text, one without a letter, or an empty
     model gives ``und`` and score 0; equal cosines give the first language in code point order. Repeated rows
-    give repeated results.
+    give repeated results, an empty table gives none; columns that aren't named are not read, whatever their names.
     """
-    names = list(model)
+    names, own = list(model), fresh(docs, "text")
     matrix = np.stack([model[k] for k in names]).astype(np.float32).T if names else np.zeros((dim, 0), np.float32)
-    rows = docs.select(column(id_col).alias("doc_id"), *[column(c) for c in keep], column(text_col).cast("string").alias("__text"))
-    schema = rows.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    rows = docs.select(column(id_col).alias("doc_id"), *[column(c) for c in keep], column(text_col).cast("string").alias(own))
+    schema = rows.drop(own).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiles(dim, seed)
         for whole in batches:
             for s in range(0, whole.num_rows, 1024):
                 b = whole.slice(s, 1024)
-                vectors, has = p.encode(b.column("__text").to_pylist())
+                vectors, has = p.encode(b.column(own).to_pylist())
                 if names:
                     cosines = unit(vectors) @ matrix
                     best = cosines.argmax(axis=1)
@@ -190,17 +191,22 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_i
                     pred = [names[k] if h else "und" for k, h in zip(best, has, strict=True)]
                 else:
                     score, pred = np.zeros(b.num_rows), ["und"] * b.num_rows
-                kept = [b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "__text"]
+                kept = [b.column(i) for i in range(b.num_columns) if b.schema.names[i] != own]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(score.astype(np.float64))], names=schema.names)
 
     return rows.mapInArrow(lean(predict), schema)
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language can be told, with all their columns: rejected are null texts, texts without a
-    letter and texts whose vector points away from every prototype (score 0)."""
+    """The rows of docs whose language can be told, with all their columns and the predicted language where lang_col is null.
+
+    Rejected are null texts, texts without a letter and texts whose vector points away from every prototype (score 0).
+    Repeated rows stay repeated; an empty table gives an empty one; other columns pass whatever they are.
+    """
     model = fit(docs, id_col, text_col, lang_col)
+    names = np.array(list(model), object)
     matrix = np.stack(list(model.values())).astype(np.float32).T if model else np.zeros((DIM, 0), np.float32)
+    kind = docs.schema[lang_col].dataType.simpleString()
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = profiles(DIM, SEED)
@@ -208,7 +214,11 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for s in range(0, whole.num_rows, 1024):
                 b = whole.slice(s, 1024)
                 vectors, has = p.encode(b.column(text_col).to_pylist())
-                yield b.filter(pa.array(has & ((vectors @ matrix).max(axis=1, initial=0) > 0)))
+                if not len(names):
+                    continue
+                products = vectors @ matrix
+                lang = pc.coalesce(b.column(lang_col), pa.array(names[products.argmax(axis=1)], pa.string()).cast(b.schema.field(lang_col).type)) if kind == "string" else b.column(lang_col)
+                yield b.set_column(b.schema.get_field_index(lang_col), b.schema.field(lang_col), lang).filter(pa.array(has & (products.max(axis=1) > 0)))
 
     return docs.mapInArrow(lean(keep), docs.schema)
 

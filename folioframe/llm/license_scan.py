@@ -11,7 +11,6 @@ the index words, has as many rows as the index has words.
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,14 +161,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def brute_force(text: str | None, base=BASE) -> dict:
-    """The base columns of one text, in plain Python, for tests."""
-    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(str.maketrans(UPPER, LOWER)))
-    places = [(i, label) for p, label in base for k in [p.split()] for i in range(len(words)) if words[i : i + len(k)] == k]
-    starts = [i for i, _ in places]
-    return {"n_words": len(words), "n_base": len(places), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted({x for _, x in places}))}
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return license_scan(docs).drop("places")

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_substring_dedup": substring_dedup.query,
     "op10_exact_dedup": exact_dedup.query,
 }
-ORACLES = {"op5_host_rules": host_rules.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op5_host_rules": host_rules.ORACLE, "op9_substring_dedup": substring_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}

@@ -6,6 +6,12 @@ each place of the others the match is extended both ways, to the windows that ha
 found once among them is no repeat, any other one is. Hash equality of a window is of 96 bits. Windows are
 counted with a combine on the map side, so a passage in a third of all documents is a few rows for each task,
 and no pairs are formed. Neighbouring repeated windows merge to maximal repeats, whose words are removed.
+
+That this finds what extending each pair of matches word by word finds: an extension from a shared anchor reaches every
+window of words in which both places agree, one step of a word at a time; such a window has its least gram at the same offset
+in both places, so it is among those tried around some shared anchor, and equal ones meet in one group, whichever
+the pair. A window tried that is alone in its group differs from every other place within its 35 words, where each pair's
+extension stops short of it. What remains is the union of all pairs' extensions over the length threshold.
 """
 
 from __future__ import annotations
@@ -203,23 +209,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.mapInArrow(lean(remove), f"doc_id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
-def brute_force(texts: list[str | None], window: int = WINDOW) -> list[tuple[int, int, str]]:
-    """(n_words, n_removed, kept_sha256) of each text, for tests."""
-    words = [(t or "").encode().split() for t in texts]
-    seen: dict[tuple, int] = {}
-    for ws in words:
-        for i in range(len(ws) - window + 1):
-            seen[tuple(ws[i : i + window])] = seen.get(tuple(ws[i : i + window]), 0) + 1
-    out = []
-    for ws in words:
-        gone = set()
-        for i in range(len(ws) - window + 1):
-            if seen[tuple(ws[i : i + window])] > 1:
-                gone |= set(range(i, i + window))
-        out.append((len(ws), len(gone), hashlib.sha256(b" ".join(w for i, w in enumerate(ws) if i not in gone)).hexdigest()))
-    return out
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d))),
+w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+c AS (SELECT w.*, coalesce(max(CASE WHEN n > 1 THEN i END) OVER (PARTITION BY w.r ORDER BY p), -99) >= p - 34 AS gone FROM w LEFT JOIN s ON s.r = w.r AND s.i = p),
+k AS (SELECT r, count_if(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""

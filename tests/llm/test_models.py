@@ -1,5 +1,6 @@
 """Operators 1, 3, 4, 7, 8 and 9 against plain Python, and on odd input."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -334,6 +335,63 @@ def test_language_id(docs, odd, none, spark):
     assert language_id.identified(odd).columns == odd.columns
 
 
+def plain_language(rows, dim=language_id.DIM):
+    """doc_id -> (language, score) by plain Python: trigrams one by one, cosines one by one."""
+    p, vectors = language_id.Profiles(dim), {}
+
+    def vector(text):
+        out, letters = np.zeros(dim), [0]
+        for ch in text or "":
+            low = ch.lower() if len(ch.lower()) == 1 else ch
+            if ch.isalpha():
+                letters.append(ord(low))
+            elif letters[-1]:
+                letters.append(0)
+        letters = letters if letters[-1] == 0 else [*letters, 0]
+        for gram, n in Counter(zip(letters, letters[1:], letters[2:], strict=False)).items():
+            for c in gram:
+                if c not in vectors:
+                    vectors[c] = p.letter_vectors(np.array([c], np.uint64))[0].astype(float)
+            out += n * np.roll(vectors[gram[0]], 2) * np.roll(vectors[gram[1]], 1) * vectors[gram[2]]
+        return out / (np.linalg.norm(out) or 1)
+
+    every = [(r.doc_id, r.lang, r.text, vector(r.text)) for r in rows]
+    prototypes: dict = {}
+    for i, lang, text, v in every:
+        if lang is not None and text is not None and zlib.crc32(("" if i is None else str(i)).encode()) % 5:
+            prototypes[lang] = prototypes.get(lang, 0) + v
+    names = sorted(k for k, v in prototypes.items() if v.any())
+    out = []
+    for i, _, text, v in every:
+        cosines = [float(v @ prototypes[k] / np.linalg.norm(prototypes[k])) for k in names]
+        known = any(c.isalpha() for c in text or "")
+        out.append((i, names[int(np.argmax(cosines))] if known else "und", max(0.0, max(cosines)) if known else 0.0))
+    return out
+
+
+def test_language_id_against_plain_python(docs, odd):
+    for df in (docs, odd):
+        rows = df.select("doc_id", "lang", "text").collect()
+        got = sorted(language_id.identify(df, language_id.fit(df)).collect(), key=str)
+        want = plain_language(rows)
+        assert Counter((r.doc_id, r.lang_pred) for r in got) == Counter((i, k) for i, k, _ in want)
+        assert np.allclose(sorted(r.score for r in got), sorted(s for *_, s in want), atol=1e-4)
+
+
+def test_many_languages_are_no_error(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(3)), f"l{i % 2500}") for i in range(6000)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), dim=64)
+    assert 2400 < len(model) <= 2500
+
+
+def test_null_languages_are_filled(odd):
+    want = {r.doc_id: r.lang_pred for r in language_id.identify(odd, language_id.fit(odd)).collect()}
+    nulls = {r.doc_id for r in odd.where("lang is null").collect()}
+    for r in language_id.identified(odd).collect():
+        assert r.lang is not None and (r.doc_id not in nulls or r.lang == want[r.doc_id])
+
+
 def test_bundles_are_sums_of_bound_trigrams():
     p = language_id.Profiles(128, 3)
     text = "Ab, cab! ab"
@@ -354,12 +412,30 @@ def test_bundles_are_sums_of_bound_trigrams():
 # ---- 9
 
 
+def brute_windows(texts, window=substring_dedup.WINDOW):
+    """(n_words, n_removed, kept_sha256) of each text."""
+    words = [(t or "").encode().split() for t in texts]
+    seen: dict[tuple, int] = {}
+    for ws in words:
+        for i in range(len(ws) - window + 1):
+            seen[tuple(ws[i : i + window])] = seen.get(tuple(ws[i : i + window]), 0) + 1
+    out = []
+    for ws in words:
+        gone = set()
+        for i in range(len(ws) - window + 1):
+            if seen[tuple(ws[i : i + window])] > 1:
+                gone |= set(range(i, i + window))
+        out.append((len(ws), len(gone), hashlib.sha256(b" ".join(w for i, w in enumerate(ws) if i not in gone)).hexdigest()))
+    return out
+
+
+
 def test_substring_dedup(spark, docs, odd, none):
     rng = random.Random(3)
     loops = [(i, " ".join(rng.choice("ab") if i % 2 else "a" for _ in range(rng.randint(0, 200)))) for i in range(60)] + [(900 + k, "z " * k) for k in (34, 35, 36)]
     for df in (docs.select("doc_id", "text"), odd, spark.createDataFrame(loops, "doc_id long, text string")):
         rows = df.select("doc_id", "text").collect()
-        want = Counter((r.doc_id, *w) for r, w in zip(rows, substring_dedup.brute_force([r.text for r in rows]), strict=True))
+        want = Counter((r.doc_id, *w) for r, w in zip(rows, brute_windows([r.text for r in rows]), strict=True))
         got = substring_dedup.substring_dedup(df).collect()
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
         assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)

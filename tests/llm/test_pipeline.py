@@ -39,6 +39,28 @@ def test_stages(spark, odd):
     check_packing(four)
 
 
+def test_stages_on_an_empty_table(spark, none):
+    docs = none
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(apply(spark, docs, ""), name)
+        assert docs.columns == none.columns and docs.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_run(spark):
+    """Whole: run gives what the stages give one after the other."""
+    d = "/root/testdata/sf0.001"
+    got = corpus_pipeline.run(spark, d).collect()
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(apply(spark, docs, d), name)
+    want = Counter(r.doc_id for r in docs.collect())
+    whole = Counter()
+    for r in got:
+        whole[r.doc_id, r.doc_tokens] += r.length
+    assert {i for i, _ in whole} == set(want) and all(n == want[i] * size for (i, size), n in whole.items())
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
