@@ -116,11 +116,11 @@ def twips_to_pixels(value: Column) -> Column:
 
 
 def css_length_to_pixels(value: Column) -> Column:
-    """The first number with a unit px, pt, in, cm or mm, at 96 dots an inch, rounded."""
-    number = F.regexp_extract(value, r"(-?[0-9]+(?:\.[0-9]+)?)\s*(px|pt|in|cm|mm)", 1).try_cast("double")
-    unit = F.regexp_extract(value, r"(-?[0-9]+(?:\.[0-9]+)?)\s*(px|pt|in|cm|mm)", 2)
-    factor = F.when(unit == "px", 1.0).when(unit == "pt", 96 / 72).when(unit == "in", 96.0).when(unit == "cm", 96 / 2.54).when(unit == "mm", 96 / 25.4)
-    return F.floor(number * factor + 0.5)
+    """The first number with a unit px, pt, in, cm or mm (a word of its own, in any case), at 96 dots an inch, rounded."""
+    pattern = r"(?i)(-?[0-9]+(?:\.[0-9]+)?)\s*(px|pt|in|cm|mm)\b"
+    number, unit = F.regexp_extract(value, pattern, 1).try_cast("double"), F.lower(F.regexp_extract(value, pattern, 2))
+    exact = F.when(unit == "px", number).when(unit == "pt", number * 96 / 72).when(unit == "in", number * 96).when(unit == "cm", number * 96 / 2.54).when(unit == "mm", number * 96 / 25.4)
+    return F.signum(exact) * F.floor(F.abs(exact) + 0.5)
 
 
 def rels_part(part: Column) -> Column:
@@ -200,11 +200,12 @@ def hsl_to_hex(value: Column) -> Column:
 
 
 def theme_font(token: Column, fonts: Column) -> Column:
-    """The typeface of a theme token like majorHAnsi or minorEastAsia from a map (major.latin, minor.ea, ...); without an own
-    typeface a script has the latin one."""
-    family = F.when(token.rlike("^major"), "major").when(token.rlike("^minor"), "minor")
-    script = F.when(token.rlike("EastAsia$"), "ea").when(token.rlike("(Bidi|Cs)$"), "cs").otherwise("latin")
-    return F.coalesce(blank_to_null(F.element_at(fonts, F.concat(family, F.lit("."), script))), F.element_at(fonts, F.concat(family, F.lit(".latin"))))
+    """The typeface of a theme token like majorHAnsi or minorEastAsia, in any case, from a map (major.latin, minor.ea, ...);
+    without an own typeface a script has the latin one."""
+    low = F.lower(token)
+    family = F.when(F.startswith(low, F.lit("major")), "major").when(F.startswith(low, F.lit("minor")), "minor")
+    script = F.when(F.contains(low, F.lit("eastasia")), "ea").when(low.rlike("bidi|cs"), "cs").otherwise("latin")
+    return F.coalesce(blank_to_null(F.try_element_at(fonts, F.concat(family, F.lit("."), script))), F.try_element_at(fonts, F.concat(family, F.lit(".latin"))))
 
 
 def theme_color(rgb: Column, scheme: Column, colors: Column) -> Column:

@@ -1,103 +1,19 @@
-"""Content signatures: a 32-bit FNV-1a hash over a typed walk of nested values, in base 36.
-
-Tells content apart, not identity: equal values give equal signatures in any process. Long strings count by their length and
-three samples, bytes by their length alone.
-"""
+"""Content signatures: change keys of values, equal for equal values in any process and on any machine."""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BASIS, PRIME = 0x811C9DC5, 0x01000193
-SAMPLE, LONG = 64, 256
-DIGITS = "0123456789abcdefghijklmnopqrstuvwxyz"
-#: Metadata that shows on a page, in the order in which it is hashed.
+#: Metadata that shows on a page (fixed values).
 VISIBLE = ("sections", "headerSections", "footerSections", "numberingDefinitions", "footnotes", "endnotes", "documentBackgroundColor", "compatibility")
-ABSENT = object()
-
-
-def fold(h: int, units: bytes) -> int:
-    """units: UTF-16 code units, little endian."""
-    for i in range(0, len(units), 2):
-        h = ((h ^ (units[i] | units[i + 1] << 8)) * PRIME) & 0xFFFFFFFF
-    return h
-
-
-def fold_text(h: int, text: str) -> int:
-    return fold(h, text.encode("utf-16-le", "surrogatepass"))
-
-
-def number_text(x: float) -> str:
-    """A number as scripts print it: whole ones without a point."""
-    if isinstance(x, int):
-        return str(x)
-    if x != x or x in (float("inf"), float("-inf")):
-        return "NaN" if x != x else "Infinity" if x > 0 else "-Infinity"
-    return str(int(x)) if x == int(x) and abs(x) < 1e21 else repr(x)
-
-
-def walk(h: int, value) -> int:
-    if value is ABSENT:
-        return fold_text(h, "~u")
-    if value is None:
-        return fold_text(h, "~n")
-    if isinstance(value, bool):
-        return fold_text(h, "~t" if value else "~f")
-    if isinstance(value, (int, float)):
-        return fold_text(h, "~#" + number_text(value))
-    if isinstance(value, (bytes, bytearray)):
-        return fold_text(h, f"~b{len(value)}")
-    if isinstance(value, str):
-        units = value.encode("utf-16-le", "surrogatepass")
-        n = len(units) // 2
-        h = fold_text(fold_text(h, "~s"), f"{n}:")
-        if n <= LONG:
-            return fold(h, units)
-        middle = n // 2
-        for a in (0, middle, n - SAMPLE):
-            h = fold(h, units[2 * a : 2 * (a + SAMPLE)])
-        return h
-    if isinstance(value, dict):
-        h = fold_text(h, "~o")
-        for k, v in value.items():
-            h = h if v is ABSENT else walk(fold_text(h, k), v)
-        return h
-    h = fold_text(h, f"~a{len(value)}")
-    for v in value:
-        h = walk(h, v)
-    return h
-
-
-def base36(n: int) -> str:
-    out = ""
-    while True:
-        n, d = divmod(n, 36)
-        out = DIGITS[d] + out
-        if not n:
-            return out
-
-
-def content_signature(value) -> str:
-    return base36(walk(BASIS, value))
-
-
-def metadata_signature(metadata: dict) -> str:
-    h = BASIS
-    for key in VISIBLE:
-        h = walk(h, metadata.get(key, ABSENT))
-    return base36(h)
 
 
 def signature(value: Column) -> Column:
-    """The content signature of a column of any type, keys in the order of its schema and nulls left out; in JSON's terms,
-    so bytes count as their base64 text."""
+    """32 hexadecimal digits over all of a value's JSON text, keys in the order of its schema, null fields left out."""
+    return F.md5(F.to_json(value))
 
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: content_signature(json.loads(t)) if t is not None else None)
 
-    return apply(F.to_json(value))
+def metadata_signature(metadata: Column) -> Column:
+    """The signature of what shows on a page of a document's metadata (JSON text); other keys don't count."""
+    return F.md5(F.to_json(F.array(*[F.get_json_object(metadata, f"$.{k}") for k in VISIBLE])))

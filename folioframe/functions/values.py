@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from .markup import attribute, blank_to_null, css_length_to_pixels, extension, hex_color, opening_tag
 
 #: Colours and highlight names by the legacy colour index, 1 to 16 (fixed values).
-INDEX_COLORS = ("#000000", "#0000FF", "#00FFFF", "#00FF00", "#FF00FF", "#FF0000", "#FFFF00", "#FFFFFF", "#000080", "#008080", "#008000", "#800080", "#800000", "#808000", "#808080", "#C0C0C0")
+INDEX_COLORS = ("000000", "0000FF", "00FFFF", "00FF00", "FF00FF", "FF0000", "FFFF00", "FFFFFF", "000080", "008080", "008000", "800080", "800000", "808000", "808080", "C0C0C0")
 INDEX_HIGHLIGHTS = ("black", "blue", "cyan", "green", "magenta", "red", "yellow", "white", "darkBlue", "darkCyan", "darkGreen", "darkMagenta", "darkRed", "darkYellow", "darkGray", "lightGray")
 #: List formats by the legacy number format code (fixed values).
-NUMBER_FORMATS = {0: "decimal", 1: "upperRoman", 2: "lowerRoman", 3: "upperLetter", 4: "lowerLetter", 5: "ordinal", 6: "cardinalText", 7: "ordinalText", 22: "decimalZero", 23: "bullet", 255: "none"}
+NUMBER_FORMATS = {0: "decimal", 1: "upperRoman", 2: "lowerRoman", 3: "upperLetter", 4: "lowerLetter", 5: "ordinal", 6: "cardinalText", 7: "ordinalText", 22: "decimalZero", 23: "bullet", 47: "chosung"}
 #: Colours of the default drawing scheme (fixed values).
 SCHEME_COLORS = {
-    "dk1": "#000000", "lt1": "#FFFFFF", "dk2": "#44546A", "lt2": "#E7E6E6", "accent1": "#4472C4", "accent2": "#ED7D31", "accent3": "#A5A5A5", "accent4": "#FFC000", "accent5": "#5B9BD5", "accent6": "#70AD47", "hlink": "#0563C1", "folHlink": "#954F72",
+    "bg1": "#ffffff", "bg2": "#f3f4f6", "tx1": "#000000", "tx2": "#1f2937", "dk1": "#000000", "dk2": "#1f2937", "lt1": "#ffffff", "lt2": "#f3f4f6", "accent1": "#4472c4", "accent2": "#ed7d31", "accent3": "#70ad47", "accent4": "#5b9bd5",
+    "accent5": "#7030a0", "accent6": "#ffc000", "hlink": "#0563c1", "folhlink": "#954f72", "followedhyperlink": "#954f72",
 }
+#: Placements of anchored pictures (fixed values).
+HORIZONTAL, VERTICAL = ("left", "center", "right", "inside", "outside"), ("top", "center", "bottom", "inside", "outside")
 
 
 def alignment(value: Column) -> Column:
@@ -74,13 +77,13 @@ def number_format(code: Column) -> Column:
 
 
 def colorref(red: Column, green: Column, blue: Column, flag: Column) -> Column:
-    """#RRGGBB of a colour's bytes; null where the flag says automatic."""
+    """RRGGBB of a colour's bytes; null where the flag says automatic."""
     two = lambda c: F.lpad(F.hex(c.cast("int")), 2, "0")
-    return F.when(flag != 0xFF, F.concat(F.lit("#"), two(red), two(green), two(blue)))
+    return F.when(flag != 0xFF, F.concat(two(red), two(green), two(blue)))
 
 
 def scheme_color(name: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in SCHEME_COLORS.items() for x in kv]), name)
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in SCHEME_COLORS.items() for x in kv]), F.lower(F.trim(name)))
 
 
 def percent_of_thousandths(value: Column) -> Column:

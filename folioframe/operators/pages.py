@@ -40,10 +40,23 @@ def in_columns(segments: DataFrame, columns: Column) -> DataFrame:
     return segments.withColumn("column", F.col("page") % columns).withColumn("page", F.floor(F.col("page") / columns).cast("int"))
 
 
-def letterhead_side(left_twips: Column, right_twips: Column, text_length: Column, width_twips: Column, short: int = 60) -> Column:
-    """left or right for short paragraphs pushed to one side by an indent of half the width or more; null for body text."""
-    brief = text_length <= short
-    return F.when(brief & (F.coalesce(left_twips, F.lit(0)) * 2 >= width_twips), "right").when(brief & (F.coalesce(right_twips, F.lit(0)) * 2 >= width_twips), "left")
+def letterhead_sides(paragraphs: DataFrame, short: int = 60, indent_twips: int = 1440, near: int = 8) -> DataFrame:
+    """paragraphs: doc_id, node_index, text, left_twips, right_twips, framed (whether it has a frame). With side: left for short
+    or blank paragraphs that a right indent holds to the left, right for those that a left indent holds to the right,
+    where a framed paragraph is near; null for body text."""
+    around = Window.partitionBy("doc_id").orderBy("node_index").rowsBetween(-near, near)
+    left, right = F.coalesce("left_twips", F.lit(0)), F.coalesce("right_twips", F.lit(0))
+    column = (F.length("text") <= short) & F.max("framed").over(around)
+    return paragraphs.withColumn("side", F.when(column & (right >= indent_twips) & (right > left), "left").when(column & (left >= indent_twips), "right"))
+
+
+def letterhead_groups(sides: DataFrame) -> DataFrame:
+    """What letterhead_sides returns, with group: a number for each run of paragraphs with a side that has both sides; else null."""
+    w, runs = Window.partitionBy("doc_id").orderBy("node_index"), Window.partitionBy("doc_id", "__run")
+    cut = F.when(F.col("side").isNotNull() & F.lag("side").over(w).isNotNull(), 0).otherwise(1)
+    numbered = sides.withColumn("__cut", cut).withColumn("__run", F.sum("__cut").over(w))
+    both = F.max(F.col("side") == "left").over(runs) & F.max(F.col("side") == "right").over(runs)
+    return numbered.withColumn("group", F.when(both & F.col("side").isNotNull(), F.col("__run"))).drop("__cut", "__run")
 
 
 def retained_pages(before: DataFrame, after: DataFrame) -> DataFrame:

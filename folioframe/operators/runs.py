@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fonts
+
 
 def merge_adjacent(runs: DataFrame, by: list[str], order: str, same: list[str], text: str) -> DataFrame:
     """Neighbours alike in the columns of ``same`` (null equal to null) as one run: by, run (from 0), same, text, n."""
@@ -19,31 +21,12 @@ def merge_adjacent(runs: DataFrame, by: list[str], order: str, same: list[str],
     return islands.groupBy(*by, "run", *same).agg(F.array_join(parts, "").alias(text), F.count("*").alias("n"))
 
 
-#: Characters of a script, as the inside of a character class; all others are neutral (spaces, digits, punctuation).
-SCRIPTS = {"ascii": "A-Za-z", "eastAsia": r"\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}", "complexScript": r"\x{0590}-\x{08FF}\x{FB1D}-\x{FEFC}", "highAnsi": r"\x{00A1}-\x{024F}\x{0370}-\x{058F}"}
-
-
-def script_of(piece: Column) -> Column:
-    """The script of a piece's first character; null for a neutral one."""
-    out = F.lit(None).cast("string")
-    for name, chars in SCRIPTS.items():
-        out = F.when(piece.rlike(f"^[{chars}]"), name).otherwise(out)
-    return out
-
-
-def script_segments(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", fallback: str = "ascii") -> DataFrame:
-    """Maximal pieces of one script: doc_id, segment, script, start, text. Neutral characters take the script before them in
-    their text, else the one behind them, else the fallback. Texts are cut at changes of class, so rows are pieces, not characters."""
-    cut = "|".join([*(f"[{c}]+" for c in SCRIPTS.values()), f"[^{''.join(SCRIPTS.values())}]+"])
-    pieces = texts.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(f"(?s){cut}"), F.lit(0))).alias("place", "piece"))
-    w, back = Window.partitionBy("doc_id").orderBy("place"), Window.partitionBy("doc_id").orderBy(F.col("place").desc())
-    upto = Window.unboundedPreceding, 0
-    placed = pieces.withColumn("own", script_of(F.col("piece"))).withColumn("start", (F.sum(F.length("piece")).over(w.rowsBetween(*upto)) - F.length("piece")).cast("int"))
-    before, after = F.last("own", ignorenulls=True).over(w.rowsBetween(*upto)), F.last("own", ignorenulls=True).over(back.rowsBetween(*upto))
-    strong = placed.withColumn("script", F.coalesce(before, after, F.lit(fallback)))
-    islands = strong.withColumn("new", F.when(F.lag("script").over(w).eqNullSafe(F.col("script")), 0).otherwise(1)).withColumn("segment", F.sum("new").over(w) - 1)
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("place", "piece"))), lambda s: s["piece"])
-    return islands.groupBy("doc_id", "segment", "script").agg(F.min("start").alias("start"), F.array_join(parts, "").alias("text"))
+def script_segments(texts: DataFrame, style: fonts.Style, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Where the typeface of texts changes: doc_id, segment, script, family, start, end (UTF-16 units), text. Each text is cut
+    inside its row; nothing is shuffled."""
+    cut = texts.withColumn("__segments", fonts.segments(F.col(text_col), style))
+    found = cut.select(F.col(id_col).alias("doc_id"), F.posexplode("__segments").alias("segment", "s"))
+    return found.select("doc_id", "segment", "s.script", "s.family", "s.start", "s.end", "s.text")
 
 
 def split_at(runs: DataFrame, by: list[str], order: str, text: str, offset: Column) -> DataFrame:

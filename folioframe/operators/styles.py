@@ -22,32 +22,27 @@ def merge_structs(fields: list[str], direct: Column, inherited: Column) -> Colum
 
 
 def merge_tab_stops(inherited: Column, direct: Column) -> Column:
-    """Arrays of struct<pos, align> as one by position, direct over inherited, sorted by position."""
-    own = F.transform(F.coalesce(direct, F.array().cast("array<struct<pos:bigint,align:string>>")), lambda t: t["pos"])
-    rest = F.filter(F.coalesce(inherited, F.array().cast("array<struct<pos:bigint,align:string>>")), lambda t: ~F.array_contains(own, t["pos"]))
-    return F.array_sort(F.concat(rest, F.coalesce(direct, F.array().cast("array<struct<pos:bigint,align:string>>"))))
+    """Arrays of struct<pos, align> as one by position, direct over inherited, of each the last of a position, sorted by position."""
+    none = F.array().cast("array<struct<pos:bigint,align:string>>")
+    last = lambda stops: F.filter(stops, lambda t, i: ~F.exists(F.slice(stops, i + 2, F.size(stops)), lambda u: u["pos"] == t["pos"]))
+    own = last(F.coalesce(direct, none))
+    places = F.transform(own, lambda t: t["pos"])
+    return F.array_sort(F.concat(F.filter(last(F.coalesce(inherited, none)), lambda t: ~F.array_contains(places, t["pos"])), own))
 
 
 def ancestors(styles: DataFrame, by: list[str], style: str = "style_id", parent: str = "based_on", max_depth: int = 64) -> DataFrame:
     """by, style, ancestor, depth (0: the style itself) along basedOn. A parent that doesn't exist ends a chain, one met again
-    cuts it. Each round joins the open ends with the parents, so it takes as many rounds as the deepest chain has styles."""
-    from .scratch import written
-
-    links = styles.select(*by, F.col(style).alias("__child"), F.col(parent).alias("__parent"))
-    known = styles.select(*by, F.col(style).alias("ancestor"))
-    level = styles.select(*by, F.col(style).alias("style_id"), F.col(style).alias("ancestor"), F.array(F.col(style)).alias("__seen"), F.lit(0).alias("depth"))
-    out = [level]
-    for depth in range(1, max_depth + 1):
-        up = level.join(links.withColumnRenamed("__child", "ancestor"), [*by, "ancestor"]).where(F.col("__parent").isNotNull() & ~F.array_contains("__seen", F.col("__parent")))
-        up = up.select(*by, "style_id", F.col("__parent").alias("ancestor"), F.array_append("__seen", F.col("__parent")).alias("__seen"), F.lit(depth).alias("depth"))
-        level = written(up.join(known, [*by, "ancestor"], "left_semi"))
-        if level.isEmpty():
-            break
-        out.append(level)
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result.drop("__seen")
+    cuts it. A sheet's styles become one map, and each chain is climbed inside its row."""
+    sheet = styles.where(F.col(style).isNotNull()).groupBy(*by).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.col(style).alias("k"), F.coalesce(F.col(parent).cast(styles.schema[style].dataType), F.lit(None)).alias("v"))))).alias("__up"))
+    each = sheet.select(*by, "__up", F.explode(F.map_keys("__up")).alias("style_id"))
+
+    def climb(seen: Column, _: Column) -> Column:
+        up = F.try_element_at(F.col("__up"), F.element_at(seen, -1))
+        more = up.isNotNull() & ~F.array_contains(seen, up) & F.map_contains_key(F.col("__up"), up)
+        return F.when(F.coalesce(more, F.lit(False)), F.array_append(seen, up)).otherwise(seen)
+
+    chain = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(max_depth), F.size("__up"))), F.array("style_id"), climb)
+    return each.select(*by, "style_id", F.posexplode(chain).alias("depth", "ancestor"))
 
 
 def effective(styles: DataFrame, by: list[str], fields: list[str], style: str = "style_id", parent: str = "based_on") -> DataFrame:

@@ -55,15 +55,60 @@ def column_counts(cells: DataFrame, table: str = "table_id", row: str = "row", s
     return cells.groupBy(table, row).agg(F.sum(F.greatest(F.col(span), F.lit(1))).alias("n")).groupBy(table).agg(F.greatest(F.max("n"), F.lit(1)).cast("bigint").alias("columns"))
 
 
-def snapped_grid(cells: DataFrame, near_twips: int = 80) -> DataFrame:
-    """cells: table_id, row, cell, width_twips. Column boundaries of a table from its measured cells: the right ends of all cells,
-    those within near_twips of the one before merged; cells with boundary_from, boundary_to and span on that grid."""
-    w = Window.partitionBy("table_id", "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    placed = cells.withColumn("__to", F.sum("width_twips").over(w)).withColumn("__from", F.col("__to") - F.col("width_twips"))
-    ends = placed.select("table_id", F.col("__to").alias("x")).unionByName(placed.select("table_id", F.col("__from").alias("x"))).distinct()
-    order = Window.partitionBy("table_id").orderBy("x")
-    apart = ends.withColumn("new", F.when(F.col("x") - F.lag("x").over(order) <= near_twips, 0).otherwise(1)).withColumn("k", F.sum("new").over(order) - 1)
-    line = apart.select("table_id", "x", F.col("k").cast("int").alias("k"))
-    a = placed.join(line.select("table_id", F.col("x").alias("__from"), F.col("k").alias("boundary_from")), ["table_id", "__from"])
-    b = a.join(line.select("table_id", F.col("x").alias("__to"), F.col("k").alias("boundary_to")), ["table_id", "__to"])
-    return b.withColumn("span", F.greatest(F.col("boundary_to") - F.col("boundary_from"), F.lit(1))).drop("__from", "__to")
+#: Boundaries this close are one (fixed value).
+NEAR_TWIPS = 80
+
+
+def conflicting_grids(cells: DataFrame) -> DataFrame:
+    """cells: table_id, row, cell, span, width_twips, continued, grid (array of the declared column widths). table_id of tables whose
+    cells contradict their grid: the widest row addresses its columns, and either the grid is uniform and all cells have widths,
+    or in most rows with widths most cells are off by over a fifth."""
+    span = F.greatest(F.coalesce("span", F.lit(1)), F.lit(1))
+    upto = Window.partitionBy("table_id", "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("__span", span).withColumn("__at", F.coalesce(F.sum("__span").over(upto), F.lit(0)))
+    expected = F.aggregate(F.slice("grid", F.least(F.col("__at"), F.size("grid")).cast("int") + 1, F.col("__span").cast("int")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    measured = ~F.col("continued") & (F.col("width_twips") > 0) & (expected > 0)
+    rows = placed.groupBy("table_id", "row").agg(
+        F.first("grid").alias("grid"), F.sum("__span").alias("spans"), F.count_if(measured).alias("measured"), F.count_if(measured & (F.abs(F.col("width_twips") - expected) * 5 > expected)).alias("off"),
+        F.bool_and(F.col("continued") | F.coalesce(F.col("width_twips") > 0, F.lit(False))).alias("full"),
+    )
+    found = rows.groupBy("table_id").agg(F.first("grid").alias("grid"), F.max("spans").alias("spans"), F.bool_and("full").alias("full"), F.count_if(F.col("measured") > 0).alias("measured"), F.count_if((F.col("measured") > 0) & (F.col("off") * 2 > F.col("measured"))).alias("off"))
+    uniform = (F.size("grid") > 1) & F.forall("grid", lambda w: F.abs(w - F.element_at("grid", 1)) <= 1)
+    return found.where((F.size("grid") > 0) & (F.col("spans") == F.size("grid")) & (F.col("measured") > 0) & ((uniform & F.col("full")) | (F.col("off") * 2 > F.col("measured")))).select("table_id")
+
+
+def snapped_grid(cells: DataFrame) -> DataFrame:
+    """Cells as for conflicting_grids. Tables that contradict their grid get the union of their rows' boundaries as a new one, those
+    within NEAR_TWIPS of the one before merged, and each cell the span it has there; others keep theirs. table_id, row,
+    cell, span, grid. A continued cell is as wide as the one above that it continues; a cell without width has its declared columns'."""
+    bad = conflicting_grids(cells).withColumn("__bad", F.lit(True))
+    span = F.greatest(F.coalesce("span", F.lit(1)), F.lit(1)).cast("int")
+    marked = cells.withColumn("span", span).join(bad, "table_id", "left")
+    kept = marked.where("__bad IS NULL").select("table_id", "row", "cell", "span", F.col("grid").cast("array<bigint>").alias("grid"))
+    upto = Window.partitionBy("table_id", "row").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    wide = marked.where("__bad").withColumn("__at", F.coalesce(F.sum("span").over(upto), F.lit(0)))
+    declared = F.aggregate(F.slice("grid", F.least(F.col("__at"), F.size("grid")).cast("int") + 1, F.col("span")), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    sized = wide.withColumn("__w", F.when(F.col("width_twips") > 0, F.col("width_twips").cast("bigint")).otherwise(F.greatest(declared, F.lit(1))))
+    # One table is one row: its rows' cells in order, folded from the top, since what continues is as wide as what it continues.
+    rows = sized.groupBy("table_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.col("__w").alias("w"), "continued"))), lambda c: c).alias("cells"))
+    tables = rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rows"))
+    bucket = lambda x: F.floor((x + NEAR_TWIPS / 2) / NEAR_TWIPS)
+    entry, none = "map<bigint,bigint>", F.create_map().cast("map<bigint,bigint>")
+    empty = F.array().cast("array<struct<row:bigint,cell:bigint,a:bigint,b:bigint>>")
+
+    def cell(s, r, c):
+        b = bucket(s["at"])
+        w = F.when(c["continued"], F.coalesce(F.try_element_at(s["above"], b), c["w"])).otherwise(c["w"])
+        above = F.when(c["continued"], s["above"]).otherwise(F.map_concat(F.map_filter(s["above"], lambda k, _: k != b), F.create_map(b, w)))
+        out = F.array_append(s["out"], F.struct(r["row"].cast("bigint").alias("row"), c["cell"].cast("bigint").alias("cell"), s["at"].alias("a"), (s["at"] + w).alias("b")))
+        return F.struct(above.cast(entry).alias("above"), (s["at"] + w).alias("at"), out.alias("out"))
+
+    zero = F.struct(none.alias("above"), F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    fold = F.aggregate("rows", zero, lambda s, r: F.aggregate(r["cells"], F.struct(s["above"].alias("above"), F.lit(0).cast("bigint").alias("at"), s["out"].alias("out")), lambda t, c: cell(t, r, c)), lambda s: s["out"])
+    placed = tables.select("table_id", fold.alias("placed"))
+    ends = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), F.transform("placed", lambda p: p["b"]))))
+    merged = F.aggregate(ends, F.array().cast("array<bigint>"), lambda m, x: F.when((F.size(m) > 0) & (x - F.try_element_at(m, F.lit(-1)) <= NEAR_TWIPS), m).otherwise(F.array_append(m, x)))
+    lined = placed.withColumn("lines", merged)
+    near = lambda x: F.array_min(F.transform(F.col("lines"), lambda v, i: F.struct(F.abs(v - x).alias("d"), i.alias("i"))))["i"]
+    each = lined.select("table_id", "lines", F.explode("placed").alias("p")).select("table_id", "p.row", "p.cell", F.greatest(near(F.col("p.b")) - near(F.col("p.a")), F.lit(1)).cast("int").alias("span"), F.when(F.size("lines") > 1, F.transform(F.slice("lines", 2, F.size("lines")), lambda v, i: v - F.element_at("lines", i + 1))).alias("grid"))
+    return kept.unionByName(each.select(F.col("table_id"), F.col("row").cast(kept.schema["row"].dataType).alias("row"), F.col("cell").cast(kept.schema["cell"].dataType).alias("cell"), "span", "grid"))

@@ -105,23 +105,143 @@ def manifest_issues(cases: DataFrame) -> DataFrame:
     return issues(cases, "case_id", rules).unionByName(issues(twice, "case_id", {"duplicate-case": F.col("n") > 1}))
 
 
-#: Actions that an edit scenario may take (fixed values).
-ACTIONS = ("select", "insertText", "deleteText", "replaceText", "setStyle", "insertRow", "removeRow", "undo", "redo")
-
-
-def edit_action_issues(actions: DataFrame, limit: int = 200) -> DataFrame:
-    """actions: scenario_id, seq, type, text, start, end. Actions that are not allowed, texts and ranges that are missing or wrong,
-    numbers with gaps, scenarios that are too long."""
-    kind = F.col("type")
-    rules = {
-        "type": ~F.coalesce(kind.isin(*ACTIONS), F.lit(False)), "text": kind.isin("insertText", "replaceText") & F.col("text").isNull(), "range": kind.isin("select", "deleteText", "replaceText") & ~F.coalesce((F.col("start") >= 0) & (F.col("end") >= F.col("start")), F.lit(False)),
-    }
-    keyed = actions.withColumn("key", F.concat_ws("/", "scenario_id", F.col("seq").cast("string")))
+#: Actions that an edit scenario may take, with their fields (fixed values).
+ACTIONS = {
+    "select-paragraph": ("nodeIndex",),
+    "select-table-cell": ("tableIndex", "rowIndex", "cellIndex"),
+    "set-text-range": ("range",),
+    "commit-paragraph-text": ("nodeIndex", "text"),
+    "commit-table-cell-text": ("tableIndex", "rowIndex", "cellIndex", "text"),
+    "toggle-bold": (),
+    "toggle-italic": (),
+    "toggle-underline": (),
+    "toggle-strike": (),
+    "set-text-color": ("color",),
+    "set-highlight": ("color",),
+    "set-font-family": ("fontFamily",),
+    "set-font-size": ("fontSizePt",),
+    "set-alignment": ("alignment",),
+    "toggle-list": ("listType",),
+    "set-line-spacing": ("lineMultiple",),
+    "insert-table-row": ("tableIndex", "rowIndex", "direction"),
+    "insert-table-column": ("tableIndex", "cellIndex", "direction", "rowIndex"),
+    "delete-table-row": ("tableIndex", "rowIndex"),
+    "delete-table-column": ("tableIndex", "cellIndex", "rowIndex"),
+    "undo": (),
+    "redo": (),
+    "accept-tracked-change": ("index",),
+    "reject-tracked-change": ("index",),
+    "create-comment": ("text", "options"),
+    "set-comment-resolved": ("commentId", "resolved"),
+}
+#: Bounds of indexes, of text offsets and texts, of a scenario's actions, and of numbers (fixed values).
+MAX_INDEX, MAX_OFFSET, MAX_TEXT, MAX_ACTIONS = 1_000_000, 10_000_000, 1_000_000, 10_000
+NUMBERS = {"fontSizePt": (1.0, 400.0), "lineMultiple": (0.1, 10.0)}
+#: Values of fields that have a few only; null is one of alignment's (fixed values).
+CHOICES = {"alignment": ("null", '"left"', '"center"', '"right"', '"justify"'), "listType": ('"unordered"', '"ordered"')}
+DIRECTIONS = {"insert-table-row": ("above", "below"), "insert-table-column": ("left", "right")}
+INDEXES = ("nodeIndex", "tableIndex", "rowIndex", "cellIndex", "index", "commentId")
+LOCATIONS = {"paragraph": ("nodeIndex",), "table-cell": ("tableIndex", "rowIndex", "cellIndex", "paragraphIndex")}
+
+
+def bad_index(value: Column, most: int = MAX_INDEX) -> Column:
+    return ~F.coalesce(value.rlike("^[0-9]{1,18}$") & (value.try_cast("bigint") <= most), F.lit(False))
+
+
+def location_issue(json: Column) -> Column:
+    """Whether a place (a paragraph, or a paragraph of a table's cell, with an offset) is wrong."""
+    boundary = F.from_json(json, "map<string,string>")
+    place = F.from_json(F.try_element_at(boundary, F.lit("location")), "map<string,string>")
+    bad = ~F.coalesce(F.forall(F.map_keys(boundary), lambda k: k.isin("location", "offset")), F.lit(False)) | bad_index(F.try_element_at(boundary, F.lit("offset")), MAX_OFFSET)
+    kind, each = F.try_element_at(place, F.lit("kind")), F.lit(True)
+    for name, fields in LOCATIONS.items():
+        wrong = ~F.forall(F.map_keys(place), lambda k, f=fields: k.isin("kind", *f))
+        for f in fields:
+            wrong = wrong | bad_index(F.try_element_at(place, F.lit(f)))
+        each = F.when(kind == name, wrong).otherwise(each)
+    return bad | F.coalesce(each, F.lit(True))
+
+
+def range_issue(json: Column) -> Column:
+    """Whether a text range is wrong: null is right (no range); ends of one kind, the end not before the start."""
+    ends = F.from_json(json, "map<string,string>")
+    start, end = (F.try_element_at(ends, F.lit(k)) for k in ("start", "end"))
+    place = lambda e: [F.get_json_object(e, f"$.location.{f}").try_cast("bigint") for f in ("nodeIndex", "tableIndex", "rowIndex", "cellIndex", "paragraphIndex")] + [F.get_json_object(e, "$.offset").try_cast("bigint")]
+    tuple_ = lambda e: F.array(*[F.coalesce(x, F.lit(-1)) for x in place(e)])
+    apart = F.get_json_object(start, "$.location.kind") != F.get_json_object(end, "$.location.kind")
+    order = tuple_(start) > tuple_(end)
+    wrong = ~F.forall(F.map_keys(ends), lambda k: k.isin("start", "end")) | location_issue(start) | location_issue(end) | (~apart & order)
+    return F.when(F.trim(json) == "null", False).otherwise(F.coalesce(wrong, F.lit(True)))
+
+
+def edit_action_issues(actions: DataFrame, limit: int = MAX_ACTIONS) -> DataFrame:
+    """actions: scenario_id, seq, action (a JSON object with its type and fields; expect may stand in any). key, rule of actions
+    with an unknown type, fields that aren't theirs, and missing or wrong values; of numbers with gaps, and of scenarios that are too long."""
+    fields = F.from_json("action", "map<string,string>")
+    value = lambda name: F.try_element_at(F.col("__f"), F.lit(name))
+    keyed = actions.withColumn("__f", fields).withColumn("__t", F.get_json_object("action", "$.type")).withColumn("key", F.concat_ws("/", "scenario_id", F.col("seq").cast("string")))
+    kind = F.col("__t")
+    known = F.coalesce(kind.isin(*ACTIONS), F.lit(False))
+    own = F.create_map(*[x for t, f in ACTIONS.items() for x in (F.lit(t), F.array(*map(F.lit, ("type", "expect", *f))))])
+    has = lambda name: kind.isin(*[t for t, f in ACTIONS.items() if name in f])
+    rules = {"type": ~known, "fields": known & ~F.coalesce(F.forall(F.map_keys("__f"), lambda k: F.array_contains(F.try_element_at(own, kind), k)), F.lit(False))}
+    for name in INDEXES:
+        optional = kind.isin("insert-table-column", "delete-table-column") & value(name).isNull() if name == "rowIndex" else F.lit(False)
+        rules[name] = has(name) & ~optional & bad_index(value(name))
+    quoted = lambda name: F.coalesce(F.get_json_object("action", f"$.{name}"), F.lit(None).cast("string"))
+    text = quoted("text")
+    rules["text"] = has("text") & (text.isNull() | (F.length(text) > MAX_TEXT) | ((kind == "create-comment") & (F.trim(text) == "")))
+    rules["color"] = has("color") & ~F.coalesce((F.trim(value("color")) == "null") | quoted("color").rlike("^#[a-f0-9]{6}$"), F.lit(False))
+    font = quoted("fontFamily")
+    rules["fontFamily"] = has("fontFamily") & ~F.coalesce(F.length(font).between(1, 128) & (F.btrim(font) == font) & ~font.rlike(r"[\x00-\x1f\x7f]"), F.lit(False))
+    for name, (low, high) in NUMBERS.items():
+        rules[name] = has(name) & ~F.coalesce(value(name).try_cast("double").between(low, high), F.lit(False))
+    for name, some in CHOICES.items():
+        plain = F.when(quoted(name).isNull() & F.array_contains(F.map_keys("__f"), F.lit(name)), "null").otherwise(F.concat(F.lit('"'), quoted(name), F.lit('"')))
+        rules[name] = has(name) & ~F.coalesce(plain.isin(*some), F.lit(False))
+    for t, some in DIRECTIONS.items():
+        rules[f"direction-{some[0]}"] = (kind == t) & ~F.coalesce(quoted("direction").isin(*some), F.lit(False))
+    rules["resolved"] = has("resolved") & ~F.coalesce(value("resolved").isin("true", "false"), F.lit(False))
+    options = F.from_json(value("options"), "map<string,string>")
+    rules["options"] = has("options") & ~F.coalesce((F.array_sort(F.map_keys(options)) == F.array(*map(F.lit, ("author", "date", "initials")))) & F.forall(F.map_values(options), lambda v: F.length(v) > 0), F.lit(False))
+    rules["range"] = has("range") & (~F.array_contains(F.map_keys("__f"), F.lit("range")) | (value("range").isNotNull() & range_issue(value("range"))))
     placed = keyed.withColumn("n", F.row_number().over(Window.partitionBy("scenario_id").orderBy("seq")))
     sizes = actions.groupBy("scenario_id").agg(F.count("*").alias("n"))
     return issues(keyed, "key", rules).unionByName(issues(placed, "key", {"order": F.col("n") - 1 != F.col("seq")})).unionByName(issues(sizes, "scenario_id", {"length": F.col("n") > limit}))
 
 
+#: What an edit summary is compared by, and the expectations of a model's digest (fixed values).
+SUMMARY = (
+    "semanticModelVersion", "semanticModelDigest", "bodyNodeCount", "bodyParagraphNodeCount", "bodyTableNodeCount", "paragraphCount", "tableCount", "imageCount", "formFieldCount", "trackedChangeCount", "commentCount", "resolvedCommentCount", "sectionCount",
+    "headerSectionCount", "footerSectionCount", "hasTitlePageSection", "firstParagraph", "firstTableCell",
+)
+EXPECTED_CHANGE = {"changed": True, "changed-from-source": True, "unchanged": False, "same-as-source": False}
+
+
+def comparable_summary(summary: Column) -> Column:
+    """Of an edit summary (JSON text) the fields that are compared, as a map of JSON texts."""
+    return F.map_filter(F.from_json(summary, "map<string,string>"), lambda k, _: k.isin(*SUMMARY))
+
+
+def semantic_digest(value: Column) -> Column:
+    """32 hexadecimal digits of a value's JSON: equal values have equal ones."""
+    return F.md5(F.to_json(value))
+
+
+def expectation_issue(expectation: Column, before: Column, after: Column) -> Column:
+    """What is wrong between two model digests; null where it is as expected."""
+    good = before.rlike("^[a-f0-9]{32}$") & after.rlike("^[a-f0-9]{32}$")
+    wants = F.try_element_at(F.create_map(*[F.lit(x) for kv in EXPECTED_CHANGE.items() for x in kv]), expectation)
+    return F.when(~F.coalesce(good, F.lit(False)), "digest").when(wants.isNull(), "expectation").when(wants & (before == after), "unchanged").when(~wants & (before != after), "changed")
+
+
+def edit_results(scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """scenarios: scenario_id, path, sha256 of the document that an edit run wrote. (each with case_id and source struct<path, sha256>
+    under which it is compared, issues: paths that aren't portable, digests that are none)."""
+    registered = scenarios.withColumn("case_id", F.col("scenario_id")).withColumn("source", F.struct("path", "sha256"))
+    return registered, issues(scenarios, "scenario_id", {"path": ~F.coalesce(portable_path(F.col("path")), F.lit(False)), "sha256": ~F.coalesce(sha256_text(F.col("sha256")), F.lit(False))})
+
+
 def same_corpus(reference: DataFrame, viewer: DataFrame) -> DataFrame:
     """case_id, same: whether both manifests name the same corpus and source digest for a case (null equal to null)."""
     v = viewer.select("case_id", F.col("corpus_id").alias("__c"), F.col("source_sha256").alias("__s"), F.lit(True).alias("__v"))

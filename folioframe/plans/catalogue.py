@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import markup, numbers
+from ..functions import fonts, markup, numbers
 from ..operators import blocks, comments, compare, history, layout, quality, runs, sections, styles, tables
 
 QUERIES: dict = {}
@@ -348,9 +348,9 @@ def roman_sql(n: str) -> str:
     return " || ".join(parts)
 
 
-@query(f"SELECT p_partkey, CASE WHEN p_partkey = 0 THEN '0' ELSE {roman_sql('p_partkey')} END AS numeral FROM part WHERE p_partkey < 4000")
+@query(f"SELECT p_partkey, CASE WHEN p_partkey NOT BETWEEN 1 AND 3999 THEN CAST(p_partkey AS VARCHAR) ELSE {roman_sql('p_partkey')} END AS numeral FROM part")
 def roman_format(spark, d):
-    return table(spark, d, "part").where("p_partkey < 4000").select("p_partkey", numbers.roman(F.col("p_partkey")).alias("numeral"))
+    return table(spark, d, "part").select("p_partkey", numbers.roman(F.col("p_partkey")).alias("numeral"))
 
 
 # ---- styles
@@ -392,14 +392,14 @@ SELECT p_partkey, array_to_string(list_transform(list_sort(stops), lambda s: s.p
   SELECT p_partkey, list({'pos': pos, 'align': align}) AS stops FROM (
     SELECT p_partkey, pos, arg_max(align, pri) AS align FROM (
       SELECT p_partkey, unnest([p_size, p_size + 10, p_size + 20]) AS pos, 'left' AS align, 0 AS pri FROM part
-      UNION ALL SELECT p_partkey, unnest([20, 30, p_size + 10]) AS pos, unnest(['right', 'center', 'decimal']) AS align, unnest([1, 1, 2]) AS pri FROM part WHERE p_size NOT IN (10, 20))
-    GROUP BY p_partkey, pos) WHERE p_partkey IN (SELECT p_partkey FROM part WHERE p_size NOT IN (10, 20)) GROUP BY p_partkey)
+      UNION ALL SELECT p_partkey, unnest([20, 30, p_size + 10]) AS pos, unnest(['right', 'center', 'decimal']) AS align, unnest([1, 2, 3]) AS pri FROM part)
+    GROUP BY p_partkey, pos) GROUP BY p_partkey)
 """)
 def tab_stop_union(spark, d):
     stop = lambda p, a: F.struct(p.cast("bigint").alias("pos"), F.lit(a).alias("align"))
     s = F.col("p_size")
     merged = styles.merge_tab_stops(F.array(stop(s, "left"), stop(s + 10, "left"), stop(s + 20, "left")), F.array(stop(F.lit(20), "right"), stop(F.lit(30), "center"), stop(s + 10, "decimal")))
-    return table(spark, d, "part").where("p_size NOT IN (10, 20)").select("p_partkey", F.array_join(F.transform(merged, lambda t: F.concat(t["pos"].cast("string"), F.lit(":"), t["align"])), " ").alias("stops"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(merged, lambda t: F.concat(t["pos"].cast("string"), F.lit(":"), t["align"])), " ").alias("stops"))
 
 
 # ---- runs
@@ -414,16 +414,23 @@ def merge_adjacent(spark, d):
     return runs.merge_adjacent(table(spark, d, "events").select("user_id", "event_id", "event_type", "props"), ["user_id"], "event_id", ["event_type"], "props")
 
 
-@query(r"""
-WITH c AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS start, unnest(l) AS ch FROM (SELECT doc_id, string_split(text, '') AS l FROM documents)),
-o AS (SELECT *, CASE WHEN regexp_matches(ch, '^[A-Za-z]$') THEN 'ascii' WHEN regexp_matches(ch, '^[\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}]$') THEN 'eastAsia' WHEN regexp_matches(ch, '^[\x{0590}-\x{08FF}\x{FB1D}-\x{FEFC}]$') THEN 'complexScript' WHEN regexp_matches(ch, '^[\x{00A1}-\x{024F}\x{0370}-\x{058F}]$') THEN 'highAnsi' END AS own FROM c WHERE ch <> ''),
-s AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(own IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'ascii') AS script FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY start)),
-n AS (SELECT *, CASE WHEN lag(script) OVER (PARTITION BY doc_id ORDER BY start) IS NOT DISTINCT FROM script THEN 0 ELSE 1 END AS new FROM s),
-i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start ROWS UNBOUNDED PRECEDING) - 1 AS segment FROM n)
-SELECT doc_id, segment::BIGINT AS segment, script, min(start)::INTEGER AS start, string_agg(ch, '' ORDER BY start) AS text FROM i GROUP BY doc_id, segment, script
+EAST_SQL = "".join(rf"\p{{{x}}}" for x in fonts.EAST_ASIA) + r"\x{3000}-\x{303f}\x{ff00}-\x{ffef}"
+COMPLEX_SQL = "".join(rf"\p{{{x}}}" for x in fonts.COMPLEX)
+
+
+@query(rf"""
+WITH c AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS ch FROM (SELECT doc_id, string_split(text, '') AS l FROM documents)),
+o AS (SELECT *, CASE WHEN unicode(ch) > 65535 THEN 2 ELSE 1 END AS n, CASE WHEN unicode(ch) <= 127 THEN 'ascii' WHEN regexp_matches(ch, '^[{EAST_SQL}]') THEN 'eastAsia' WHEN regexp_matches(ch, '^[{COMPLEX_SQL}]') THEN 'complexScript' WHEN NOT regexp_matches(ch, '^[\p{{M}}\p{{Z}}\p{{P}}\x{{200c}}\x{{200d}}\x{{fe00}}-\x{{fe0f}}]') THEN 'highAnsi' END AS own FROM c WHERE ch <> ''),
+s AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), first_value(own IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'highAnsi') AS script, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+f AS (SELECT *, CASE script WHEN 'ascii' THEN 'Serif' WHEN 'eastAsia' THEN 'Song' WHEN 'complexScript' THEN 'Naskh' ELSE CASE WHEN doc_id % 2 = 0 THEN ' "SERIF"' ELSE 'Sans' END END AS family FROM s),
+g AS (SELECT *, lower(trim(family, ' "')) AS key FROM f),
+n AS (SELECT *, CASE WHEN lag(key) OVER (PARTITION BY doc_id ORDER BY k) IS NOT DISTINCT FROM key THEN 0 ELSE 1 END AS new FROM g),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) - 1 AS segment FROM n)
+SELECT doc_id, segment::INTEGER AS segment, arg_min(script, k) AS script, trim(arg_min(family, k)) AS family, min(upto - n)::BIGINT AS "start", max(upto)::BIGINT AS "end", string_agg(ch, '' ORDER BY k) AS text FROM i GROUP BY doc_id, segment
 """)
 def script_segments(spark, d):
-    return runs.script_segments(table(spark, d, "documents").select("doc_id", "text"))
+    style = {"ascii": F.lit("Serif"), "high_ansi": F.when(F.col("doc_id") % 2 == 0, ' "SERIF"').otherwise("Sans"), "east_asia": F.lit("Song"), "complex": F.lit("Naskh")}
+    return runs.script_segments(table(spark, d, "documents").select("doc_id", "text"), style)
 
 
 @query("""
@@ -542,13 +549,13 @@ def matched_sources(spark, d):
 
 
 @query("""
-WITH e AS (SELECT DISTINCT doc_id AS k FROM documents WHERE doc_id % 3 > 0), f AS (SELECT k, count(*) AS n FROM (SELECT doc_id AS k FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY k)
+WITH e AS (SELECT DISTINCT doc_id AS k FROM documents WHERE n_chars >= 200), f AS (SELECT k, count(*) AS n FROM (SELECT doc_id AS k FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY k)
 SELECT k, CASE WHEN f.n IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unexpected' ELSE 'duplicate' END AS issue FROM e FULL JOIN f USING (k) WHERE f.n IS NULL OR e.k IS NULL OR f.n > 1
 """)
 def metric_index(spark, d):
     labels = table(spark, d, "labels")
     found = labels.select(F.col("doc_id").alias("k")).unionByName(labels.where("toxic = 1").select(F.col("doc_id").alias("k")))
-    return quality.exactly_once(table(spark, d, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("k")), found, ["k"])
+    return quality.exactly_once(table(spark, d, "documents").where("n_chars >= 200").select(F.col("doc_id").alias("k")), found, ["k"])
 
 
 @query(f"""
@@ -888,17 +895,22 @@ def new_relationships(spark, d):
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS table_id, l_linenumber AS row, unnest([1, 2]) AS cell, unnest([CAST(l_quantity AS BIGINT) * 40, CAST(l_suppkey AS BIGINT) % 7 * 60 + 500]) AS w FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)),
-p AS (SELECT *, sum(w) OVER (PARTITION BY table_id, row ORDER BY cell ROWS UNBOUNDED PRECEDING) AS b FROM c),
-e AS (SELECT DISTINCT table_id, unnest([b, b - w]) AS x FROM p),
-k AS (SELECT table_id, x, sum(n) OVER (PARTITION BY table_id ORDER BY x ROWS UNBOUNDED PRECEDING) - 1 AS k FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY table_id ORDER BY x) <= 80 THEN 0 ELSE 1 END AS n FROM e))
-SELECT p.table_id, row, cell, greatest(t.k - f.k, 1)::INTEGER AS span FROM p JOIN k f ON f.table_id = p.table_id AND f.x = p.b - p.w JOIN k t ON t.table_id = p.table_id AND t.x = p.b
+WITH r AS (SELECT l_orderkey AS table_id, l_linenumber AS row, min(CAST(l_quantity AS BIGINT)) * 40 AS a, min(CAST(l_suppkey AS BIGINT)) % 7 * 60 + 500 AS b, CASE WHEN l_orderkey % 2 = 0 THEN [700, 700] ELSE [400, 800] END AS grid FROM lineitem GROUP BY ALL),
+o AS (SELECT table_id, any_value(grid) AS grid, any_value(table_id % 2 = 0) OR count_if((abs(a - grid[1]) * 5 > grid[1])::INT + (abs(b - grid[2]) * 5 > grid[2])::INT > 1) * 2 > count(*) AS bad, list_sort(list_distinct([0] || flatten(list([a, a + b])))) AS ends FROM r GROUP BY table_id),
+m AS (SELECT *, list_reduce(list_transform(ends, lambda x: [x]), lambda p, x: CASE WHEN x[1] - p[-1] <= 80 THEN p ELSE list_append(p, x[1]) END) AS lines FROM o),
+e AS (SELECT r.*, m.bad, m.lines, list_transform(m.lines, lambda x: abs(x)) AS d0, list_transform(m.lines, lambda x: abs(x - r.a)) AS d1, list_transform(m.lines, lambda x: abs(x - r.a - r.b)) AS d2 FROM r JOIN m USING (table_id)),
+p AS (SELECT *, list_position(d0, list_min(d0)) AS p0, list_position(d1, list_min(d1)) AS p1, list_position(d2, list_min(d2)) AS p2 FROM e),
+u AS (SELECT table_id, row, bad, grid, lines, unnest([1, 2]) AS cell, unnest([greatest(p1 - p0, 1), greatest(p2 - p1, 1)]) AS span FROM p)
+SELECT table_id, row, cell::INTEGER AS cell, CASE WHEN bad THEN span ELSE 1 END::INTEGER AS span,
+  CASE WHEN bad THEN array_to_string(list_transform(lines[2:], lambda x, i: x - lines[i]), ',') ELSE array_to_string(grid, ',') END AS grid FROM u
 """)
 def snapped_grid(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"), F.min("l_suppkey").alias("s"))
-    widths = F.array(F.col("q").cast("bigint") * 40, F.col("s") % 7 * 60 + 500)
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_quantity").cast("bigint")).alias("q"), F.min(F.col("l_suppkey").cast("bigint")).alias("s"))
+    widths = F.array(F.col("q") * 40, F.col("s") % 7 * 60 + 500)
     cells = rows.select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row"), F.posexplode(widths).alias("cell", "width_twips")).withColumn("cell", F.col("cell") + 1)
-    return tables.snapped_grid(cells).select("table_id", "row", "cell", "span")
+    grid = F.when(F.col("table_id") % 2 == 0, F.array(F.lit(700), F.lit(700))).otherwise(F.array(F.lit(400), F.lit(800))).cast("array<bigint>")
+    declared = cells.withColumns({"grid": grid, "span": F.lit(1), "continued": F.lit(False)})
+    return tables.snapped_grid(declared).select("table_id", "row", "cell", "span", F.array_join(F.col("grid").cast("array<string>"), ",").alias("grid"))
 
 
 @query(None)
@@ -927,7 +939,7 @@ def reconcile_pages(spark, d):
     return reconcile.reconcile(rows, targets, 912)
 
 
-@query(None)
+@query("SELECT conv_id, turn, md5(CAST(to_json({'role': role, 'text': text}) AS VARCHAR)) AS signature FROM conversations")
 def content_signatures(spark, d):
     """The change key of each conversation turn."""
     from ..functions.signature import signature

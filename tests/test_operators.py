@@ -76,8 +76,23 @@ def test_pages(spark):
     assert [(r.node_index, r.offset) for r in pages.nearest_fragment(points, frames).orderBy("px").collect()] == [(0, 5), (0, 10)]
     chosen = spark.createDataFrame([("d", 0, 2, 5), ("d", 1, 9, 12)], "doc_id string, node_index int, from int, to int")
     assert [(r.x, r.width) for r in pages.overlap_rects(frames, chosen).collect()] == [(20.0, 30.0)]
-    side = spark.createDataFrame([(6000, 0, 10), (0, 6000, 10), (6000, 0, 400), (0, 0, 5)], "l int, r int, n int").select(pages.letterhead_side(F.col("l"), F.col("r"), F.col("n"), F.lit(9000)).alias("s"))
-    assert [r.s for r in side.collect()] == ["right", "left", None, None]
+
+
+def test_letterheads(spark):
+    from folioframe.operators import pages
+
+    def sides(rows):
+        df = spark.createDataFrame([("d", i, *r) for i, r in enumerate(rows)], "doc_id string, node_index int, text string, left_twips int, right_twips int, framed boolean")
+        found = pages.letterhead_groups(pages.letterhead_sides(df)).orderBy("node_index").collect()
+        return [r.side for r in found], [r.group is not None for r in found]
+
+    assert sides([("A NAME", None, 2340, False), ("Office", None, 2340, True)]) == (["left"] * 2, [False] * 2)
+    assert sides([("A NAME", None, 2340, False), ("Office", None, 2340, True), ("", None, 2340, False), ("ANOTHER NAME", None, 2250, False)])[0] == ["left"] * 4
+    assert sides([("A NAME", 1980, None, False), ("Office", 1980, None, True)])[0] == ["right"] * 2
+    rows = [("", None, 2790, False), ("A NAME", None, 2340, False), ("Office", None, 2340, True), *[("", None, 2340, True)] * 3, ("THIRD NAME", 1980, None, False), ("Office", 1980, None, True), ("A date", None, None, False)]
+    assert sides(rows) == (["left"] * 6 + ["right"] * 2 + [None], [True] * 8 + [False])
+    assert sides([("long text " * 12, 1980, None, True)])[0] == [None]
+    assert sides([("A NAME", None, 2340, False), ("B", None, 2340, False)])[0] == [None] * 2
 
 
 def test_pagination(spark):
@@ -216,12 +231,53 @@ def test_compare(spark):
     assert quality.issues(spark.range(2), "id", {"odd": F.col("id") == 1}).collect()[0].asDict() == {"key": "1", "rule": "odd"}
 
 
-@pytest.mark.parametrize("text", ["abc", "ab 12 漢字, x é", "...", "", "שלום abc"])
-def test_script_segments_cover_the_text(spark, text):
-    got = runs.script_segments(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("segment").collect()
-    assert "".join(r.text for r in got) == text
-    assert [r.start for r in got] == [sum(len(x.text) for x in got[:k]) for k in range(len(got))]
-    assert all(a.script != b.script for a, b in zip(got, got[1:], strict=False))
+def plain_script(ch):
+    import unicodedata
+
+    o, name = ord(ch), unicodedata.name(ch, "")
+    if o <= 0x7F:
+        return "ascii"
+    if 0x3000 <= o <= 0x303F or 0xFF00 <= o <= 0xFFEF or name.startswith(("CJK UNIFIED", "HIRAGANA", "KATAKANA LETTER", "HANGUL", "YI SYLLABLE")):
+        return "eastAsia"
+    if name.startswith(("ARABIC", "HEBREW", "THAI", "DEVANAGARI")):
+        return "complexScript"
+    return None if unicodedata.category(ch)[0] in "MZP" or o in (0x200C, 0x200D) else "highAnsi"
+
+
+FONTS = {"ascii": "Serif", "highAnsi": "'serif' ", "eastAsia": "Song", "complexScript": "Naskh"}
+
+
+@pytest.mark.parametrize("text", ["abc", "ab 12 \u6f22\u5b57, x \u00e9\u2014y", "...", "", "\u05e9\u05dc\u05d5\u05dd abc", "\u2014\u201c\u6f22 a", "\u2014\u2003", "\u0e01\u0e31 \U00020000\ua000b", "e\u0301\u200d\u06271", "\u6f22a" * 700])
+def test_script_segments(spark, text):
+    style = {"ascii": F.lit("Serif"), "high_ansi": F.lit("'serif' "), "east_asia": F.lit("Song"), "complex": F.lit("Naskh")}
+    got = runs.script_segments(spark.createDataFrame([(1, text)], "doc_id int, text string"), style).orderBy("segment").collect()
+    own = [plain_script(c) for c in text]
+    strong, want, at = next((s for s in own if s), "highAnsi"), [], 0
+    for ch, s in zip(text, own, strict=True):
+        strong = s or strong
+        key = FONTS[strong].strip(" '").lower()
+        size = len(ch.encode("utf-16-le")) // 2
+        if want and want[-1][0] == key:
+            want[-1] = (key, want[-1][1], want[-1][2], at + size, want[-1][4] + ch)
+        else:
+            want.append((key, strong, at, at + size, ch))
+        at += size
+    assert [(r.family.strip("'").lower(), r.script, r.start, r.end, r.text) for r in got] == want
+
+
+def test_script_fonts(spark):
+    from folioframe.functions import fonts
+
+    one = lambda c: spark.range(1).select(c.alias("c")).collect()[0].c
+    base = {"family": "Base", "source_family": "Base", "ascii": "A", "high_ansi": "H", "east_asia": "E", "complex": "C"}
+    style = lambda **x: {k: F.lit(v) for k, v in (base | x).items()}
+    assert [one(fonts.family(style(), s)) for s in fonts.SCRIPTS] == ["A", "H", "E", "C"]
+    assert [one(fonts.family(style(family="'New'"), s)) for s in fonts.SCRIPTS] == ["'New'"] * 4
+    assert one(fonts.family({"high_ansi": F.lit("H"), "family": F.lit("F")}, "eastAsia")) == "H"
+    assert one(fonts.family({"family": F.lit(" F ")}, "ascii")) == "F"
+    assert one(fonts.script_of(F.lit("a"), style(right_to_left=True))) == "complexScript" and one(fonts.script_of(F.lit("a"), style(right_to_left=True, complex_script=False))) == "ascii"
+    assert [one(fonts.neutral_script(style(**x))) for x in ({}, {"hint": "East-Asia"}, {"language_bidi": "AR-sa"}, {"language_east_asia": "ja"}, {"language_east_asia": "jab"})] == ["highAnsi", "eastAsia", "complexScript", "eastAsia", "highAnsi"]
+    assert one(fonts.text_family(F.lit("\u6f22"), style())) == "E" and one(fonts.text_family(F.lit(""), style())) == "Base"
 
 
 def test_rows(spark):
@@ -273,8 +329,9 @@ def test_values(spark):
     assert column(spark, ["<w:u/>", '<w:u w:val="none"/>', '<w:u w:color="FF0000"/>', '<w:u w:x="1"/>', "<w:b/>"], values.underline) == [True, False, None, True, None]
     assert column(spark, ["0x41", "2612", "0", "zz", "1F600"], values.code_point) == ["A", "☒", None, None, "😀"]
     assert column(spark, ["  x ", " ", None], values.field_display) == ["  x ", None, None]
-    assert column(spark, [1, 16, 0, 17], values.index_color, "int") == ["#000000", "#C0C0C0", None, None]
-    assert column(spark, [4, 22, 99], values.number_format, "int") == ["lowerLetter", "decimalZero", "decimal"]
+    assert column(spark, [1, 16, 0, 17], values.index_color, "int") == ["000000", "C0C0C0", None, None]
+    assert column(spark, [4, 22, 47, 99, 255], values.number_format, "int") == ["lowerLetter", "decimalZero", "chosung", "decimal", "decimal"]
+    assert column(spark, ["accent3", "ACCENT5", "bg2", "followedHyperlink", "x"], values.scheme_color) == ["#70ad47", "#7030a0", "#f3f4f6", "#954f72", None]
     assert column(spark, ["50000", "-1", "900000", "x"], values.percent_of_thousandths) == [0.5, None, 1.0, None]
     assert [(r.width_px, r.height_px) for r in column(spark, ["position:absolute;width:72pt; height:1in"], values.vml_size)] == [(96, 96)]
     assert column(spark, ['<a x="1" b="2"/>', "<a>"], lambda t: values.set_attribute(t, "b", F.lit('q"'))) == ['<a x="1" b="q&quot;"/>', '<a b="q&quot;">']
@@ -305,8 +362,27 @@ def test_manifests(spark):
     good = "a" * 64
     cases = spark.createDataFrame([(1, "c1", "a/b.docx", good, 612.0, 792.0), (2, "C 2", "/x", "q", 0.0, 1.0), (1, "c1", "a", good, 1.0, 1.0)], "schema_version int, case_id string, path string, sha256 string, width_points double, height_points double")
     assert sorted((r.key, r.rule) for r in validation.manifest_issues(cases).collect()) == [("C 2", "case-id"), ("C 2", "geometry"), ("C 2", "path"), ("C 2", "schema-version"), ("C 2", "sha256"), ("c1", "duplicate-case")]
-    acts = spark.createDataFrame([("s", 0, "select", None, 0, 2), ("s", 2, "insertText", None, None, None), ("s", 3, "fly", None, None, None)], "scenario_id string, seq int, type string, text string, start int, end int")
-    assert sorted((r.key, r.rule) for r in validation.edit_action_issues(acts).collect()) == [("s/2", "order"), ("s/2", "text"), ("s/3", "order"), ("s/3", "type")]
+    good = [
+        '{"type": "select-paragraph", "nodeIndex": 3}', '{"type": "select-table-cell", "tableIndex": 0, "rowIndex": 0, "cellIndex": 1}', '{"type": "set-text-range", "range": null}', '{"type": "toggle-bold", "expect": {}}', '{"type": "set-text-color", "color": "#00ff00"}',
+        '{"type": "set-text-range", "range": {"start": {"location": {"kind": "paragraph", "nodeIndex": 1}, "offset": 2}, "end": {"location": {"kind": "paragraph", "nodeIndex": 1}, "offset": 2}}}', '{"type": "set-font-size", "fontSizePt": 10.5}',
+        '{"type": "set-alignment", "alignment": null}', '{"type": "toggle-list", "listType": "ordered"}', '{"type": "insert-table-column", "tableIndex": 1, "cellIndex": 0, "direction": "left"}', '{"type": "commit-paragraph-text", "nodeIndex": 0, "text": ""}',
+        '{"type": "create-comment", "text": "t", "options": {"author": "a", "initials": "b", "date": "c"}}', '{"type": "set-comment-resolved", "commentId": 4, "resolved": false}', '{"type": "set-highlight", "color": null}', '{"type": "undo"}',
+    ]
+    bad = [
+        ('{"type": "fly"}', "type"), ("not json", "type"), ('{"type": "undo", "nodeIndex": 1}', "fields"), ('{"type": "select-paragraph", "nodeIndex": -1}', "nodeIndex"), ('{"type": "select-paragraph", "nodeIndex": 1000001}', "nodeIndex"),
+        ('{"type": "commit-paragraph-text", "nodeIndex": 1}', "text"), ('{"type": "create-comment", "text": " ", "options": {"author": "a", "initials": "b", "date": "c"}}', "text"), ('{"type": "create-comment", "text": "t", "options": {"author": "a"}}', "options"),
+        ('{"type": "set-text-color", "color": "#00FF00"}', "color"), ('{"type": "set-font-family", "fontFamily": " x"}', "fontFamily"), ('{"type": "set-font-size", "fontSizePt": 500}', "fontSizePt"), ('{"type": "set-alignment", "alignment": "up"}', "alignment"),
+        ('{"type": "insert-table-row", "tableIndex": 1, "rowIndex": 0, "direction": "left"}', "direction-above"), ('{"type": "set-comment-resolved", "commentId": 4, "resolved": 1}', "resolved"), ('{"type": "set-text-range"}', "range"),
+        ('{"type": "set-text-range", "range": {"start": {"location": {"kind": "paragraph", "nodeIndex": 1}, "offset": 3}, "end": {"location": {"kind": "paragraph", "nodeIndex": 1}, "offset": 2}}}', "range"),
+    ]
+    acts = spark.createDataFrame([("g", i, x) for i, x in enumerate(good)] + [("b", i, x) for i, (x, _) in enumerate(bad)] + [("o", 1, good[0])], "scenario_id string, seq int, action string")
+    assert sorted((r.key, r.rule) for r in validation.edit_action_issues(acts).collect()) == sorted([(f"b/{i}", rule) for i, (_, rule) in enumerate(bad)] + [("o/1", "order")])
+    assert [r.rule for r in validation.edit_action_issues(acts, 15).where("rule = 'length'").collect()] == ["length"]
+    expect = spark.createDataFrame([("changed", "a" * 32, "b" * 32), ("changed", "a" * 32, "a" * 32), ("same-as-source", "a" * 32, "b" * 32), ("x", "a" * 32, "b" * 32), ("changed", None, "b" * 32)], "e string, a string, b string")
+    assert [r.c for r in expect.select(validation.expectation_issue(F.col("e"), F.col("a"), F.col("b")).alias("c")).collect()] == [None, "unchanged", "changed", "expectation", "digest"]
+    assert column(spark, ['{"paragraphCount": 3, "other": 1}'], validation.comparable_summary) == [{"paragraphCount": "3"}]
+    done, wrong = validation.edit_results(spark.createDataFrame([("s1", "a/b.docx", "a" * 64), ("s2", "/a", "b")], "scenario_id string, path string, sha256 string"))
+    assert done.where("scenario_id = 's1'").collect()[0].source.path == "a/b.docx" and sorted((r.key, r.rule) for r in wrong.collect()) == [("s2", "path"), ("s2", "sha256")]
     scenarios = spark.createDataFrame([("e1", "c1"), ("c1", "zz")], "scenario_id string, case_id string")
     joined, bad = validation.bound_scenarios(scenarios, cases.limit(1))
     assert joined.count() == 1 and sorted((r.key, r.rule) for r in bad.collect()) == [("c1", "id-collision"), ("c1", "unknown-source")]
@@ -315,14 +391,11 @@ def test_manifests(spark):
 def test_signatures(spark):
     from folioframe.functions import signature as s
 
-    assert s.content_signature("") == s.base36(s.fold_text(s.BASIS, "~s0:")) and s.base36(35) == "z" and s.base36(36) == "10"
-    assert s.fold_text(s.BASIS, "a") == 0xE40C292C  # a published test value of the hash
-    assert s.content_signature({"a": 1.0, "b": [True, None]}) == s.content_signature({"a": 1, "b": [True, None]}) != s.content_signature({"b": [True, None], "a": 1})
-    long = "x" * 1000
-    assert s.content_signature(long) == s.content_signature(long[:200] + "y" + long[201:]) != s.content_signature("y" + long[1:])
-    assert s.metadata_signature({"sections": [1], "warnings": 5}) == s.metadata_signature({"sections": [1]}) != s.metadata_signature({})
-    got = [r[0] for r in spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "n int, t string").select(s.signature(F.struct("n", "t"))).collect()]
-    assert got[0] == got[1] == s.content_signature({"n": 1, "t": "a"}) and got[2] == s.content_signature({"n": 2})
+    got = [r[0] for r in spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (1, "x" * 300 + "y" + "x" * 300), (1, "x" * 301 + "y" + "x" * 299)], "n int, t string").select(s.signature(F.struct("n", "t"))).collect()]
+    assert got[0] == got[1] and len(set(got)) == 4 and all(len(x) == 32 for x in got)
+    meta = column(spark, ['{"sections": [1], "warnings": 5}', '{"sections": [1]}', "{}"], s.metadata_signature)
+    assert meta[0] == meta[1] != meta[2]
+
 
 
 def test_reconciliation(spark):
@@ -335,3 +408,44 @@ def test_reconciliation(spark):
     assert (r.initial, r.pages) == (3, 4) and 0.8 < r.scale < 1
     t = lambda *x: spark.range(1).select(reconcile.reduction_allowed(*[F.lit(v) for v in x])).first()[0]
     assert (t(5, 6, False, 1, False), t(5, 4, True, 4, True), t(5, 4, True, 5, False), t(5, 4, False, 1, True), t(5, 4, False, 1, False)) == (True, True, False, False, True)
+
+
+def test_conflicting_grids(spark):
+    from folioframe.operators import tables
+
+    def regrid(grid, rows):
+        df = spark.createDataFrame([(1, i, k, span, w, cont, grid) for i, row in enumerate(rows) for k, (span, w, cont) in enumerate(row)], "table_id int, row int, cell int, span int, width_twips int, continued boolean, grid array<bigint>")
+        found = tables.snapped_grid(df).orderBy("row", "cell").collect()
+        return found[0].grid, [[r.span for r in found if r.row == i] for i in range(len(rows))]
+
+    cell = lambda w, span=1, cont=False: (span, w, cont)
+    # A uniform grid yields to widths; rows with other boundaries share their union.
+    assert regrid([1000, 1000], [[cell(400), cell(1600)], [cell(1200), cell(800)]]) == ([400, 800, 800], [[1, 2], [2, 1]])
+    assert regrid([1000, 1000], [[cell(1000), cell(None)], [cell(1010), cell(990)]]) == ([1000, 1000], [[1, 1], [1, 1]])  # not all measured, no conflict
+    assert regrid([500, 1500], [[cell(520), cell(1480)], [cell(300), cell(1700)]]) == ([500, 1500], [[1, 1], [1, 1]])  # one row of two
+    assert regrid([500, 1500], [[cell(1400), cell(600)]]) == ([1400, 600], [[1, 1]])
+    assert regrid([1000], [[cell(400), cell(1600)]]) == ([1000], [[1, 1]])  # the spans don't address the grid
+    # What continues is as wide as what it continues.
+    assert regrid([1000, 1000], [[cell(400), cell(1600)], [cell(1000, cont=True), cell(1600)]]) == ([400, 1600], [[1, 1], [1, 1]])
+    assert regrid([1000, 1000], [[cell(1000), cell(1000)], [cell(1030), cell(970)]])[1] == [[1, 1], [1, 1]]
+
+
+def test_structure_metrics(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, b = rng.random((29, 23)) < 0.1, rng.random((29, 23)) < 0.02
+    rows = [(1, y, x, 29, 23, bool(a[y, x]), bool(b[y, x])) for y in range(29) for x in range(23)] + [(2, y, x, 4, 8, False, x == 3) for y in range(4) for x in range(8)]
+    df = spark.createDataFrame(rows, "page int, y int, x int, height int, width int, ink_a boolean, ink_b boolean")
+    got = {r.page: r for r in compare.structure_metrics(df, ["page"]).collect()}
+    mean = lambda m, n, axis: np.array([x.mean() for x in np.array_split(m, n, axis=axis)])
+    grid = lambda m: np.array([c.mean() for r in np.array_split(m, 8, axis=0) for c in np.array_split(r, 6, axis=1)])
+    edges = lambda m: [np.where(m.any(axis=k))[0][i] / m.shape[1 - k] for k in (1, 0) for i in (0, -1)]
+    parts = [abs(a.mean() - b.mean()), np.abs(mean(a, 12, 0) - mean(b, 12, 0)).mean(), np.abs(mean(a, 8, 1) - mean(b, 8, 1)).mean(), np.abs(grid(a) - grid(b)).mean()]
+    weight = min(1.0, (a.mean() + b.mean()) / 2 / 0.05)
+    whole = (sum(parts) + weight * sum(abs(x - y) for x, y in zip(edges(a), edges(b), strict=True))) / (4 + 4 * weight)
+    r = got[1]
+    assert np.allclose([r.coverage_diff, r.vertical_diff, r.horizontal_diff, r.grid_diff, r.edge_weight, r.layout_structure_diff], [*parts, weight, whole], atol=2e-6)
+    assert got[2].left_diff == 1 - 3 / 8 and got[2].right_diff == 3 / 8
+    profile = compare.band_profile(df.where("page = 1").withColumn("ink", F.col("ink_a")), ["page"], "y", 12).orderBy("band").collect()
+    assert np.allclose([r.ink for r in profile], mean(a, 12, 0))
