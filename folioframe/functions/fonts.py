@@ -5,7 +5,7 @@ A style is a mapping from names of FIELDS to columns; fields that are missing ar
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column
@@ -93,14 +93,36 @@ def family(style: Style, script: str) -> Column:
     return F.when(overridden(style), own).otherwise(F.coalesce(*[named(field(style, n)) for n in LOOKUP[script]], own))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Computes value once for body, which may use it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running_sums(sizes: Column, block: int = 256) -> Column:
     """For each number of an array, the sum of those before it. Arrays are appended to block by block, so that long ones don't
     cost the square of their length."""
     start = F.array().cast("array<bigint>")
-    before = lambda xs, first: F.aggregate(xs, F.struct(start.alias("out"), first.cast("bigint").alias("at")), lambda s, x: F.struct(F.array_append(s["out"], s["at"]).alias("out"), (s["at"] + x).alias("at")), lambda s: s["out"])
-    blocks = F.when(F.size(sizes) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))).otherwise(F.array().cast("array<array<bigint>>"))
-    firsts = before(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x)), F.lit(0))
-    return F.flatten(F.zip_with(blocks, firsts, lambda b, first: before(b, first)))
+
+    def before(numbers: Column, first: Column) -> Column:
+        zero = F.struct(start.alias("out"), first.cast("bigint").alias("at"))
+        return F.aggregate(numbers, zero, lambda s, x: F.struct(F.array_append(s["out"], s["at"]).alias("out"), (s["at"] + x).alias("at")), lambda s: s["out"])
+
+    def spread(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda s, x: s + x))
+        return F.flatten(F.zip_with(blocks, before(totals, F.lit(0)), before))
+
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, F.lit(block)))
+    return let(sizes, lambda xs: F.when(F.size(xs) > block, let(cut(xs), spread)).when(F.size(xs) > 0, before(xs, F.lit(0))).otherwise(start))
+
+
+def pattern_of(keys: Mapping[str, Column]) -> Column:
+    """The pattern of a text's pieces, by which scripts' typefaces (keys) agree: those are one class."""
+    neutral, alternatives = CLASSES["neutral"], []
+    for i, s in enumerate(SCRIPTS):
+        first = reduce(lambda a, b: a & b, [keys[s] != keys[t] for t in SCRIPTS[:i]], F.lit(True))
+        together = F.concat(*[F.lit(CLASSES[s]), *[F.when(keys[t] == keys[s], CLASSES[t]).otherwise("") for t in SCRIPTS[i + 1 :]]])
+        alternatives.append(F.when(first, F.concat(F.lit("["), together, F.lit("][["), together, F.lit(f"]{neutral}]*+"))))
+    return F.concat(F.lit(rf"(?s)(?:^{neutral}++)?(?:"), F.array_join(F.array_compact(F.array(*alternatives)), "|"), F.lit(rf")|^{neutral}++\z"))
 
 
 def segments(text: Column, style: Style) -> Column:
@@ -109,24 +131,19 @@ def segments(text: Column, style: Style) -> Column:
     A neutral character has the script of the one before it, at the text's beginning of the first that has one, else that of
     neutral_script. script is that of a piece's first character. A null or empty text has no pieces.
     """
-    families = {s: family(style, s) for s in SCRIPTS}
-    keys = {s: F.coalesce(F.concat(F.lit("="), key(families[s])), F.lit("")) for s in SCRIPTS}
-    neutral = CLASSES["neutral"]
-    # Scripts with one typeface are one class; the alternatives are spelt out per row, by which typefaces agree.
-    alternatives = []
-    for i, s in enumerate(SCRIPTS):
-        first = reduce(lambda a, b: a & b, [keys[s] != keys[t] for t in SCRIPTS[:i]], F.lit(True))
-        together = F.concat(*[F.lit(CLASSES[s]), *[F.when(keys[t] == keys[s], CLASSES[t]).otherwise("") for t in SCRIPTS[i + 1 :]]])
-        alternatives.append(F.when(first, F.concat(F.lit("["), together, F.lit("][["), together, F.lit(f"]{neutral}]*"))))
-    pattern = F.concat(F.lit(rf"(?s)(?:^{neutral}+)?(?:"), F.array_join(F.array_compact(F.array(*alternatives)), "|"), F.lit(rf")|^{neutral}+\z"))
-    pieces = F.when(forced(style), F.array(text)).otherwise(F.regexp_extract_all(text, pattern, F.lit(0)))
-    pieces = F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
-    sizes = F.transform(pieces, lambda p: F.floor(F.octet_length(F.encode(p, "UTF-16LE")) / 2).cast("bigint"))
-    strong = lambda p: F.coalesce(script_of(F.regexp_replace(p, f"^{neutral}+", ""), style), neutral_script(style))
-    named_ = lambda s: reduce(lambda out, n: F.when(s == n, families[n]).otherwise(out), SCRIPTS, F.lit(None).cast("string"))
-    placed = F.arrays_zip(pieces.alias("p"), sizes.alias("n"), running_sums(sizes).alias("at"))
-    whole = F.transform(placed, lambda x: F.struct(x["p"].alias("text"), x["at"].alias("start"), (x["at"] + x["n"]).alias("end"), F.when(forced(style), "complexScript").otherwise(strong(x["p"])).alias("script")))
-    return F.transform(whole, lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), x["script"].alias("script"), named_(x["script"]).alias("family")))
+    families = F.struct(*[family(style, s).alias(s) for s in SCRIPTS])
+    about = lambda f: F.struct(f.alias("family"), pattern_of({s: F.coalesce(F.concat(F.lit("="), key(f[s])), F.lit("")) for s in SCRIPTS}).alias("pattern"), forced(style).alias("forced"), neutral_script(style).alias("neutral"))
+    units = lambda p: F.when(F.octet_length(p) == F.length(p), F.length(p)).otherwise(F.floor(F.octet_length(F.encode(p, "UTF-16LE")) / 2)).cast("bigint")
+
+    def cut(i: Column) -> Column:
+        pieces = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(i["forced"], F.array(text)).otherwise(F.regexp_extract_all(text, i["pattern"], F.lit(0)))
+        script = lambda p: F.when(i["forced"], "complexScript").otherwise(F.coalesce(script_of(F.regexp_extract(p, f"(?s)^{CLASSES['neutral']}*+(.)", 1)), i["neutral"]))
+        face = lambda s: reduce(lambda out, n: F.when(s == n, i["family"][n]).otherwise(out), SCRIPTS, F.lit(None).cast("string"))
+        piece = lambda p, n, at: let(script(p), lambda s: F.struct(p.alias("text"), at.alias("start"), (at + n).alias("end"), s.alias("script"), face(s).alias("family")))
+        placed = lambda ps, ns: let(running_sums(ns), lambda at: F.transform(ps, lambda p, k: piece(p, F.get(ns, k), F.get(at, k))))
+        return let(pieces, lambda ps: let(F.transform(ps, units), lambda ns: placed(ps, ns)))
+
+    return let(let(families, about), cut)
 
 
 def text_family(text: Column, style: Style) -> Column:
