@@ -1,15 +1,12 @@
-"""Legacy binary documents: streams of a compound file, and their text as the parts of a package.
+"""Legacy binary documents: streams of a compound file, and what they say as the parts of a package.
 
-Reads what the published binary format describes: file sectors, mini sectors, the directory, the file information
-block, the piece table, and paragraph ends. Formatting of runs is not read; tables come as paragraphs.
+Reads what the published binary format describes: file sectors, mini sectors and the directory here, the document in legacy.
 """
 
 from __future__ import annotations
 
 import struct
 
-from .xmltree import encode
-
 FREE, END = 0xFFFFFFFF, 0xFFFFFFFE
 MAX_SECTORS = 1 << 22
 
@@ -59,65 +56,18 @@ def streams(data: bytes) -> dict[str, bytes]:
     return out
 
 
-def text_of(data: bytes) -> str:
-    """The main text by the piece table; characters 13, 12 and 7 end paragraphs, pages and cells."""
-    found = streams(data)
-    word = found["WordDocument"]
-    flags = struct.unpack_from("<H", word, 10)[0]
-    table = found["1Table" if flags & 0x200 else "0Table"]
-    length = struct.unpack_from("<i", word, 76)[0]
-    at, size = struct.unpack_from("<II", word, 0x1A2)
-    clx, k = table[at : at + size], 0
-    while k < len(clx) and clx[k] == 1:  # property records before the piece table
-        k += 3 + struct.unpack_from("<H", clx, k + 1)[0]
-    if k >= len(clx) or clx[k] != 2:
-        raise ValueError("no piece table")
-    n = (struct.unpack_from("<I", clx, k + 1)[0] - 4) // 12
-    places = struct.unpack_from(f"<{n + 1}I", clx, k + 5)
-    out = []
-    for i in range(n):
-        fc = struct.unpack_from("<I", clx, k + 5 + 4 * (n + 1) + 8 * i + 2)[0]
-        count = places[i + 1] - places[i]
-        if fc & 0x40000000:
-            start = (fc & 0x3FFFFFFF) // 2
-            out.append(word[start : start + count].decode("cp1252", "replace"))
-        else:
-            out.append(word[fc : fc + 2 * count].decode("utf-16-le", "replace"))
-    return "".join(out)[:length]
-
-
-def visible(text: str) -> str:
-    """Without field instructions (between 19 and 20) and field marks."""
-    out, hidden = [], []
-    for c in text:
-        if c == "\x13":
-            hidden.append(True)
-        elif c == "\x14" and hidden:
-            hidden[-1] = False
-        elif c == "\x15" and hidden:
-            hidden.pop()
-        elif not any(hidden) and (c >= " " or c in "\t\x0b\x0c\r\x07"):
-            out.append(c)
-    return "".join(out)
-
-
-def parts(data: bytes) -> dict[str, str]:
-    """A package's document part with the text's paragraphs, breaks and tabs."""
-    from .packages import DEFAULT_SECTION, DOCUMENT_OPEN
-
-    body = []
-    for paragraph in visible(text_of(data)).replace("\x07", "\r").rstrip("\r").split("\r"):
-        runs = []
-        for k, piece in enumerate(paragraph.split("\x0c")):
-            if k:
-                runs.append('<w:r><w:br w:type="page"/></w:r>')
-            for j, line in enumerate(piece.split("\x0b")):
-                if j:
-                    runs.append("<w:r><w:br/></w:r>")
-                for i, text in enumerate(line.split("\t")):
-                    if i:
-                        runs.append("<w:r><w:tab/></w:r>")
-                    if text:
-                        runs.append(f'<w:r><w:t xml:space="preserve">{encode(text)}</w:t></w:r>')
-        body.append(f"<w:p>{''.join(runs)}</w:p>")
-    return {"word/document.xml": f"{DOCUMENT_OPEN}<w:body>{''.join(body)}{DEFAULT_SECTION}</w:body></w:document>"}
+def parts(data: bytes) -> dict[str, str | bytes]:
+    """The parts of a package that says the same: text, runs, paragraphs, tables and sections, styles, lists, pictures."""
+    from .legacy import LISTS, OVERRIDES, Document, lists, numbering_markup, styles_markup
+    from .packages import DOCUMENT_OPEN
+
+    doc = Document(streams(data))
+    out: dict[str, str | bytes] = {"word/document.xml": f"{DOCUMENT_OPEN}<w:body>{doc.body()}</w:body></w:document>"}
+    if any(doc.styles):
+        out["word/styles.xml"] = styles_markup(doc.styles, doc.faces)
+    found, over = lists(doc.part(LISTS), doc.part(OVERRIDES))
+    if found or over:
+        out["word/numbering.xml"] = numbering_markup(found, over, doc.faces)
+    for i, picture in enumerate(doc.images(), 1):
+        out[f"word/media/image{i}.{picture['extension']}"] = picture["bytes"]
+    return out

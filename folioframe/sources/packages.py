@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 MAGIC = bytes.fromhex("D0CF11E0A1B11AE1")
 TEXT = ("xml", "rels", "txt")
 PARTS = "name string, is_text boolean, content string, bytes binary, error string"
-#: A part that would unpack to more than this is an error row, so that a hostile file can't fill a task's memory.
-MAX_PART_BYTES = 512 << 20
+#: A column's value can't have more bytes; a larger part is an error row of its own.
+MAX_PART_BYTES = (1 << 31) - 1
 DOCUMENT_OPEN = '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
 DEFAULT_SECTION = '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440"/></w:sectPr>'
 
@@ -34,7 +34,7 @@ def parts_of(content: bytes | None) -> list[tuple]:
         return failed("empty input")
     if content[:8] == MAGIC:
         try:
-            return [(n, True, x, None, None) for n, x in compound.parts(content).items()]
+            return [(n, True, x, None, None) if isinstance(x, str) else (n, False, None, x, None) for n, x in compound.parts(content).items()]
         except (ValueError, IndexError, struct.error, KeyError) as e:
             return failed(f"compound file: {e}")
     try:
@@ -45,8 +45,9 @@ def parts_of(content: bytes | None) -> list[tuple]:
                     continue
                 if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
                     return failed(f"compression method {info.compress_type} of {info.filename}")
-                if info.file_size > MAX_PART_BYTES:
-                    return failed(f"{info.filename} has {info.file_size} bytes")
+                if info.file_size > MAX_PART_BYTES:  # the other parts can be read all the same
+                    found[info.filename] = (info.filename, is_text(info.filename), None, None, f"{info.filename} has {info.file_size} bytes")
+                    continue
                 raw = z.read(info)
                 text = is_text(info.filename)
                 found[info.filename] = (info.filename, text, raw.decode("utf-8", "replace") if text else None, None if text else raw, None)  # the last of a name wins

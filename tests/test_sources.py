@@ -154,18 +154,49 @@ def test_patch_and_upsert():
     assert render.next_relationship(["rId2", "x", "rId10"]) == 11 and render.next_relationship([]) == 1
 
 
-def compound_file(text: str) -> bytes:
-    """A small compound file with one document stream and one table stream."""
+def compound_file(text: str, chars=(), paragraphs=(), tables=None, data=b"", sections=()) -> bytes:
+    """A small compound file with one document stream and one table stream. chars: (from, to, records); paragraphs: (from, to, style,
+    records); tables: parts of the table stream by number; sections: (end, records)."""
     import struct
 
-    body = text.encode("utf-16-le")
-    word = bytearray(0x200) + body
-    struct.pack_into("<H", word, 0, 0xA5EC)
-    struct.pack_into("<H", word, 10, 0x200)
+    def page(runs, paragraphs):
+        out, width, at = bytearray(512), 13 if paragraphs else 1, 500
+        for i, (a, _, *style, grpprl) in enumerate(runs):
+            struct.pack_into("<I", out, 4 * i, 0x400 + 2 * a)
+            if paragraphs:
+                body = struct.pack("<H", style[0]) + grpprl
+                body = bytes([(len(body) + 1) // 2]) + body if len(body) % 2 else bytes([0, len(body) // 2]) + body
+            else:
+                body = bytes([len(grpprl)]) + grpprl
+            at = (at - len(body)) // 2 * 2
+            out[at : at + len(body)] = body
+            out[(len(runs) + 1) * 4 + i * width] = at // 2
+        struct.pack_into("<I", out, 4 * len(runs), 0x400 + 2 * runs[-1][1])
+        out[511] = len(runs)
+        return bytes(out)
+
+    tables = dict(tables or {})
+    word = bytearray(0x400) + text.encode("utf-16-le")
+    word += b"\0" * (-len(word) % 512)
+    for number, runs in ((12, chars), (13, paragraphs)):
+        if runs:
+            tables[number] = struct.pack("<III", 0x400, 0x400 + 2 * len(text), len(word) // 512)
+            word += page(runs, number == 13)
+    if sections:
+        places, seds = [0, *[e for e, _ in sections]], b""
+        for _, grpprl in sections:
+            seds += struct.pack("<HIHI", 0, len(word), 0, 0)
+            word += struct.pack("<H", len(grpprl)) + grpprl
+        tables[6] = struct.pack(f"<{len(places)}I", *places) + seds
+    for at, value in ((0, 0xA5EC), (2, 0xC1), (10, 0x200), (0x20, 14), (0x3E, 22), (0x98, 93)):
+        struct.pack_into("<H", word, at, value)
     struct.pack_into("<i", word, 76, len(text))
-    clx = b"\x02" + struct.pack("<I", 16) + struct.pack("<II", 0, len(text)) + struct.pack("<HIH", 0, 0x200, 0)
-    struct.pack_into("<II", word, 0x1A2, 0, len(clx))
-    streams = [("WordDocument", bytes(word).ljust(4096, b"\0")), ("1Table", clx.ljust(4096, b"\0"))]
+    tables[33] = b"\x02" + struct.pack("<I", 16) + struct.pack("<II", 0, len(text)) + struct.pack("<HIH", 0, 0x400, 0)
+    table = b""
+    for number, part in tables.items():
+        struct.pack_into("<II", word, 0x9A + 8 * number, len(table), len(part))
+        table += part
+    streams = [("WordDocument", bytes(word).ljust(4096, b"\0")), ("1Table", table.ljust(4096, b"\0"))] + ([("Data", data.ljust(4096, b"\0"))] if data else [])
     sectors, fat, starts = [], [], []
     for _, data in streams:
         data = data.ljust(-(-len(data) // 512) * 512, b"\0")
@@ -196,6 +227,87 @@ def test_legacy_documents(spark):
     assert [r.text for r in model.blocks(parts).orderBy("node_index").collect()] == ["Firstshown", "Sec\tond\nnext", "cell"]
 
 
+def test_legacy_formatting(spark):
+    """Runs, paragraphs, a table, sections, styles, lists, typefaces and a picture of a legacy document, read like a package."""
+    import struct
+
+    h = lambda code, *operand: struct.pack("<H", code) + bytes(operand)
+    w = lambda code, value: struct.pack("<Hh", code, value)
+    text = "Bold plain\x01\rItem\rIn cell\x07two\x07\x07\x0cEnd\r"
+    cell, end = text.index("In"), text.index("End")
+    mark = cell + len("In cell\x07two\x07")
+    definition = bytes([2]) + struct.pack("<3h", 0, 1440, 4320) + struct.pack("<H", 0x40) + b"\0" * 2 + bytes([8, 1, 6, 0]) + b"\0" * 12 + struct.pack("<H", 0x80) + b"\0" * 18
+    row = h(0x2416, 1) + h(0x2417, 1) + struct.pack("<HH", 0xD608, len(definition) + 1) + definition + h(0x3404, 1) + w(0x9407, -300) + h(0xD609, 4) + struct.pack("<HH", 0xFFFF, 7 << 5)
+    face = lambda name: (lambda b: bytes([len(b)]) + b)(b"\0" * 39 + name.encode("utf-16-le") + b"\0\0")
+
+    def std(sti, kind, base, name, papx, chpx):
+        upx = [struct.pack("<H", 0) + papx, chpx] if kind == 1 else [chpx]
+        out = struct.pack("<HHHHH", sti, kind | base << 4, len(upx) | 0 << 4, 0, 0) + struct.pack("<H", len(name)) + name.encode("utf-16-le") + b"\0\0"
+        for u in upx:
+            out += b"\0" * (len(out) % 2) + struct.pack("<H", len(u)) + u
+        return struct.pack("<H", len(out)) + out + b"\0" * (len(out) % 2)
+
+    head = struct.pack("<HH", 3, 10) + b"\0" * 14
+    sheet = struct.pack("<H", len(head)) + head + std(0, 1, 0xFFF, "Normal", b"", h(0x0835, 1)) + std(1, 1, 0, "heading 1", h(0x2406, 1), h(0x0835, 0x81) + w(0x4A43, 32)) + std(66, 2, 0xFFF, "My style!", b"", h(0x0836, 1))
+    lvl = struct.pack("<IBB", 3, 4, 2) + b"\0" * 18 + bytes([0, 0, 0, 0]) + struct.pack("<H3H", 3, 40, 0, 41)
+    lists = struct.pack("<H", 1) + struct.pack("<I", 77) + b"\0" * 22 + bytes([1, 0]) + lvl
+    overrides = struct.pack("<I", 1) + struct.pack("<I", 77) + b"\0" * 8 + bytes([1, 0, 0, 0]) + struct.pack("<II", 9, 0x10)
+    png = b"\x89PNG picture"
+    blip = struct.pack("<HHI", 0x6E0 << 4, 0xF01E, 17 + len(png)) + b"\0" * 17 + png
+    box = struct.pack("<HHI", 0xF, 0xF004, len(blip)) + blip
+    data = struct.pack("<IHH", 0x44 + len(box), 0x44, 0x64).ljust(28, b"\0") + struct.pack("<HHHH", 1440, 720, 500, 0)
+    data = data.ljust(0x44, b"\0") + box
+    raw = compound_file(
+        text,
+        chars=[(0, 4, h(0x0835, 0x81) + h(0x2A42, 6) + w(0x4A4F, 1)), (4, 10, b""), (10, 11, h(0x0855, 1) + struct.pack("<HI", 0x6A03, 0)), (11, 16, w(0x4A30, 2) + h(0x2A3E, 11)), (16, len(text), b"")],
+        paragraphs=[(0, 12, 1, h(0x2461, 1) + w(0x8411, -200) + struct.pack("<Hhh", 0x6412, -240, 0) + h(0xC60D, 7, 1, 0x10, 0, 1, 0, 2, 2 | 1 << 3)), (12, 17, 0, h(0x260A, 0) + w(0x460B, 1)), (cell, mark, 0, h(0x2416, 1)), (mark, mark + 1, 0, row), (mark + 1, len(text), 0, b"")],
+        tables={1: sheet, 15: struct.pack("<HH", 2, 0) + face("One") + face("Two & Co"), 73: lists, 74: overrides},
+        data=data, sections=[(end, w(0x500B, 1) + h(0x300E, 2) + struct.pack("<HH", 0xB01F, 15840) + h(0x301D, 2)), (len(text), b"")],
+    )
+    parts = packages.read_parts(spark.createDataFrame([("l", bytearray(raw))], "path string, content binary")).cache()
+    assert [r.error for r in parts.collect()] == [None] * 4 and parts.where("name = 'word/media/image1.png'").collect()[0].bytes == png
+    blocks = model.blocks(parts).orderBy("node_index").collect()
+    assert [(r.kind, r.text) for r in blocks] == [("paragraph", "Bold plain"), ("paragraph", "Item"), ("table", "In cell\ntwo"), ("paragraph", ""), ("paragraph", "End")]
+    s = blocks[0].style
+    assert (s.style_id, s.align, s.hanging_twips, s.line, s.line_rule) == ("Heading1", "center", 200, 240, "exact")
+    assert [(t.pos, t.align, t.leader) for t in s.tab_stops] == [(16, "clear", None), (512, "right", "dot")]
+    assert (blocks[1].style.num_id, blocks[1].style.ilvl) == (1, 0)
+    first, second, third, *_ = model.runs(parts).where("kind = 'text'").orderBy("node_index", "run_index").collect()
+    # The style inverts its base's bold to off, and the run inverts that.
+    assert (first.text, first.style.bold, first.style.color, first.style.font_ascii) == ("Bold", True, "#FF0000", "Two & Co") and (second.text, second.style.bold) == (" plain", None)
+    assert (third.style.style_id, third.style.underline) == ("MyStyle", "wave")
+    sheet_rows = {r.style_id: r for r in model.style_sheet(parts).collect()}
+    assert sheet_rows["Normal"].is_default and sheet_rows["Heading1"].based_on == "Normal" and sheet_rows["Heading1"].heading == 1 and sheet_rows["Heading1"].paragraph.keep_next
+    assert (sheet_rows["Heading1"].run.bold, sheet_rows["Heading1"].run.size_pt, sheet_rows["MyStyle"].run.italic) == (False, 16.0, True)
+    (level,) = model.numbering_levels(parts).collect()
+    assert (level.start, level.format, level.lvl_text) == (3, "lowerLetter", "(%1)")
+    a, b = model.cells(parts).orderBy("cell").collect()
+    assert (a.text, a.v_merge, a.width_twips, a.shading, b.text, b.width_twips, b.v_align) == ("In cell", "restart", 1440, "#FFFF00", "two", 2880, "center")
+    one, two = model.sections(parts).orderBy("section_index").collect()
+    assert (one.layout.columns, one.layout.page_format, one.layout.orientation, one.layout.width_px) == (2, "lowerRoman", "landscape", 1056.0) and two.layout.columns == 1
+
+
+def test_legacy_records():
+    import struct
+
+    from folioframe.sources import legacy
+
+    h = lambda code, *operand: struct.pack("<H", code) + bytes(operand)
+    assert list(legacy.records(h(0x0835, 1) + h(0x4A43, 1, 2) + h(0xCA71, 2, 9, 9) + h(0x6870, 1))) == [(0x0835, b"\1"), (0x4A43, b"\1\2"), (0xCA71, b"\t\t")]
+    assert list(legacy.records(h(0xC615, 255, 1) + h(0x0835, 1))) == []
+    assert legacy.border(bytes([8, 1, 6, 0x23]), True) == {"val": "single", "sz": 8, "color": "FF0000", "space": 3, "shadow": True} and legacy.border(b"\xff" * 4, True) is None
+    assert legacy.border(bytes([1, 2, 3, 0, 4, 3, 0, 0]), False)["color"] == "010203" and legacy.border(bytes([0] * 8), False) is None
+    assert legacy.shade(struct.pack("<H", 2 | 7 << 5 | 1 << 10), True) == {"val": "solid", "color": "0000FF", "fill": "FFFF00"} and legacy.shade(b"\xff\xff", True) is None
+    assert legacy.toggles(h(0x0835, 0x81) + h(0x0836, 0x80), {"w:b": True}) == {"w:b": False}
+    assert legacy.bins(struct.pack("<5I", 1, 2, 3, 10, 11)) == [(1, 2, 10), (2, 3, 11)] and legacy.bins(b"123") == []
+    assert legacy.page_runs(b"", 0, False) == [] and legacy.fonts(b"") == [] and legacy.styles(b"") == [] and legacy.lists(b"", b"") == ([], [])
+    row = legacy.table_row(struct.pack("<HH", 0xD608, 2 + 6) + bytes([2]) + struct.pack("<3h", -10, 5, 9) + h(0xD62B, 2, 1, 3) + h(0xD620, 7, 0, 2, 1, 8, 1, 0, 0))
+    assert [(c["left"], c["right"], c["v_restart"]) for c in row["cells"]] == [(-10, 5, False), (5, 9, True)] and all(c["borders"]["top"]["val"] == "single" and c["borders"]["left"] is None for c in row["cells"])
+    dib = struct.pack("<IiiHHIIiiII", 40, 1, 1, 1, 8, 0, 4, 0, 0, 2, 0) + b"\0" * 12
+    assert legacy.bitmap(dib)[:2] == b"BM" and struct.unpack_from("<I", legacy.bitmap(dib), 10)[0] == 14 + 40 + 8 and legacy.bitmap(b"") is None
+    assert legacy.image(b"", 0) is None and legacy.boxes(struct.pack("<3I", 0, 5, 6) + b"".join(struct.pack("<IIHII", 1, 0, 0, 0, i) + b"\0" * 4 for i in (7, 8))) == [(0, 5, 7)]
+
+
 def test_serialized_models(spark, parts):
     from folioframe.sources import serialize
 
