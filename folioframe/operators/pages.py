@@ -90,3 +90,54 @@ def nearest_fragment(points: DataFrame, fragments: DataFrame) -> DataFrame:
     offset = F.col("start") + F.floor(share * (F.col("end") - F.col("start")) + 0.5).cast("int")
     best = F.min_by(F.struct("node_index", offset.alias("offset")), F.struct((dx * dx + dy * dy).alias("d"), "node_index", "start"))
     return met.groupBy("__id", "doc_id", "page", "px", "py").agg(best.alias("b")).select("doc_id", "page", "px", "py", "b.node_index", "b.offset")
+
+
+def caret_rects(targets: DataFrame, fragments: DataFrame) -> DataFrame:
+    """targets: doc_id, node_index, offset; fragments: doc_id, page, node_index, start, end, x, y, width, height and, where they are
+    known, advances (the width of the first n characters, for n from 0). Of the first fragment that holds the offset, the place
+    of the caret: by the advances, else its left or (at its end) right edge."""
+    met = targets.join(fragments, ["doc_id", "node_index"]).where("offset BETWEEN start AND end")
+    edge = F.when(F.col("offset") >= F.col("end"), F.col("x") + F.col("width")).otherwise(F.col("x"))
+    x = F.coalesce(F.col("x") + F.get("advances", (F.col("offset") - F.col("start")).cast("int")), edge) if "advances" in fragments.columns else edge
+    first = F.min_by(F.struct("page", x.alias("x"), "y", F.lit(1.0).alias("width"), "height"), F.struct("page", "y", "start", "x"))
+    return met.groupBy("doc_id", "node_index", "offset").agg(first.alias("c")).select("doc_id", "node_index", "offset", "c.*")
+
+
+def with_fragments(fragments: DataFrame, new: DataFrame) -> DataFrame:
+    """fragments with those of each doc_id, page and node_index that new has taken from new."""
+    keys = ["doc_id", "page", "node_index"]
+    return fragments.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def line_slices(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """lines: doc_id, node_index, line, y, line_height; ranges: doc_id, node_index, from, to. The lines of each range, the first at y 0,
+    with the number of lines and the height of the slice."""
+    keys = ["doc_id", "node_index", "from", "to"]
+    w = Window.partitionBy(*keys)
+    kept = lines.join(ranges, ["doc_id", "node_index"]).where("line >= `from` AND line < `to`").withColumn("y", F.col("y") - F.min("y").over(w))
+    return kept.withColumn("line_count", F.count("*").over(w)).withColumn("height", F.max("y").over(w) + F.greatest(F.lit(1.0), F.round(F.max("line_height").over(w))))
+
+
+def snapshot_states(operations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """operations: snapshot_id, seq, kind (set-selection, set-floating-draft or clear-floating-draft), target_key, value. (the selection
+    of each snapshot, the drafts that stand): the last operation on each counts."""
+    last = lambda rows, *keys: rows.groupBy("snapshot_id", *keys).agg(F.max_by(F.struct("kind", "value"), "seq").alias("l"))
+    chosen = last(operations.where("kind = 'set-selection'")).select("snapshot_id", F.col("l.value").alias("selection"))
+    drafts = last(operations.where("kind IN ('set-floating-draft', 'clear-floating-draft')"), "target_key").where("l.kind = 'set-floating-draft'")
+    return chosen, drafts.select("snapshot_id", "target_key", F.col("l.value").alias("draft"))
+
+
+def page_starts(segments: DataFrame) -> DataFrame:
+    """segments: doc_id, page, ord, node_index. The first node of each page that has one."""
+    return segments.where("node_index IS NOT NULL").groupBy("doc_id", "page").agg(F.min_by("node_index", "ord").alias("node_index"))
+
+
+def layout_nodes(blocks: DataFrame, containers: tuple[str, ...] = ("word/document.xml",)) -> DataFrame:
+    """Blocks (as model.blocks gives them) as a layout takes them: doc_id, node_index, kind, text, and the style's keeps, breaks and
+    distances in pixels; text in header and footer parts is laid out apart."""
+    px = lambda c: F.greatest(F.floor(F.coalesce(F.col(f"style.{c}"), F.lit(0)) / 15 + 0.5), F.lit(0)).cast("double")
+    on = lambda c: F.coalesce(F.col(f"style.{c}"), F.lit(False))
+    return blocks.where(F.col("container").isin(*containers)).select(
+        "doc_id", "node_index", "kind", "text", px("before_twips").alias("before_px"), px("after_twips").alias("after_px"), on("keep_next").alias("keep_next"), on("keep_lines").alias("keep_lines"), on("page_break_before").alias("page_break_before"),
+        F.coalesce("break_inside", F.lit(False)).alias("hard_break"), (F.col("section_xml").isNotNull()).alias("ends_section"),
+    )

@@ -86,3 +86,16 @@ def reduction_allowed(estimated: Column, target: Column, has_hints: Column, hint
 def latched(overlap: Column, pages: Column, target: Column) -> Column:
     """A measured overlap holds while there are no more pages than stored."""
     return F.coalesce(overlap & (F.greatest(F.lit(1), pages) <= F.greatest(F.lit(1), target)), F.lit(False))
+
+
+def measured_or_estimated(documents: DataFrame, measured: DataFrame, estimated: DataFrame) -> DataFrame:
+    """documents: doc_id, edited (undo or redo is possible), has_measured. measured, estimated: a row for each segment with doc_id, page
+    and split (whether it is part of a paragraph). doc_id, use_estimated: for documents as they were read, whose measured pages
+    hold nothing but parts of paragraphs, the estimate counts if its pages do too and are fewer."""
+
+    def shape(segments: DataFrame, name: str) -> DataFrame:
+        return segments.groupBy("doc_id").agg(F.countDistinct("page").alias(f"{name}_pages"), F.bool_and("split").alias(f"{name}_split"))
+
+    met = documents.join(shape(measured, "m"), "doc_id", "left").join(shape(estimated, "e"), "doc_id", "left")
+    use = ~F.col("edited") & F.col("has_measured") & F.col("m_split") & F.col("e_split") & (F.col("e_pages") < F.col("m_pages"))
+    return met.select("doc_id", F.coalesce(use, F.lit(False)).alias("use_estimated"))

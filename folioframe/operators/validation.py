@@ -255,3 +255,44 @@ def bound_scenarios(scenarios: DataFrame, sources: DataFrame) -> tuple[DataFrame
     unknown = scenarios.join(sources, "case_id", "left_anti").select(F.col("scenario_id").alias("key"), F.lit("unknown-source").alias("rule"))
     clash = scenarios.join(sources.select(F.col("case_id").alias("scenario_id")), "scenario_id", "left_semi").select(F.col("scenario_id").alias("key"), F.lit("id-collision").alias("rule"))
     return joined, unknown.unionByName(clash)
+
+
+def capture_targets(references: DataFrame, cases: list[str] | None = None, reference_ids: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """references: case_id, reference_id, source. (a row for each case with its source and reference ids in order, issues: references
+    that stand twice, selectors that nothing matches). Without selectors all references count."""
+    wanted = F.lit(True)
+    for name, some in (("case_id", cases), ("reference_id", reference_ids)):
+        wanted = wanted & F.col(name).isin(*some) if some else wanted
+    chosen = references.where(wanted)
+    groups = chosen.groupBy("case_id").agg(F.min_by("source", "reference_id").alias("source"), F.array_sort(F.collect_list("reference_id")).alias("reference_ids"))
+    twice = chosen.groupBy("case_id", "reference_id").agg(F.count("*").alias("n")).withColumn("key", F.concat_ws("/", "case_id", "reference_id"))
+    bad = issues(twice, "key", {"duplicate": F.col("n") > 1})
+    for name, some in (("case_id", cases), ("reference_id", reference_ids)):
+        if some:
+            asked = references.sparkSession.createDataFrame([(x,) for x in some], "key string")
+            bad = bad.unionByName(asked.join(chosen.select(F.col(name).alias("key")), "key", "left_anti").select("key", F.lit("unknown").alias("rule")))
+    return groups, bad
+
+
+def page_path(case_id: Column, reference_id: Column, page_number: Column) -> Column:
+    """The portable path of a page's picture."""
+    return F.concat_ws("/", case_id, reference_id, F.concat(F.lit("page-"), F.lpad(page_number.cast("string"), 4, "0"), F.lit(".png")))
+
+
+def viewer_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pages as for page_issues. (a row for each reference with its pages by number, issues of the pages)."""
+    about = [c for c in pages.columns if c not in ("case_id", "reference_id")]
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", *[c for c in about if c != "page_number"])))
+    return pages.groupBy("case_id", "reference_id").agg(ordered.alias("pages")), page_issues(pages)
+
+
+#: Effects of actions whose target must not have had the expected value before, and whose target's digest must change (fixed values).
+NEW_VALUES, NEW_DIGESTS = ("paragraph-text", "table-cell-text"), ("paragraph-text", "text-style", "paragraph-style")
+
+
+def postcondition_issue(effect: Column, expected: Column, before: Column, after: Column, before_digest: Column, after_digest: Column) -> Column:
+    """What is wrong with an action's effect; null where it holds: the target has the expected value, didn't have it, and changed."""
+    return (
+        F.when(after.isNull(), "not-observed").when(~after.eqNullSafe(expected), "unexpected").when(effect.isin(*NEW_VALUES) & before.eqNullSafe(expected), "already")
+        .when(effect.isin(*NEW_DIGESTS) & before_digest.eqNullSafe(after_digest), "unchanged")
+    )

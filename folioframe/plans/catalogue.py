@@ -945,3 +945,35 @@ def content_signatures(spark, d):
     from ..functions.signature import signature
 
     return table(spark, d, "conversations").select("conv_id", "turn", signature(F.struct("role", "text")).alias("signature"))
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, text, least(length(text), 3 + turn * 7) AS a, left(text, least(length(text), 3 + turn * 7)) AS head, substring(text, least(length(text), 3 + turn * 7) + 1) AS tail FROM conversations),
+e AS (SELECT *, CASE turn % 4 WHEN 0 THEN head || 'new' || chr(10) || tail WHEN 1 THEN regexp_replace(head, '\S*\s*$', '') || tail WHEN 2 THEN head || substring(tail, 2) ELSE head || regexp_replace(tail, '^\s*\S*', '') END AS t,
+  CASE turn % 4 WHEN 0 THEN a + 4 WHEN 1 THEN length(regexp_replace(head, '\S*\s*$', '')) ELSE a END AS caret FROM c)
+SELECT conv_id, turn, CASE WHEN t <> text THEN t END AS text, CASE WHEN t <> text THEN caret END::INTEGER AS caret FROM e
+""")
+def text_intents(spark, d):
+    """Each turn's text after an insertion, a deletion of the word before or behind the caret, or of the character behind it."""
+    from ..operators import intents
+
+    at = F.least(F.length("text"), 3 + F.col("turn") * 7)
+    kind = F.element_at(F.array(*map(F.lit, ("insertFromPaste", "deleteWordBackward", "deleteContentForward", "deleteWordForward"))), (F.col("turn") % 4 + 1).cast("int"))
+    todo = intents.intent(kind, F.lit(None).cast("string"), F.lit("new\r"))
+    return table(spark, d, "conversations").withColumn("__i", todo).withColumn("__e", intents.applied(F.col("text"), at, at, F.col("__i"))).select("conv_id", "turn", "__e.text", "__e.caret")
+
+
+@query("""
+WITH f AS (SELECT l_orderkey AS doc_id, l_linenumber AS line, (l_linenumber - 1) * 10 AS s, l_linenumber * 10 AS e, CAST(l_quantity AS DOUBLE) AS width FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
+m AS (SELECT *, o_orderkey % 45 AS place, row_number() OVER (PARTITION BY o_orderkey ORDER BY line) AS k FROM orders JOIN f ON doc_id = o_orderkey AND o_orderkey % 45 BETWEEN s AND e)
+SELECT doc_id, place AS "offset", (line - 1) * 20.0::DOUBLE AS y, CASE WHEN place >= e THEN width ELSE 0 END::DOUBLE AS x FROM m WHERE k = 1
+""")
+def caret_places(spark, d):
+    """The caret at an offset of each order, whose lines are lines of text."""
+    from ..operators import pages
+
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    n, zero = F.col("l_linenumber"), F.lit(0.0)
+    fragments = rows.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("node_index"), ((n - 1) * 10).alias("start"), (n * 10).alias("end"), zero.alias("x"), ((n - 1) * 20.0).alias("y"), F.col("q").cast("double").alias("width"), F.lit(20.0).alias("height"))
+    targets = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("node_index"), (F.col("o_orderkey") % 45).alias("offset"))
+    return pages.caret_rects(targets, fragments).select("doc_id", "offset", F.col("y").cast("double").alias("y"), "x")
