@@ -977,3 +977,70 @@ def caret_places(spark, d):
     fragments = rows.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("node_index"), ((n - 1) * 10).alias("start"), (n * 10).alias("end"), zero.alias("x"), ((n - 1) * 20.0).alias("y"), F.col("q").cast("double").alias("width"), F.lit(20.0).alias("height"))
     targets = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("node_index"), (F.col("o_orderkey") % 45).alias("offset"))
     return pages.caret_rects(targets, fragments).select("doc_id", "offset", F.col("y").cast("double").alias("y"), "x")
+
+
+@query("""
+WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS id, turn, role, text, count(*) OVER w AS n, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS first FROM conversations WINDOW w AS (PARTITION BY conv_id)),
+one AS (SELECT DISTINCT id, n, first FROM c), s AS (SELECT * FROM (VALUES ('S0', '', '', 'true'), ('S1', 'S0', '', ''), ('S2', 'S1', '2', '')) v(k, base, heading, bold))
+SELECT id, 'block' AS relation, turn::VARCHAR AS k, concat_ws('|', 'paragraph', 'S' || turn % 3, 'justify', '1', turn % 2, text) AS value FROM c
+UNION ALL SELECT id, 'block', n::VARCHAR, concat_ws('|', 'table', '', '', '', '', first || chr(10) || n) FROM one
+UNION ALL SELECT id, 'run', turn::VARCHAR || '/0', concat_ws('|', 'text', CASE WHEN turn % 2 = 0 THEN 'true' ELSE '' END, text) FROM c UNION ALL SELECT id, 'run', turn::VARCHAR || '/1', 'note||' || (turn + 1) FROM c WHERE turn % 4 = 1
+UNION ALL SELECT id, 'cell', '0', '0|2|restart|' || first FROM one UNION ALL SELECT id, 'cell', '1', '2|1||' || n FROM one
+UNION ALL SELECT id, 'section', '0', concat_ws('|', n % 3 + 1, n, 'word/header1.xml') FROM one
+UNION ALL SELECT id, 'note', (turn + 1)::VARCHAR, 'note ' || turn FROM c WHERE turn % 4 = 1 UNION ALL SELECT id, 'comment', turn::VARCHAR, role || '|c' || turn FROM c WHERE turn % 5 = 2
+UNION ALL SELECT id, 'level', '0', n || '|decimal|%1.' FROM one UNION ALL SELECT id, 'level', '1', '1|lowerRoman|(%2)' FROM one
+UNION ALL SELECT id, 'style', k, concat_ws('|', base, heading, bold) FROM one, s UNION ALL SELECT id, 'effective', k, 'true' FROM one, s
+UNION ALL SELECT id, 'label', turn::VARCHAR, CASE WHEN turn % 2 = 0 THEN (n + turn // 2) || '.' ELSE '(i)' END FROM c
+""")
+def package_relations(spark, d):
+    """Conversations written as packages with styles, lists, a table, notes, comments and a header, and every relation read back."""
+    from ..operators import numbering
+    from ..operators.scratch import written
+    from ..sources import model, packages
+
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    one = table(spark, d, "conversations").groupBy(F.col("conv_id").cast("string").alias("id")).agg(turns.alias("t")).withColumn("n", F.size("t"))
+    word = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    xml = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    text = lambda c: xml('<w:r><w:t xml:space="preserve">', c, "</w:t></w:r>")
+    s = lambda c: c.cast("string")
+
+    def paragraph(x: Column) -> Column:
+        note = F.when(x["turn"] % 4 == 1, xml('<w:r><w:footnoteReference w:id="', s(x["turn"] + 1), '"/></w:r>')).otherwise("")
+        bold = F.when(x["turn"] % 2 == 0, "<w:rPr><w:b/></w:rPr>").otherwise("")
+        props = xml('<w:pPr><w:pStyle w:val="S', s(x["turn"] % 3), '"/><w:numPr><w:ilvl w:val="', s(x["turn"] % 2), '"/><w:numId w:val="1"/></w:numPr><w:jc w:val="both"/></w:pPr>')
+        return xml("<w:p>", props, "<w:r>", bold, '<w:t xml:space="preserve">', word(x["text"]), "</w:t></w:r>", note, "</w:p>")
+
+    each = lambda keep, f: F.array_join(F.transform(F.filter("t", keep), f), "")
+    cells = xml('<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/><w:vMerge w:val="restart"/></w:tcPr><w:p>', text(word(F.get("t", F.lit(0))["role"])), "</w:p></w:tc><w:tc><w:p>", text(s(F.col("n"))), "</w:p></w:tc></w:tr></w:tbl>")
+    section = xml('<w:sectPr><w:headerReference w:type="default" r:id="rId1"/><w:pgNumType w:start="', s(F.col("n")), '"/><w:cols w:num="', s(F.col("n") % 3 + 1), '"/></w:sectPr>')
+    parts = {
+        "word/document.xml": xml("<w:document><w:body>", F.array_join(F.transform("t", paragraph), ""), cells, section, "</w:body></w:document>"),
+        "word/_rels/document.xml.rels": F.lit('<Relationships><Relationship Id="rId1" Type="t/header" Target="header1.xml"/></Relationships>'),
+        "word/header1.xml": F.lit("<w:hdr><w:p/></w:hdr>"),
+        "word/styles.xml": F.lit('<w:styles><w:style w:type="paragraph" w:styleId="S0"><w:rPr><w:b/></w:rPr></w:style><w:style w:type="paragraph" w:styleId="S1"><w:basedOn w:val="S0"/></w:style><w:style w:type="paragraph" w:styleId="S2"><w:name w:val="heading 2"/><w:basedOn w:val="S1"/></w:style></w:styles>'),
+        "word/footnotes.xml": xml("<w:footnotes>", each(lambda x: x["turn"] % 4 == 1, lambda x: xml('<w:footnote w:id="', s(x["turn"] + 1), '"><w:p>', text(xml("note ", s(x["turn"]))), "</w:p></w:footnote>")), "</w:footnotes>"),
+        "word/comments.xml": xml("<w:comments>", each(lambda x: x["turn"] % 5 == 2, lambda x: xml('<w:comment w:id="', s(x["turn"]), '" w:author="', word(x["role"]), '"><w:p>', text(xml("c", s(x["turn"]))), "</w:p></w:comment>")), "</w:comments>"),
+        "word/numbering.xml": xml('<w:numbering><w:abstractNum w:abstractNumId="7"><w:lvl w:ilvl="0"><w:start w:val="', s(F.col("n")), '"/><w:numFmt w:val="decimal"/><w:lvlText w:val="%1."/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="lowerRoman"/><w:lvlText w:val="(%2)"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/></w:num></w:numbering>'),
+    }
+    rows = one.select("id", F.explode(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)])).alias("name", "content"))
+    files = packages.write_packages(rows.select(F.col("id").alias("doc_id"), "name", "content", F.lit(None).cast("binary").alias("bytes"), F.lit(None).cast("string").alias("error")))
+    read = written(packages.read_parts(files, "doc_id"))  # ten readers
+    body = F.col("container") == "word/document.xml"
+    join = lambda *cs: F.concat_ws("|", *[F.coalesce(s(F.col(c) if isinstance(c, str) else c), F.lit("")) for c in cs])
+    row = lambda df, relation, k, value: df.select(F.col("doc_id").alias("id"), F.lit(relation).alias("relation"), s(k).alias("k"), value.alias("value"))
+    blocks_ = model.blocks(read).where(body)
+    listed = blocks_.where("kind = 'paragraph'").select("doc_id", "node_index", "style.num_id", "style.ilvl")
+    sheet = model.style_sheet(read).select("doc_id", "style_id", "based_on", "heading", F.col("run.bold").alias("bold"))
+    refs = model.section_references(read).select("doc_id", "section_index", "part")
+    out = [
+        row(blocks_, "block", F.col("node_index"), join("kind", "style.style_id", "style.align", "style.num_id", "style.ilvl", "text")), row(model.runs(read).where(body & (F.size("cell_path") == 0)), "run", F.concat_ws("/", "node_index", "run_index"), join("kind", "style.bold", F.coalesce(s(F.col("note_id")), F.col("text")))),
+        row(model.cells(read), "cell", F.col("cell"), join("grid_col", "grid_span", "v_merge", "text")), row(model.sections(read).join(refs, ["doc_id", "section_index"]), "section", F.col("section_index"), join("layout.columns", "layout.page_start", "part")),
+        row(model.note_paragraphs(read), "note", F.col("id"), F.col("text")), row(model.comment_rows(read), "comment", F.col("id"), join("author", "text")), row(model.numbering_levels(read), "level", F.col("ilvl"), join("start", "format", "lvl_text")),
+        row(sheet, "style", F.col("style_id"), join("based_on", "heading", "bold")), row(styles.effective(sheet, ["doc_id"], ["bold"]), "effective", F.col("style_id"), s(F.col("bold"))),
+        row(numbering.labels(listed, model.numbering_levels(read), model.numbering_instances(read)), "label", F.col("node_index"), F.col("label")),
+    ]
+    result = out[0]
+    for x in out[1:]:
+        result = result.unionByName(x)
+    return result

@@ -17,7 +17,8 @@ OUTPUT, STATE = "session_id string, seq long, action string, undo_depth long, re
 
 def history_stream(actions: DataFrame, limit: int = LIMIT) -> DataFrame:
     """actions: session_id, seq, action (commit, undo, redo, reset). Depths after each action; the state of a session is two
-    numbers, whatever the length of its stream. Within a micro-batch actions are taken in the order of seq."""
+    numbers, whatever the length of its stream. Within a micro-batch actions are taken in the order of seq, so a session's
+    part of one micro-batch is held and sorted at once: bound it by the source's limit for a trigger."""
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         past, future = state.get if state.exists else (0, 0)
