@@ -50,15 +50,6 @@ def letterhead_sides(paragraphs: DataFrame, short: int = 60, indent_twips: int =
     return paragraphs.withColumn("side", F.when(column & (right >= indent_twips) & (right > left), "left").when(column & (left >= indent_twips), "right"))
 
 
-def letterhead_groups(sides: DataFrame) -> DataFrame:
-    """What letterhead_sides returns, with group: a number for each run of paragraphs with a side that has both sides; else null."""
-    w, runs = Window.partitionBy("doc_id").orderBy("node_index"), Window.partitionBy("doc_id", "__run")
-    cut = F.when(F.col("side").isNotNull() & F.lag("side").over(w).isNotNull(), 0).otherwise(1)
-    numbered = sides.withColumn("__cut", cut).withColumn("__run", F.sum("__cut").over(w))
-    both = F.max(F.col("side") == "left").over(runs) & F.max(F.col("side") == "right").over(runs)
-    return numbered.withColumn("group", F.when(both & F.col("side").isNotNull(), F.col("__run"))).drop("__cut", "__run")
-
-
 def retained_pages(before: DataFrame, after: DataFrame) -> DataFrame:
     """before: doc_id, page, node_index, signature; after: doc_id, node_index, signature. How many leading pages of each document
     hold no block that changed or moved: doc_id, retained."""

@@ -14,15 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOLERANCE, MIN_LINE, MIN_PAGE = 2, 14, 120
+#: Room at a page's end that a part of a table row is put into.
+MIN_SLICE = 2 * MIN_LINE
 #: Room that a part of a paragraph needs besides its lines: above a continued part, for descenders, for safety (fixed values).
 TOP_BLEED, DESCENDER, SAFETY, SAFETY_LINES = 22, 6, 24, 0.9
 #: Input columns with their defaults.
 COLUMNS = {
     "kind": ("string", "paragraph"), "height_px": ("double", 1.0), "line_height_px": ("double", 1.0), "line_count": ("int", 1), "before_px": ("double", 0.0), "after_px": ("double", 0.0), "keep_next": ("boolean", False), "keep_lines": ("boolean", False), "widow_control": ("boolean", True),
     "page_break_before": ("boolean", False), "hard_break": ("boolean", False), "rendered_break": ("boolean", False), "spacer": ("boolean", False), "visible": ("boolean", True), "heading_level": ("int", None), "numbered": ("boolean", False), "text_length": ("int", 0),
-    "row_heights_px": ("array<double>", None), "row_breaks": ("array<int>", None), "page_height_px": ("double", None),
+    "row_heights_px": ("array<double>", None), "row_breaks": ("array<int>", None), "row_splits": ("array<boolean>", None), "row_edges": ("array<array<double>>", None), "page_height_px": ("double", None),
 }
-SEGMENT = "page int, ord int, node_index int, row_start int, row_end int, line_start int, line_end int"
+SEGMENT = "page int, ord int, node_index int, row_start int, row_end int, line_start int, line_end int, slice_start_px double, slice_px double"
 
 
 @dataclass
@@ -75,13 +77,13 @@ class Paginator:
         if when and self.filled:
             self.turn(b)
 
-    def put(self, b: Block, height: float, after: float = 0.0, rows: tuple | None = None, lines: tuple | None = None) -> None:
-        self.out.append((self.page, self.filled, b.node_index, *(rows or (None, None)), *(lines or (None, None))))
+    def put(self, b: Block, height: float, after: float = 0.0, rows: tuple | None = None, lines: tuple | None = None, part: tuple | None = None) -> None:
+        self.out.append((self.page, self.filled, b.node_index, *(rows or (None, None)), *(lines or (None, None)), *(part or (None, None))))
         self.filled, self.used, self.after = self.filled + 1, self.used + height, after
 
     def run(self) -> list[tuple]:
         if self.blocks and not (math.isfinite(self.default) and self.default > 0):
-            return [(0, k, b.node_index, None, None, None, None) for k, b in enumerate(self.blocks)]
+            return [(0, k, b.node_index, *[None] * 6) for k, b in enumerate(self.blocks)]
         for k, b in enumerate(self.blocks):
             if k == 0:
                 self.open_page(b)
@@ -164,17 +166,23 @@ class Paginator:
             return
         breaks = sorted(set(b.row_breaks or []))
         self.turn_if_filled(b, 0 in breaks)
+        splits, edges = b.row_splits or [], b.row_edges or []
         at = 0
         while at < len(rows):
             room, end, height = max(0.0, self.limit - self.used) + TOLERANCE, at, 0.0
             while end < len(rows) and height + rows[end] <= room:
                 height, end = height + rows[end], end + 1
+            if end == at and self.slices(rows, splits, at):
+                self.turn_if_filled(b, not (at < len(splits) and splits[at]))  # a row that is cut only since no page holds it begins a page
+                self.in_slices(b, at, rows[at], edges[at] if at < len(edges) else None)
+                at += 1
+                continue
             if end == at and self.used <= 0:
                 end = at + 1
             forced = next((r for r in breaks if r > at), None)
             if forced is not None:
                 end = min(end, forced)
-            elif end - at > 1 and len(rows) - end == 1:
+            elif end - at > 1 and len(rows) - end == 1 and not self.slices(rows, splits, end, height):
                 end -= 1  # no single row alone on the next page
             if end == at:
                 if self.filled:
@@ -184,7 +192,27 @@ class Paginator:
             whole = at == 0 and end == len(rows)
             self.put(b, sum(rows[at:end]), rows=None if whole else (at, end))
             at = end
-            if at < len(rows):
+            if at < len(rows) and (at in breaks or not (at < len(splits) and splits[at] and self.slices(rows, splits, at))):
+                self.turn(b)
+
+    def slices(self, rows: list[float], splits: list, row: int, more: float = 0.0) -> bool:
+        """Whether a row is cut into parts where it stands: no page holds it, or it may be cut and there is room for a part."""
+        if row >= len(rows):
+            return False
+        roomy = self.limit - self.used - more >= MIN_SLICE
+        return rows[row] > self.limit + TOLERANCE or (row < len(splits) and bool(splits[row]) and roomy)
+
+    def in_slices(self, b: Block, row: int, total: float, edges: list[float] | None) -> None:
+        """Parts of a row, as tall as there is room; each ends at an edge of what stands in the row, if there is one."""
+        at = 0.0
+        self.turn_if_filled(b, self.limit - self.used < MIN_SLICE)
+        while at < total:
+            size = min(max(1.0, self.limit - self.used), total - at)
+            if at + size < total:
+                size = max((e for e in (() if edges is None else edges) if at < e <= at + size), default=at + size) - at
+            self.put(b, size, rows=(row, row + 1), part=(at, size))
+            at += size
+            if at < total:
                 self.turn(b)
 
 
@@ -202,7 +230,7 @@ def paginate_blocks(blocks: DataFrame, page_height: float, split_lines: bool = T
 
     def one(doc, held: list[Block]) -> pd.DataFrame:
         found = Paginator(held, page_height, split_lines=split_lines, honor_rendered=honor_rendered).run()
-        out = pd.DataFrame(found, columns=["page", "ord", "node_index", "row_start", "row_end", "line_start", "line_end"], dtype=object)
+        out = pd.DataFrame(found, columns=[x.split()[0] for x in SEGMENT.split(", ")], dtype=object)
         out.insert(0, "doc_id", doc)
         return out
 

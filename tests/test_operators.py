@@ -83,8 +83,9 @@ def test_letterheads(spark):
 
     def sides(rows):
         df = spark.createDataFrame([("d", i, *r) for i, r in enumerate(rows)], "doc_id string, node_index int, text string, left_twips int, right_twips int, framed boolean")
-        found = pages.letterhead_groups(pages.letterhead_sides(df)).orderBy("node_index").collect()
-        return [r.side for r in found], [r.group is not None for r in found]
+        found = pages.letterhead_sides(df)
+        groups = segmentation.letterhead_groups(found.select("doc_id", F.lit(0).alias("page"), F.col("node_index").alias("ord"), "side")).collect()
+        return [r.side for r in found.orderBy("node_index").collect()], [any(g.start <= i < g.end for g in groups) for i in range(len(rows))]
 
     assert sides([("A NAME", None, 2340, False), ("Office", None, 2340, True)]) == (["left"] * 2, [False] * 2)
     assert sides([("A NAME", None, 2340, False), ("Office", None, 2340, True), ("", None, 2340, False), ("ANOTHER NAME", None, 2250, False)])[0] == ["left"] * 4
@@ -112,6 +113,22 @@ def segments(spark, rows, height, **options):
     return list(pages.values())
 
 
+def test_rows_in_slices(spark):
+    def table(rows, splits=None, edges=None, first=None, height=120.0):
+        blocks = ([{"height_px": first}] if first else []) + [{"kind": "table", "row_heights_px": rows, "row_splits": splits, "row_edges": edges}]
+        df = spark.createDataFrame([{"doc_id": "d", "node_index": i, **r} for i, r in enumerate(blocks)], "doc_id string, node_index int, height_px double, kind string, row_heights_px array<double>, row_splits array<boolean>, row_edges array<array<double>>")
+        found = segmentation.paginate_blocks(df, height).orderBy("page", "ord").collect()
+        return [(r.page, r.row_start, r.row_end, r.slice_start_px, r.slice_px) for r in found if r.node_index == len(blocks) - 1]
+
+    assert table([260.0]) == [(0, 0, 1, 0.0, 120.0), (1, 0, 1, 120.0, 120.0), (2, 0, 1, 240.0, 20.0)]
+    assert table([250.0, 80.0]) == [(0, 0, 1, 0.0, 120.0), (1, 0, 1, 120.0, 120.0), (2, 0, 1, 240.0, 10.0), (2, 1, 2, None, None)]
+    assert table([70.0, 100.0], [False, True]) == [(0, 0, 1, None, None), (0, 1, 2, 0.0, 50.0), (1, 1, 2, 50.0, 50.0)]
+    assert table([70.0, 100.0], [False, True], [[], [40.0, 100.0]]) == [(0, 0, 1, None, None), (0, 1, 2, 0.0, 40.0), (1, 1, 2, 40.0, 60.0)]
+    assert table([70.0, 100.0]) == [(0, 0, 1, None, None), (1, 1, 2, None, None)]
+    assert table([130.0], first=50.0) == [(1, 0, 1, 0.0, 120.0), (2, 0, 1, 120.0, 10.0)]
+    assert table([100.0, 40.0], [False, True]) == [(0, 0, 1, None, None), (1, 1, 2, None, None)]  # too little room for a part
+
+
 def test_segments(spark):
     plain = {"height_px": 100.0, "line_height_px": 20.0, "line_count": 1}
     assert segments(spark, [plain] * 5, 300.0) == [[(0,), (1,), (2,)], [(3,), (4,)]]
@@ -135,7 +152,7 @@ def test_segment_lines_and_rows(spark):
     table = {"kind": "table", "row_heights_px": [100.0] * 4}
     assert segments(spark, [table], 300.0) == [[(0, 0, 2)], [(0, 2, 4)]]  # no single row alone
     assert segments(spark, [{**table, "row_breaks": [1]}], 500.0) == [[(0, 0, 1)], [(0, 1, 4)]]
-    assert segments(spark, [{**table, "row_heights_px": [900.0, 50.0]}], 300.0) == [[(0, 0, 1)], [(0, 1, 2)]]
+    assert segments(spark, [{**table, "row_heights_px": [900.0, 50.0]}], 300.0) == [[(0, 0, 1)]] * 3 + [[(0, 1, 2)]]
     assert segments(spark, [{"kind": "table", "row_heights_px": [100.0, 100.0]}], 300.0) == [[(0,)]]
     assert segments(spark, [], 300.0) == []
 

@@ -102,6 +102,10 @@ def test_pagination_places_everything_once(rows, height):
         total = len(heights) if kind == "table" else lines
         if parts == [(None, None)]:
             continue
+        rows_in_parts = {x[3]: [y[7:] for y in mine if y[3] == x[3]] for x in mine if x[7] is not None}
+        for row, cut in rows_in_parts.items():  # a row's parts follow each other and are all of it
+            assert cut[0][0] == 0 and sum(n for _, n in cut) == max(1, heights[row]) and all(a + n == b for (a, n), (b, _) in zip(cut, cut[1:], strict=False))
+        parts = [x for k, x in enumerate(parts) if k == 0 or x != parts[k - 1]]
         assert parts[0][0] == 0 and parts[-1][1] == total and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
 
 
