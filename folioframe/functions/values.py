@@ -86,6 +86,15 @@ def scheme_color(name: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in SCHEME_COLORS.items() for x in kv]), F.lower(F.trim(name)))
 
 
+def drawing_color(xml: Column, colors: Column) -> Column:
+    """struct<color, opacity> of a drawing's colour markup: its own colour, else the last shown one of a system colour, else a scheme
+    colour by name, from the theme (a map, keys in lower case) before the default scheme; null where it names none."""
+    first = lambda tag, name: blank_to_null(F.regexp_extract(xml, rf'(?i)<a:{tag}\b[^>]*\b{name}="([^"]+)"', 1))
+    token = F.lower(F.trim(first("schemeClr", "val")))
+    color = F.coalesce(hex_color(first("srgbClr", "val")), hex_color(first("sysClr", "lastClr")), F.try_element_at(colors, token), scheme_color(token))
+    return F.when(color.isNotNull(), F.struct(color.alias("color"), percent_of_thousandths(first("alpha", "val")).alias("opacity")))
+
+
 def percent_of_thousandths(value: Column) -> Column:
     """A share from thousandths of a percent, cut to 0..1; null for negative numbers and others."""
     n = value.try_cast("double")

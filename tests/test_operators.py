@@ -349,6 +349,10 @@ def test_values(spark):
     assert column(spark, [1, 16, 0, 17], values.index_color, "int") == ["000000", "C0C0C0", None, None]
     assert column(spark, [4, 22, 47, 99, 255], values.number_format, "int") == ["lowerLetter", "decimalZero", "chosung", "decimal", "decimal"]
     assert column(spark, ["accent3", "ACCENT5", "bg2", "followedHyperlink", "x"], values.scheme_color) == ["#70ad47", "#7030a0", "#f3f4f6", "#954f72", None]
+    own = F.create_map(F.lit("accent1"), F.lit("#123456"))
+    marks = ['<a:srgbClr val="00ff00"><a:alpha val="40000"/></a:srgbClr>', '<a:sysClr val="windowText" lastClr="010203"/>', '<a:schemeClr val=" Accent1 "/>', '<a:schemeClr val="accent2"/>', '<a:schemeClr val="phClr"/>', "<a:noFill/>"]
+    found = [tuple(x) if x else None for x in column(spark, marks, lambda c: values.drawing_color(c, own))]
+    assert [f and (f[0].lower(), f[1]) for f in found] == [("#00ff00", 0.4), ("#010203", None), ("#123456", None), ("#ed7d31", None), None, None]
     assert column(spark, ["50000", "-1", "900000", "x"], values.percent_of_thousandths) == [0.5, None, 1.0, None]
     assert [(r.width_px, r.height_px) for r in column(spark, ["position:absolute;width:72pt; height:1in"], values.vml_size)] == [(96, 96)]
     assert column(spark, ['<a x="1" b="2"/>', "<a>"], lambda t: values.set_attribute(t, "b", F.lit('q"'))) == ['<a x="1" b="q&quot;"/>', '<a b="q&quot;">']
