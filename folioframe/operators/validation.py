@@ -154,8 +154,9 @@ def location_issue(json: Column) -> Column:
     place = F.from_json(F.try_element_at(boundary, F.lit("location")), "map<string,string>")
     bad = ~F.coalesce(F.forall(F.map_keys(boundary), lambda k: k.isin("location", "offset")), F.lit(False)) | bad_index(F.try_element_at(boundary, F.lit("offset")), MAX_OFFSET)
     kind, each = F.try_element_at(place, F.lit("kind")), F.lit(True)
+    only = lambda keys, names: F.forall(keys, lambda k: k.isin("kind", *names))
     for name, fields in LOCATIONS.items():
-        wrong = ~F.forall(F.map_keys(place), lambda k, f=fields: k.isin("kind", *f))
+        wrong = ~only(F.map_keys(place), fields)
         for f in fields:
             wrong = wrong | bad_index(F.try_element_at(place, F.lit(f)))
         each = F.when(kind == name, wrong).otherwise(each)
@@ -166,11 +167,14 @@ def range_issue(json: Column) -> Column:
     """Whether a text range is wrong: null is right (no range); ends of one kind, the end not before the start."""
     ends = F.from_json(json, "map<string,string>")
     start, end = (F.try_element_at(ends, F.lit(k)) for k in ("start", "end"))
-    place = lambda e: [F.get_json_object(e, f"$.location.{f}").try_cast("bigint") for f in ("nodeIndex", "tableIndex", "rowIndex", "cellIndex", "paragraphIndex")] + [F.get_json_object(e, "$.offset").try_cast("bigint")]
-    tuple_ = lambda e: F.array(*[F.coalesce(x, F.lit(-1)) for x in place(e)])
-    apart = F.get_json_object(start, "$.location.kind") != F.get_json_object(end, "$.location.kind")
-    order = tuple_(start) > tuple_(end)
-    wrong = ~F.forall(F.map_keys(ends), lambda k: k.isin("start", "end")) | location_issue(start) | location_issue(end) | (~apart & order)
+    number = lambda e, path: F.get_json_object(e, f"$.{path}").try_cast("bigint")
+
+    def place(e: Column) -> Column:
+        """The order of places: block, row, cell, paragraph in the cell, offset."""
+        inner = [F.coalesce(number(e, f"location.{f}"), F.lit(-1)) for f in ("rowIndex", "cellIndex", "paragraphIndex")]
+        return F.array(F.coalesce(number(e, "location.nodeIndex"), number(e, "location.tableIndex")), *inner, number(e, "offset"))
+
+    wrong = ~F.forall(F.map_keys(ends), lambda k: k.isin("start", "end")) | location_issue(start) | location_issue(end) | (place(start) > place(end))
     return F.when(F.trim(json) == "null", False).otherwise(F.coalesce(wrong, F.lit(True)))
 
 
@@ -191,7 +195,7 @@ def edit_action_issues(actions: DataFrame, limit: int = MAX_ACTIONS) -> DataFram
     quoted = lambda name: F.coalesce(F.get_json_object("action", f"$.{name}"), F.lit(None).cast("string"))
     text = quoted("text")
     rules["text"] = has("text") & (text.isNull() | (F.length(text) > MAX_TEXT) | ((kind == "create-comment") & (F.trim(text) == "")))
-    rules["color"] = has("color") & ~F.coalesce((F.trim(value("color")) == "null") | quoted("color").rlike("^#[a-f0-9]{6}$"), F.lit(False))
+    rules["color"] = has("color") & ~F.coalesce((F.array_contains(F.map_keys("__f"), F.lit("color")) & value("color").isNull()) | quoted("color").rlike("^#[a-f0-9]{6}$"), F.lit(False))
     font = quoted("fontFamily")
     rules["fontFamily"] = has("fontFamily") & ~F.coalesce(F.length(font).between(1, 128) & (F.btrim(font) == font) & ~font.rlike(r"[\x00-\x1f\x7f]"), F.lit(False))
     for name, (low, high) in NUMBERS.items():
