@@ -44,8 +44,8 @@ TRAINER, PER_PARAMETER = 1 << 21, 4
 FAN_IN, SLICES = 16, 16
 #: Positions scored at a time.
 CHUNK = 1 << 14
-#: Texts, and bytes of hashes of their words with shared ids, whose words are counted together.
-GROUP_TEXTS, GROUP_BYTES = 128, 1 << 18
+#: Bytes of hashes of words with shared ids that are sorted together.
+GROUP_BYTES = 1 << 20
 #: Bytes of text whose words are found at a time, and the base of their hashes.
 BLOCK, MULTIPLIER = 1 << 20, 0x9E3779B97F4A7C15
 OFFSETS = np.array([o for o in range(-SIDE, SIDE + 1) if o])
@@ -330,40 +330,28 @@ def to_ids(docs: DataFrame, known: np.ndarray, vocab: int, id_col: str = "doc_id
 def shares(ids: DataFrame, counts: DataFrame, by_id: np.ndarray) -> DataFrame:
     """row, share: the sum of log(n(word) / (n(id) + 1)) over a row's words with shared ids, for rows that have some.
 
-    Words of a group of texts meet their counts once, by 64-bit hashes; no task holds the corpus's words.
+    Words meet their counts by 64-bit hashes, each of a row once; no task holds the corpus's words.
     """
 
-    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for b in blocks(batch.column("shared"), GROUP_BYTES):
-                for s in range(0, len(b), GROUP_TEXTS):
-                    part = b.slice(s, GROUP_TEXTS)
-                    texts = [np.frombuffer(x.as_buffer(), np.uint64) for x in part]
-                    first = batch.column("row")[done].as_py()
-                    done += len(part)
-                    words = np.concatenate(texts)
-                    if not len(words):
-                        continue
-                    order = np.argsort(words, kind="stable")
-                    words, rows = words[order], np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in texts])[order]
-                    at = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-                    ends = pa.array(np.append(at, len(words)).astype(np.int32) * 4)
-                    cut = pa.Array.from_buffers(pa.binary(), len(at), [None, ends.buffers()[1], pa.py_buffer(rows.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), first)), pa.array(words[at].view(np.int64)), cut], names=["first", "word", "rows"])
-
-    total = np.log(by_id[-HASHED:] + 1.0)
-
-    def add(table: pa.Table) -> pa.Table:
-        logs = np.log(table["n"].to_numpy()) - total[shared_id(table["word"].to_numpy())]
-        raw = [x.as_buffer() for x in table["rows"]]
-        rows = np.frombuffer(b"".join(raw), np.int32)
-        sums = np.bincount(rows, np.repeat(logs, [x.size // 4 for x in raw]))
-        some = np.unique(rows)
-        return pa.table({"row": pa.array(table["first"][0].as_py() + some.astype(np.int64)), "share": pa.array(sums[some])})
-
-    words = ids.select("row", "shared").mapInArrow(lean(group), "first long, word long, rows binary")
-    return words.join(counts, "word").groupBy("first").applyInArrow(lambda t: add(t), "row long, share double")
+                texts = [np.frombuffer(x.as_buffer(), np.uint64) for x in b]
+                rows = np.repeat(batch.column("row").slice(done, len(b)).to_numpy(), [len(x) for x in texts])
+                done += len(b)
+                words = np.concatenate(texts)
+                if not len(words):
+                    continue
+                order = np.argsort(words, kind="stable")  # rows stay in order within a word
+                words, rows = words[order], rows[order]
+                at = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (rows[1:] != rows[:-1])]))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(words[at].view(np.int64)), pa.array(np.diff(np.append(at, len(words))).astype(np.int32))], names=["row", "word", "times"])
+
+    totals = ids.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(np.log(by_id[-HASHED:] + 1.0))], "k long, total double")  # HASHED rows
+    logs = counts.withColumn("k", F.pmod(F.shiftrightunsigned("word", 20), F.lit(HASHED))).join(F.broadcast(totals), "k").select("word", (F.log("n") - F.col("total")).alias("log"))
+    words = ids.select("row", "shared").mapInArrow(lean(spell), "row long, word long, times int")
+    return words.join(logs, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("share"))
 
 
 def arrays(batches: Iterator[pa.RecordBatch], vocab: int, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
