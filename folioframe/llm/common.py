@@ -15,6 +15,8 @@ from ..operators.scratch import scratch_path
 #: The white space of the operator contracts: ASCII space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]"
 TRIM = " \t\n\x0b\x0c\r"
+#: Bytes of a bucket of a bucketed table, and how many buckets Spark allows.
+BUCKET_BYTES, MAX_BUCKETS = 64 << 20, 100_000
 
 
 _recording: list[list[str]] = []
@@ -52,6 +54,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, size: Column, name: str) -> DataFrame:
+    """df as a table in the shared folder, dealt to buckets by a key, each with some BUCKET_BYTES of size: joins on the key then
+    move the other side only. The table's entry in the catalog goes at once, its files when the driver ends."""
+    spark = df.sparkSession
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    n = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES))
+    path = scratch_path(spark, name)
+    for made in _recording:
+        made.append(path)
+    table = f"scratch_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018 the plan is resolved before the entry goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of materialized tables that nothing reads any more."""
     for t in tables:

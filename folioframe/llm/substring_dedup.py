@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, lean, materialize, release
+from .common import bucketed, column, discard, lean, materialize, release
 from .language_id import mix64
 from .tokens import blocks
 
@@ -121,9 +121,11 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(keyed, marks): keyed is a written table row_id, doc_id, text of docs; marks has, for each row with a repeated
+    """(keyed, marks): keyed is a written table row_id, doc_id, text of docs, in buckets of row_id; marks has, for each row with a repeated
     anchor, row_id, anchors (places of repeated anchors) and once (places of their windows that stand once)."""
-    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("row_id"), column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text")), "keyed")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
+    keyed = bucketed(rows, "row_id", F.octet_length("text"), "keyed")  # texts are shuffled once, here, and not to what is found in them
+    release()
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
