@@ -67,9 +67,9 @@ def forced(style: Style) -> Column:
 def script_of(text: Column, style: Style | None = None) -> Column:
     """The script of a text's first character; null for a neutral one and for an empty text."""
     out = F.lit(None).cast("string")
-    for name in SCRIPTS:
+    for name in reversed(SCRIPTS[1:]):  # the more usual ones are tried first
         out = F.when(text.rlike(f"^{CLASSES[name]}"), name).otherwise(out)
-    return F.when(F.length(text) > 0, F.when(forced(style or {}), "complexScript").otherwise(out))
+    return F.when(F.length(text) > 0, F.when(forced(style or {}), "complexScript").when(F.ascii(text) < 128, "ascii").otherwise(out))
 
 
 def neutral_script(style: Style) -> Column:
@@ -137,7 +137,7 @@ def segments(text: Column, style: Style) -> Column:
 
     def cut(i: Column) -> Column:
         pieces = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).when(i["forced"], F.array(text)).otherwise(F.regexp_extract_all(text, i["pattern"], F.lit(0)))
-        script = lambda p: F.when(i["forced"], "complexScript").otherwise(F.coalesce(script_of(F.regexp_extract(p, f"(?s)^{CLASSES['neutral']}*+(.)", 1)), i["neutral"]))
+        script = lambda p: F.when(i["forced"], "complexScript").otherwise(F.coalesce(script_of(F.substring(p, 1, 1)), script_of(F.regexp_extract(p, f"(?s)^{CLASSES['neutral']}*+(.)", 1)), i["neutral"]))
         face = lambda s: reduce(lambda out, n: F.when(s == n, i["family"][n]).otherwise(out), SCRIPTS, F.lit(None).cast("string"))
         piece = lambda p, n, at: let(script(p), lambda s: F.struct(p.alias("text"), at.alias("start"), (at + n).alias("end"), s.alias("script"), face(s).alias("family")))
         placed = lambda ps, ns: let(running_sums(ns), lambda at: F.transform(ps, lambda p, k: piece(p, F.get(ns, k), F.get(at, k))))
